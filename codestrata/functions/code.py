@@ -5,52 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codestrata.functions.text import NON_SPACE, SPACE, UNICODE
+from codestrata.functions.text import NON_SPACE, SPACE
 
-# Definition patterns in the order they are tried, and names that are never functions.
+# Definition patterns in the order they are tried, each with a text it cannot match
+# without, and the names that are never functions.
 FUNCTION_PATTERNS = (
-    r"function\s+(\w+)\s*\(",
-    r"(\w+)\s*:\s*function\s*\(",
-    r"(\w+)\s*=\s*function\s*\(",
-    r"(\w+)\s*=\s*\([^)]*\)\s*=>",
-    r"(\w+)\s*\([^)]*\)\s*=>",
+    (r"function\s+(\w+)\s*\(", "function"),
+    (r"(\w+)\s*:\s*function\s*\(", "function"),
+    (r"(\w+)\s*=\s*function\s*\(", "function"),
+    (r"(\w+)\s*=\s*\([^)]*\)\s*=>", "=>"),
+    (r"(\w+)\s*\([^)]*\)\s*=>", "=>"),
 )
 CLASS_PATTERNS = (
-    r"class\s+(\w+)",
-    r"interface\s+(\w+)",
-    r"type\s+(\w+)\s*=",
-    r"enum\s+(\w+)",
+    (r"class\s+(\w+)", "class"),
+    (r"interface\s+(\w+)", "interface"),
+    (r"type\s+(\w+)\s*=", "type"),
+    (r"enum\s+(\w+)", "enum"),
 )
 NOT_FUNCTIONS = ("if", "for", "while", "switch", "catch")
 TYPE_WORDS = ("interface", "type", "enum")
 
 
 def _java(pattern: str) -> str:
-    """Python's Unicode `\\w` and `\\s` spelled out, since Java's differ in both modes."""
-    return pattern.replace(r"\w", r"[\p{L}\p{N}_]").replace(r"\s", SPACE).join((UNICODE, ""))
+    """Python's Unicode `\\w` and `\\s` spelled out for Java."""
+    return pattern.replace(r"\w", r"[\p{L}\p{N}_]").replace(r"\s", SPACE)
 
 
 def is_code_line(line: Column) -> Column:
     """Not blank and not the first line of a comment."""
-    return line.rlike(f"{UNICODE}\\A{SPACE}*(?!//|/\\*){NON_SPACE}")
+    return line.rlike(f"\\A{SPACE}*(?!//|/\\*){NON_SPACE}")
 
 
-def _first_name(line: Column, patterns: tuple[str, ...], rejected: tuple[str, ...] = ()) -> Column:
-    names = (F.regexp_extract(line, _java(p), 1) for p in patterns)
-    return F.coalesce(*(F.when(~name.isin("", *rejected), name) for name in names))
+def _first_name(line: Column, patterns: tuple[tuple[str, str], ...], rejected: tuple[str, ...] = ()) -> Column:
+    """Name from the first pattern that gives an allowed one. A plain text search goes before each regex."""
+    tried = []
+    for pattern, needed in patterns:
+        name = F.regexp_extract(line, _java(pattern), 1)
+        tried.append(F.when(line.contains(needed) & ~name.isin("", *rejected), name))
+    return F.coalesce(*tried)
 
 
 def function_name(line: Column) -> Column:
-    """Name of the function the line defines, or null. Every pattern needs a parenthesis."""
-    return F.when(line.contains("("), _first_name(line, FUNCTION_PATTERNS, NOT_FUNCTIONS))
+    """Name of the function the line defines, or null."""
+    return _first_name(line, FUNCTION_PATTERNS, NOT_FUNCTIONS)
 
 
 def class_name(line: Column) -> Column:
     """Name of the class-like entity the line defines, or null."""
-    words = line.contains("class")
-    for word in TYPE_WORDS:
-        words = words | line.contains(word)
-    return F.when(words, _first_name(line, CLASS_PATTERNS))
+    return _first_name(line, CLASS_PATTERNS)
 
 
 def class_type(line: Column) -> Column:

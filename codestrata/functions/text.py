@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What Python counts as white space: the Unicode property plus four control characters.
-SPACE = r"[\s\x1c-\x1f]"
-NON_SPACE = r"[^\s\x1c-\x1f]"
-UNICODE = "(?U)"
+# Fixed value: the characters Python counts as white space. Java's \\s differs in both of its modes.
+_SPACES = r"\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[{_SPACES}]"
+NON_SPACE = f"[^{_SPACES}]"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -29,12 +29,12 @@ SKIPPED_WORDS = (".git", "node_modules", "__pycache__", "venv", "dist", "build")
 
 def strip(c: Column) -> Column:
     """Python's str.strip(); Spark's trim removes spaces only."""
-    return F.regexp_replace(c, f"{UNICODE}\\A{SPACE}+|{SPACE}+\\z", "")
+    return F.regexp_replace(c, f"\\A{SPACE}+|{SPACE}+\\z", "")
 
 
 def is_blank(c: Column) -> Column:
     """Null, empty, or white space only."""
-    return c.isNull() | ~c.rlike(f"{UNICODE}{NON_SPACE}")
+    return c.isNull() | ~c.rlike(NON_SPACE)
 
 
 def preview(c: Column, width: int = 80) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.records import snippet
-from codestrata.operators.javascript import script_entities
+from codestrata.operators.javascript import script_entities, scripts
 from codestrata.operators.python_source import python_entities
 from codestrata.schemas import ENTITIES
 
@@ -37,6 +37,6 @@ def extract_entities(files: DataFrame) -> DataFrame:
     """Functions, classes, interfaces, types and enums of all supported files."""
     readable = files.filter("valid_utf8") if "valid_utf8" in files.columns else files
     python = python_entities(readable).withColumn("language", F.lit("python"))
-    scripts = with_code(script_entities(readable), readable)
-    both = python.unionByName(scripts).withColumn("class_context", F.lit(None).cast("string"))
+    script = with_code(script_entities(readable), scripts(readable))
+    both = python.unionByName(script).withColumn("class_context", F.lit(None).cast("string"))
     return both.select(*ENTITIES.fieldNames())

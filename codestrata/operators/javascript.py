@@ -12,11 +12,14 @@ _FILE = ["repo", "path"]
 
 
 def explode_lines(files: DataFrame, *keep: str) -> DataFrame:
-    """One row per line, numbered from 1, with the file's line count. Stays in the scan's stage."""
-    lines = F.split("content", "\n")
-    return files.select(*_FILE, *keep, F.size(lines).alias("n_lines"), F.posexplode(lines).alias("at", "line")).select(
-        *_FILE, *keep, "n_lines", (F.col("at") + 1).alias("line_no"), "line"
-    )
+    """One row per line, numbered from 1, with the file's line count. Stays in the scan's stage.
+
+    The count is projected below the explode, so a line's row does not carry its file's content.
+    """
+    counted = files.select(*_FILE, *keep, "content", F.size(F.split("content", "\n")).alias("n_lines"))
+    return counted.select(
+        *_FILE, *keep, "n_lines", F.posexplode(F.split("content", "\n")).alias("line_at", "line")
+    ).select(*_FILE, *keep, "n_lines", (F.col("line_at") + 1).alias("line_no"), "line")
 
 
 def code_lines(files: DataFrame) -> DataFrame:
@@ -24,34 +27,40 @@ def code_lines(files: DataFrame) -> DataFrame:
     return explode_lines(files).filter(code.is_code_line(F.col("line"))).select(*_FILE, "line_no", "line")
 
 
-def definitions(files: DataFrame) -> DataFrame:
-    """Lines of JS/TS files that define something or hold braces, without their text.
+def scripts(files: DataFrame) -> DataFrame:
+    """The JS/TS files."""
+    return files.filter(language_of(F.col("path")).isin("javascript", "typescript"))
 
-    Columns: `function_name`, `class_name`, `class_type`, and `braces`, the line's braces in order.
-    """
-    scripts = files.withColumn("language", language_of(F.col("path"))).filter(
-        F.col("language").isin("javascript", "typescript")
-    )
+
+def marked_lines(files: DataFrame) -> DataFrame:
+    """Lines of JS/TS files without their text: what each defines (or null), and its braces in order."""
     line = F.col("line")
-    is_code = code.is_code_line(line)
+    found = F.struct(
+        code.function_name(line).alias("function_name"),
+        code.class_name(line).alias("class_name"),
+        code.class_type(line).alias("class_type"),
+        "n_lines",
+    )
+    has_brace = line.contains("{") | line.contains("}")
+    braces = F.when(has_brace, F.regexp_replace(line, "[^{}]", "")).otherwise(F.lit(""))
+    marked = explode_lines(scripts(files)).select(
+        *_FILE, "line_no", F.when(code.is_code_line(line), found).alias("definition"), braces.alias("braces")
+    )
+    some = F.col("definition.function_name").isNotNull() | F.col("definition.class_name").isNotNull()
+    return marked.withColumn("definition", F.when(some, F.col("definition")))
+
+
+def definitions(files: DataFrame) -> DataFrame:
+    """Every line that defines a function, a class-like entity or both."""
     return (
-        explode_lines(scripts, "language")
-        .select(
-            *_FILE,
-            "language",
-            "n_lines",
-            "line_no",
-            F.when(is_code, code.function_name(line)).alias("function_name"),
-            F.when(is_code, code.class_name(line)).alias("class_name"),
-            code.class_type(line).alias("class_type"),
-            F.regexp_replace(line, "[^{}]", "").alias("braces"),
-        )
-        .filter("function_name is not null or class_name is not null or braces <> ''")
+        marked_lines(files)
+        .filter("definition is not null")
+        .select(*_FILE, "line_no", "definition.function_name", "definition.class_name", "definition.class_type")
     )
 
 
 def block_spans(marked: DataFrame) -> DataFrame:
-    """Add `end_line` to the defining lines of `definitions`.
+    """`start_line` and `end_line` of every definition in `marked_lines`.
 
     A block ends at the first closing brace, after some opening brace at or below the definition,
     that brings the nesting depth back to what it was before the line; without one it ends with the
@@ -59,49 +68,41 @@ def block_spans(marked: DataFrame) -> DataFrame:
     partitioning then find (1) the depth, (2) the next opening brace, (3) the next closing brace of
     the same depth. A window holds one file, which is one cell of the input.
     """
-    defines = F.col("function_name").isNotNull() | F.col("class_name").isNotNull()
-    braces = F.col("braces")
-    # Position 0 of a line is its definition, its braces follow from 1.
-    positions = F.when(defines, F.sequence(F.lit(0), F.length(braces))).otherwise(
-        F.sequence(F.lit(1), F.length(braces))
+    defines, braces = F.col("definition").isNotNull(), F.col("braces")
+    # A line's definition has position 0, its braces follow from 1.
+    positions = F.when(defines, F.sequence(F.lit(0), F.length(braces))).when(
+        braces != "", F.sequence(F.lit(1), F.length(braces))
     )
-    events = (
-        marked.withColumn("defines", defines)
-        .withColumn("at", F.explode(positions))
-        .withColumn("brace", F.when(F.col("at") > 0, F.substring(braces, F.col("at"), F.lit(1))).otherwise(F.lit("")))
-        .withColumn("seq", F.shiftleft(F.col("line_no").cast("bigint"), 32) + F.col("at"))
-        .withColumn("step", F.when(F.col("brace") == "{", 1).when(F.col("brace") == "}", -1).otherwise(0))
+    position = F.col("position")
+    brace = F.when(position > 0, F.substring(braces, position, F.lit(1)))
+    events = marked.withColumn("position", F.explode(positions)).select(
+        F.xxhash64(*_FILE).alias("file_hash"),  # sorts faster than the names, which keep it exact
+        *_FILE,
+        (F.shiftleft(F.col("line_no").cast("bigint"), 32) + position).alias("seq"),
+        F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0).alias("step"),
+        F.when(position == 0, F.col("definition")).alias("definition"),
     )
-    is_definition = F.col("at") == 0
-    # Names travel on the definition row only.
-    for column in ("function_name", "class_name", "class_type"):
-        events = events.withColumn(column, F.when(is_definition, F.col(column)))
-    events = events.drop("braces", "defines")
-
+    file = ["file_hash", *_FILE]
     so_far = (Window.unboundedPreceding, Window.currentRow)
-    forward = Window.partitionBy(*_FILE).orderBy("seq").rowsBetween(*so_far)
-    backward = Window.partitionBy(*_FILE).orderBy(F.desc("seq")).rowsBetween(*so_far)
-    by_depth = Window.partitionBy(*_FILE, "depth").orderBy(F.desc("from_seq")).rowsBetween(*so_far)
+    forward = Window.partitionBy(*file).orderBy("seq").rowsBetween(*so_far)
+    backward = Window.partitionBy(*file).orderBy(F.desc("seq")).rowsBetween(*so_far)
+    by_depth = Window.partitionBy(*file, "depth").orderBy(F.desc("from_seq")).rowsBetween(*so_far)
+    seq, is_definition = F.col("seq"), F.col("definition").isNotNull()
 
     opened = (
         events.withColumn("depth", F.sum("step").over(forward))
-        .withColumn("open_seq", F.last(F.when(F.col("brace") == "{", F.col("seq")), ignorenulls=True).over(backward))
-        .filter(is_definition | (F.col("brace") == "}"))
+        .withColumn("open_seq", F.last(F.when(F.col("step") == 1, seq), ignorenulls=True).over(backward))
+        .filter("step <= 0")
     )
     closed = opened.withColumn(
-        "from_seq", F.when(is_definition, F.coalesce("open_seq", "seq")).otherwise(F.col("seq"))
-    ).withColumn(
-        "close_seq", F.last(F.when(F.col("brace") == "}", F.col("seq")), ignorenulls=True).over(by_depth)
-    )
+        "from_seq", F.when(is_definition, F.coalesce("open_seq", "seq")).otherwise(seq)
+    ).withColumn("close_seq", F.last(F.when(F.col("step") == -1, seq), ignorenulls=True).over(by_depth))
     ends_at = F.when(F.col("open_seq").isNotNull(), F.shiftright("close_seq", 32).cast("int"))
     return closed.filter(is_definition).select(
         *_FILE,
-        "language",
-        "function_name",
-        "class_name",
-        "class_type",
-        F.col("line_no").cast("int").alias("start_line"),
-        F.coalesce(ends_at, F.col("n_lines")).cast("int").alias("end_line"),
+        "definition.*",
+        F.shiftright("seq", 32).cast("int").alias("start_line"),
+        F.coalesce(ends_at, F.col("definition.n_lines")).alias("end_line"),
     )
 
 
@@ -120,11 +121,11 @@ def script_entities(files: DataFrame) -> DataFrame:
         ),
     )
     return (
-        block_spans(definitions(files))
+        block_spans(marked_lines(files))
         .withColumn("entity", F.explode(F.filter(found, lambda e: e["name"].isNotNull())))
         .select(
             *_FILE,
-            "language",
+            language_of(F.col("path")).alias("language"),
             F.col("entity.type").alias("type"),
             F.col("entity.name").alias("name"),
             F.lit("").alias("docstring"),

@@ -17,6 +17,7 @@ _ARROW = pa.schema([
     ("node_type", pa.string()), ("error", pa.string()),
 ])
 _FLUSH_BYTES = 16 * 1024 * 1024
+_BLOCKS = ("body", "orelse", "finalbody", "handlers", "cases")
 
 
 def parse_python(
@@ -39,7 +40,7 @@ def parse_python(
 
     def entities(content: str) -> Iterator[tuple]:
         lines = content.split("\n") if with_text else None
-        for node in ast.walk(ast.parse(content)):
+        for node in _statements(ast.parse(content)):
             if isinstance(node, kinds):
                 label = "function"
             elif isinstance(node, ast.ClassDef):
@@ -74,6 +75,16 @@ def parse_python(
     )
 
 
+def _statements(tree: ast.AST) -> Iterator[ast.AST]:
+    """All statements, nested ones included; expressions cannot hold a definition and are not visited."""
+    pending = [tree]
+    while pending:
+        node = pending.pop()
+        yield node
+        for block in _BLOCKS:
+            pending.extend(getattr(node, block, ()))
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = [pa.array(values, type=field.type) for values, field in zip(zip(*rows), _ARROW)]
     return pa.RecordBatch.from_arrays(columns, schema=_ARROW)

@@ -33,7 +33,8 @@ def hashing_embedder(dim: int = 256) -> Callable[[Column], Column]:
     """Default embedder: signed counts of a text's words in `dim` buckets, as exact whole numbers.
 
     A pandas UDF like any model would be, so it needs no shuffle; a remote or local model plugs in
-    as another Column -> Column function that gives null where it fails.
+    as another Column -> Column function that gives null where it fails. Such a UDF should be marked
+    non-deterministic, as here: otherwise Spark copies the call into every filter on its result.
     """
     word = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -55,7 +56,8 @@ def hashing_embedder(dim: int = 256) -> Callable[[Column], Column]:
                 vectors.append(vector)
             yield pd.Series(vectors)
 
-    return lambda text: embed_words(F.lower(text))
+    once = embed_words.asNondeterministic()
+    return lambda text: once(F.lower(text))
 
 
 def embed(df: DataFrame, text: str, embedder: Callable[[Column], Column], width: int = FAILURE_WIDTH) -> DataFrame:

@@ -12,7 +12,7 @@ from codestrata.operators import constraints, context, javascript, lookups, pyth
 from codestrata.operators.entities import extract_entities, with_code
 from codestrata.plans import index, report, retrieval
 from codestrata.schemas import COMMIT_DOCUMENT, PR_DOCUMENT
-from codestrata.session import work_dir
+from codestrata.session import stage, work_dir
 from codestrata.sources import landed
 from codestrata.streaming import ingest
 from workload.views import table, v_code, view
@@ -413,14 +413,15 @@ def code_lines(spark, sf):
 
 @query
 def js_functions(spark, sf):
-    marked = javascript.definitions(v_code(spark, sf, "js")).filter("function_name is not null")
-    return marked.select("repo", "path", "language", F.col("function_name").alias("name"), "line_no")
+    found = javascript.definitions(v_code(spark, sf, "js")).filter("function_name is not null")
+    language = text.language_of(F.col("path"))
+    return found.select("repo", "path", language.alias("language"), F.col("function_name").alias("name"), "line_no")
 
 
 @query
 def js_classes(spark, sf):
-    marked = javascript.definitions(v_code(spark, sf, "js")).filter("class_name is not null")
-    return marked.select("repo", "path", F.col("class_type").alias("type"), F.col("class_name").alias("name"), "line_no")
+    found = javascript.definitions(v_code(spark, sf, "js")).filter("class_name is not null")
+    return found.select("repo", "path", F.col("class_type").alias("type"), F.col("class_name").alias("name"), "line_no")
 
 
 @query
@@ -430,7 +431,7 @@ def js_block_end(spark, sf):
 
 @query
 def code_snippet(spark, sf):
-    files = v_code(spark, sf, "js")
+    files = stage(v_code(spark, sf, "js"), "code")
     return with_code(javascript.script_entities(files), files).select("path", "name", "start_line", "end_line", "code")
 
 
@@ -458,7 +459,7 @@ def py_entities_decorated(spark, sf):
 
 @query
 def entity_union(spark, sf):
-    files = v_code(spark, sf, "js").unionByName(v_code(spark, sf, "py"))
+    files = stage(v_code(spark, sf, "js").unionByName(v_code(spark, sf, "py")), "code")
     return extract_entities(files).select(
         "repo", "type", "name", "language", "path", "class_context", "docstring", F.md5("code").alias("code_md5"),
         "start_line", "end_line", "node_type",
@@ -467,7 +468,7 @@ def entity_union(spark, sf):
 
 @query
 def index_pipeline(spark, sf):
-    tree = v_code(spark, sf, "js").unionByName(v_code(spark, sf, "py"))
+    tree = stage(v_code(spark, sf, "js").unionByName(v_code(spark, sf, "py")), "code")
     built = index.index_repositories(tree, view(spark, sf, "v_commits"))
     return lookups.all_symbols(built.symbols, built.files).join(
         index.head_commits(tree.select("repo").distinct(), built.commits), "repo"
