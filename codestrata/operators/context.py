@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.text import preview
 from codestrata.operators.lookups import names_by_file
-from codestrata.operators.ranking import top_n
 
 # Section order and line formats of the two context texts.
 STATISTICS = (
@@ -41,7 +40,7 @@ def _headed(header: str, body: Column) -> Column:
 def repo_context(stats: DataFrame, symbols: DataFrame, commits: DataFrame, prs: DataFrame, shown: int = 5) -> DataFrame:
     """(repo, context) for every row of `stats`, which also has `description`.
 
-    `symbols` are ranked report symbols, `commits` and `prs` the capped recent lists.
+    `symbols` are ranked report symbols, `commits` and `prs` the ranked recent lists.
     """
     structure = names_by_file(symbols)
     functions = F.when(F.col("functions") != "", F.concat(F.lit("\n  Functions: "), "functions"))
@@ -61,8 +60,7 @@ def repo_context(stats: DataFrame, symbols: DataFrame, commits: DataFrame, prs:
         _shown(F.col("state")),
         F.lit(")"),
     )
-    newest = top_n(commits.drop("rank"), ["repo"], [F.desc("committed_at"), F.asc("commit_sha")], shown)
-    latest = top_n(prs.drop("rank"), ["repo"], [F.desc("created_at"), F.desc("number")], shown)
+    newest, latest = (rows.filter(F.col("rank") <= shown) for rows in (commits, prs))
     parts = (
         stats.join(_lines(structure, ["repo"], "file_rank", file_block, "structure"), "repo", "left")
         .join(_lines(newest, ["repo"], "rank", commit_line, "recent_commits"), "repo", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.text import contains_like
 from codestrata.operators.ranking import top_n
+from codestrata.session import broadcast_if_small, stage
 
 _FILE = ["repo", "file_id"]
 _LISTED = ["repo", "current_path", "kind", "name", "start_line", "end_line"]
@@ -99,8 +100,15 @@ def _count(rows: DataFrame, name: str) -> DataFrame:
 
 
 def report_symbols(symbols: DataFrame, files: DataFrame, cap: int = 200) -> DataFrame:
-    """The first `cap` symbols of each repository by path and start line, numbered by `rank`."""
-    return top_n(symbols_with_paths(symbols, files), ["repo"], [F.asc(c) for c in SYMBOL_ORDER], cap)
+    """The first `cap` symbols of each repository by path and start line, numbered by `rank`.
+
+    They lie in the first `cap` files that have symbols, since each of those gives at least one. So
+    the files are ranked first, and the symbol table is only filtered by that short list.
+    """
+    used = files.select(*_FILE, "current_path").join(symbols.select(*_FILE).distinct(), _FILE, "left_semi")
+    first = top_n(used, ["repo"], [F.asc("current_path")], cap).drop("rank")
+    listed = symbols.join(broadcast_if_small(stage(first, "first_files")), _FILE)
+    return top_n(listed, ["repo"], [F.asc(c) for c in SYMBOL_ORDER], cap)
 
 
 def report_files(counts: DataFrame, cap: int = 50) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.session import broadcast_if_small
+from codestrata.session import broadcast_if_small, stage
 
 
 def first_write(rows: DataFrame, keys: list[str], arrival: list[str]) -> DataFrame:
@@ -60,7 +60,7 @@ def file_dictionary(paths: DataFrame, existing: DataFrame | None = None) -> Data
 
 def replace_symbols(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Append symbols so that indexing a commit again replaces its rows instead of doubling them."""
-    indexed = incoming.select("repo", "commit_sha").distinct()
+    indexed = stage(incoming.select("repo", "commit_sha").distinct(), "indexed_commits")
     kept = existing.join(broadcast_if_small(indexed), ["repo", "commit_sha"], "left_anti")
     return kept.unionByName(incoming.select(*existing.columns))
 

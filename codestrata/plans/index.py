@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import SERVICE_SUFFIXES, excluded_by_segment, has_suffix
-from codestrata.operators.lookups import SYMBOL_ORDER
 from codestrata.operators.python_source import python_entities
 from codestrata.operators.upsert import file_dictionary, file_id, first_write
-from codestrata.session import stage
+from codestrata.session import broadcast_if_small, stage
 
 
 class Lineage(NamedTuple):
@@ -48,7 +47,7 @@ def index_repositories(
     """
     path = F.col("path")
     sources = tree.filter(has_suffix(path, suffixes) & ~excluded_by_segment(path))
-    heads = head_commits(tree.select("repo").distinct(), commits, heads)
+    heads = broadcast_if_small(stage(head_commits(tree.select("repo").distinct(), commits, heads), "heads"))
     found = python_entities(sources, with_text=False, **parse_options)
     symbols = stage(
         found.join(heads, "repo").select(
@@ -70,7 +69,3 @@ def index_repositories(
         file_dictionary(stored),
         symbols.drop("current_path"),
     )
-
-
-def listed_order() -> list[str]:
-    return ["repo", *SYMBOL_ORDER]

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.operators.context import retrieval_context, retrieval_prompt
-from codestrata.operators.vectors import embed, knn
+from codestrata.operators.vectors import embed, knn, resolve_hits
+from codestrata.session import broadcast_if_small, stage
 
 
 def search_texts(items: DataFrame, queries: DataFrame, embedder: Callable[[Column], Column], width: int, k: int = 5) -> DataFrame:
@@ -22,10 +23,13 @@ def search_texts(items: DataFrame, queries: DataFrame, embedder: Callable[[Colum
 
 
 def retrieve(items: DataFrame, queries: DataFrame, embedder: Callable[[Column], Column], width: int, k: int = 5) -> DataFrame:
-    """Every query with its context; `items` also has `name`."""
-    hits = search_texts(items, queries, embedder, width, k)
-    resolved = items.join(hits, ["collection", "item_id"])
-    return retrieval_context(queries, resolved)
+    """Every query with its context; `items` also has `name`.
+
+    The few hits are written before they meet the items, so the search runs once and the items are
+    filtered where they lie.
+    """
+    hits = broadcast_if_small(stage(search_texts(items, queries, embedder, width, k), "hits"))
+    return retrieval_context(queries, resolve_hits(hits, items))
 
 
 def prompts(items: DataFrame, queries: DataFrame, embedder: Callable[[Column], Column], width: int, k: int = 5) -> DataFrame:

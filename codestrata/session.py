@@ -18,6 +18,8 @@ def build_session(app: str = "codestrata", master: str | None = None, **settings
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Split a hot join key even where that costs one more shuffle downstream.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Source files and documents vary from bytes to megabytes, so batches to Python are bounded by size.
         "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
@@ -61,7 +63,11 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark a narrow side for broadcast after counting that it has at most `max_rows` rows."""
+    """Mark a narrow side for broadcast after counting that it has at most `max_rows` rows.
+
+    For a side that is cheap to compute twice; otherwise `stage` it first. A larger side is
+    returned as it is and joins by shuffle, where adaptive execution splits hot keys.
+    """
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df

@@ -8,34 +8,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codestrata.functions import records
-
-_CORRUPT = "_corrupt_record"
+from codestrata.session import broadcast_if_small, stage
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(documents, quarantine) of JSON array files; a missing path gives no rows, broken text is set aside."""
-    full = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    """(documents, quarantine) of files that each hold a JSON array.
+
+    A missing path gives no rows; a file that is not JSON gives none either, and lands with its text
+    in the quarantine (file, value). Fields of another type than the schema's become null.
+    """
     try:
-        rows = (
-            spark.read.schema(full)
-            .option("multiLine", True)
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", _CORRUPT)
-            .json(path)
-        )
+        files = spark.read.text(path, wholetext=True)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        empty = spark.createDataFrame([], schema)
-        return empty, spark.createDataFrame([], f"file string, {_CORRUPT} string")
-    rows = rows.withColumn("file", F.col("_metadata.file_path"))
-    broken = F.col(_CORRUPT).isNotNull()
-    # A file with no array element at all reads as one row of nulls; it is no document.
-    some = F.coalesce(*(F.col(f).cast("string") for f in schema.fieldNames())).isNotNull()
-    return (
-        rows.filter(~broken & some).select(*schema.fieldNames()),
-        rows.filter(broken).select("file", _CORRUPT),
-    )
+        return spark.createDataFrame([], schema), spark.createDataFrame([], "file string, value string")
+    files = files.select(F.col("_metadata.file_path").alias("file"), "value")
+    is_json = F.try_parse_json("value").isNotNull()
+    documents = F.from_json("value", T.ArrayType(schema))
+    return files.filter(is_json).select(F.inline(documents)), files.filter(~is_json)
 
 
 def flatten(landed: DataFrame, column: str, paths: dict[str, str], types: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +91,7 @@ def read_pages(pages: DataFrame, page_size: int, source: str = "source", page: s
     absent = expected.join(counts.select(source, page), [source, page], "left_anti")
     stops = short.unionByName(absent).filter(F.col(page) >= first_page).groupBy(source).agg(F.min(page).alias("_stop"))
     return (
-        pages.join(stops, source)
+        pages.join(broadcast_if_small(stage(stops, "stop_pages")), source)
         .filter((F.col(page) <= F.col("_stop")) & (F.col(page) >= first_page))
         .drop("_stop")
     )

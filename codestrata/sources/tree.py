@@ -2,45 +2,97 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import posixpath
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.functions.text import SKIPPED_SEGMENTS
 
-@F.pandas_udf("string")
-def _decode_dropping(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
+_BATCH_BYTES = 32 * 1024 * 1024
 
-def decode(raw: Column) -> tuple[Column, Column]:
-    """(text, valid_utf8): undecodable bytes are dropped and line ends become `\\n`.
-
-    Valid files, nearly all of them, are decoded in the JVM; only the others' bytes go to Python.
-    """
-    as_text = raw.cast("string")
-    valid = F.is_valid_utf8(as_text)
-    text = F.when(valid, as_text).otherwise(_decode_dropping(F.when(~valid, raw)))
-    return F.regexp_replace(text, "\r\n?", "\n"), valid
 
+def read_tree(
+    spark: SparkSession,
+    root: str,
+    repo: str | None = None,
+    wanted: Callable[[Column], Column] | None = None,
+    prune: bool = True,
+    tasks: int | None = None,
+) -> DataFrame:
+    """Every file of the checked-out repositories under `root`: repo, path, content, valid_utf8.
 
-def read_tree(spark: SparkSession, root: str, repo: str | None = None, pattern: str = "*") -> DataFrame:
-    """Every file under `root` whose name matches the glob.
+    The first folder level names the repository, unless `root` is itself the tree of `repo`.
+    Undecodable bytes are dropped and flagged; line ends become `\\n`. `wanted` tests the relative
+    path before anything is read, `prune` leaves out hidden and dependency folders unvisited.
 
-    With `repo` the whole root is that repository; without, the first folder level names it.
+    Spark's own file sources skip names that start with `_` or `.`, and with them every
+    `__init__.py`, so the tree is walked in tasks: one lists the repositories, each repository is
+    listed by one task, and the files are then spread over `tasks` tasks by path, so a large
+    repository is read by all of them.
     """
-    base = root.rstrip("/")
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(base)
-    )
-    marker = "/" + base.split("://", 1)[-1].strip("/") + "/"
-    full = F.col("path")
-    relative = F.substring(full, F.instr(full, marker) + len(marker), F.length(full))
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if repo is None:
-        name, path = F.substring_index(relative, "/", 1), F.regexp_replace(relative, "^[^/]*/", "")
+        repos = spark.createDataFrame([(root,)], "folder string").mapInArrow(_list_repos, "repo string, folder string")
     else:
-        name, path = F.lit(repo), relative
-    text, valid = decode(F.col("content"))
-    return files.select(name.alias("repo"), path.alias("path"), text.alias("content"), valid.alias("valid_utf8"))
+        repos = spark.createDataFrame([(repo, root)], "repo string, folder string")
+
+    def list_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, folder in _values(batches):
+            system, base = fs.FileSystem.from_uri(folder)
+            pending, found = [base], []
+            while pending:
+                for info in system.get_file_info(fs.FileSelector(pending.pop())):
+                    if info.type == fs.FileType.File:
+                        found.append((name, posixpath.relpath(info.path, base), folder))
+                    elif not (prune and (info.base_name.startswith(".") or info.base_name in SKIPPED_SEGMENTS)):
+                        pending.append(info.path)
+                if len(found) >= 10_000:
+                    yield _batch(found, "repo", "path", "folder")
+                    found = []
+            yield _batch(found, "repo", "path", "folder")
+
+    files = repos.repartition(tasks, "repo").mapInArrow(list_files, "repo string, path string, folder string")
+    if wanted is not None:
+        files = files.filter(wanted(F.col("path")))
+    return files.repartition(tasks, "repo", "path").mapInArrow(
+        _read_files, "repo string, path string, content string, valid_utf8 boolean"
+    )
+
+
+def _list_repos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (root,) in _values(batches):
+        system, base = fs.FileSystem.from_uri(root)
+        folders = (i for i in system.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.Directory)
+        yield _batch([(i.base_name, f"{root.rstrip('/')}/{i.base_name}") for i in folders], "repo", "folder")
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, read, size = ("repo", "path", "content", "valid_utf8"), [], 0
+    for repo, path, folder in _values(batches):
+        system, base = fs.FileSystem.from_uri(folder)
+        with system.open_input_stream(f"{base}/{path}") as stream:
+            raw = stream.read()
+        text = raw.decode("utf-8", "ignore")
+        # Dropped bytes are missing when the text is encoded again.
+        valid = len(text.encode()) == len(raw)
+        read.append((repo, path, text.replace("\r\n", "\n").replace("\r", "\n"), valid))
+        size += len(raw)
+        if size > _BATCH_BYTES:
+            yield _batch(read, *names)
+            read, size = [], 0
+    yield _batch(read, *names)
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(column.to_pylist() for column in batch.columns))
+
+
+def _batch(rows: list[tuple], *names: str) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    kinds = [pa.bool_() if name == "valid_utf8" else pa.string() for name in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=list(names))

@@ -1,0 +1,127 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from codestrata.operators import vectors
+from codestrata.plans import retrieval
+
+RNG = np.random.default_rng(7)
+
+
+def exact(corpus, queries, k, metric):
+    want = {}
+    for query_id, q in queries:
+        for collection in {c for c, _, _ in corpus}:
+            scored = []
+            for c, item_id, v in corpus:
+                if c != collection:
+                    continue
+                a, b = np.float32(q).astype(float), np.float32(v).astype(float)
+                if metric == "unit":
+                    if not a.any() or not b.any():
+                        continue
+                    d = 2 - 2 * float(a @ b) / np.sqrt(float(a @ a) * float(b @ b))
+                else:
+                    d = float(((b - a) ** 2).sum())
+                scored.append((d, item_id))
+            for rank, (d, item_id) in enumerate(sorted(scored)[:k], 1):
+                want[collection, query_id, rank] = item_id, pytest.approx(d, abs=1e-9)
+    return want
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    # Whole numbers give many ties; a third of one collection are copies of one vector.
+    corpus = [(c, f"{c}{i}", [float(x) for x in (RNG.integers(-2, 3, 6) if i % 3 else [1, 1, 0, 0, 0, 2])]) for c in "ab" for i in range(150)]
+    corpus += [("c", "only", [1.0] * 6), ("a", "zero", [0.0] * 6)]
+    queries = [(f"q{i}", [float(x) for x in RNG.integers(-2, 3, 6)]) for i in range(12)] + [("zero", [0.0] * 6)]
+    tables = (
+        spark.createDataFrame(corpus, "collection string, item_id string, embedding array<float>").repartition(5),
+        spark.createDataFrame(queries, "query_id string, embedding array<float>"),
+    )
+    return corpus, queries, *tables
+
+
+@pytest.mark.parametrize("metric", ["l2", "unit"])
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 200, "chunk_rows": 40}], ids=["broadcast", "blocks"])
+def test_both_ways_equal_brute_force(data, metric, options):
+    corpus, queries, c, q = data
+    got = {(r.collection, r.query_id, r["rank"]): (r.item_id, r.distance) for r in vectors.knn(c, q, 4, metric, **options).collect()}
+    assert got == exact(corpus, queries, 4, metric)
+
+
+def test_fewer_items_than_k_are_not_padded(data):
+    _, _, c, q = data
+    hits = vectors.knn(c.filter("collection = 'c'"), q, 5)
+    assert {r["rank"] for r in hits.collect()} == {1}
+
+
+def test_large_values_do_not_lose_the_nearest(spark):
+    base = 1e6
+    corpus = spark.createDataFrame([("a", str(i), [base + i * 0.25, base]) for i in range(50)], "collection string, item_id string, embedding array<float>")
+    query = spark.createDataFrame([("q", [base + 5.0, base])], "query_id string, embedding array<float>")
+    assert [(r.item_id, r.distance) for r in vectors.knn(corpus, query, 3).orderBy("rank").collect()] == [("20", 0.0), ("19", 0.0625), ("21", 0.0625)]
+
+
+def test_many_collections_are_flushed(spark):
+    corpus = spark.range(3000).select(
+        (F.col("id") % 200).cast("string").alias("collection"), F.col("id").cast("string").alias("item_id"),
+        F.array(F.col("id").cast("float"), F.lit(0.0).cast("float")).alias("embedding"),
+    ).repartition(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        query = spark.createDataFrame([("q", [0.0, 0.0])], "query_id string, embedding array<float>")
+        got = {r.collection: r.item_id for r in vectors.knn(corpus, query, 1).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {str(i): str(i) for i in range(200)}
+
+
+def test_widths_must_agree(data, spark):
+    _, _, c, _ = data
+    with pytest.raises(Exception, match="width"):
+        vectors.knn(c, spark.createDataFrame([("q", [1.0])], "query_id string, embedding array<float>"), 1).collect()
+
+
+def test_no_pairs_in_the_plan(data):
+    _, _, c, q = data
+    plan = vectors.knn(c, q, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_blank_texts_and_failures(spark):
+    texts = spark.createDataFrame([(1, "Alpha beta alpha"), (2, " 　"), (3, None), (4, "!!!"), (5, "fail me")], "id int, text string")
+    embedder = vectors.hashing_embedder(16)
+    out = {r.id: r for r in vectors.embed(texts, "text", lambda c: F.when(~c.startswith("fail"), embedder(c)), 16).collect()}
+    assert set(out) == {1, 4, 5}
+    assert not any(out[4].embedding) and not out[4].failed
+    assert out[5].failed and out[5].embedding == [0.0] * 16
+    assert sum(abs(x) for x in out[1].embedding) in (3.0, 1.0)
+
+
+def test_collections_are_embedded_together(spark):
+    make = lambda name, *texts: spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], f"item_id string, {name} string")
+    out = vectors.embed_collections(make("code", "def f", ""), make("message", "fix", "add"), make("title", None), vectors.hashing_embedder(8), 8)
+    assert {tuple(r) for r in vectors.embed_summary(out).collect()} == {("functions", 1, 0), ("commits", 2, 0)}
+
+
+def test_embedder_runs_once_per_row(spark):
+    texts = spark.createDataFrame([(1, "a")], "id int, text string")
+    out = vectors.embed(texts, "text", vectors.hashing_embedder(8), 8).filter("not failed")
+    plan = out.select("id", F.explode("embedding"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_retrieval_finds_the_matching_text(spark):
+    items = spark.createDataFrame([
+        ("functions", "1", "parse", "def parse(text): return tokens"), ("functions", "2", None, "def draw(canvas): pass"),
+        ("commits", "3", None, "Fix parser for empty text"), ("other", "4", None, "parse text"),
+    ], "collection string, item_id string, name string, text string")
+    queries = spark.createDataFrame([("q", "parse text tokens"), ("blank", "  ")], "query_id string, text string")
+    got = dict(retrieval.retrieve(items, queries, vectors.hashing_embedder(64), 64, 1).select("query_id", "context").collect())
+    assert got == {"q": "Functions:\n1. parse: def parse(text): return tokens\n\nCommits:\n1. Fix parser for empty text", "blank": ""}
+    prompts = dict(retrieval.prompts(items, queries, vectors.hashing_embedder(64), 64, 1).collect())
+    assert "No relevant repository context found." in prompts["blank"] and prompts["q"].endswith("Question:\nparse text tokens\n\nAnswer:")
