@@ -36,6 +36,15 @@ def is_code_line(line: Column) -> Column:
     return line.rlike(f"\\A{SPACE}*(?!//|/\\*){NON_SPACE}")
 
 
+def may_define(line: Column) -> Column:
+    """A plain text test that every defining line passes, so that most lines meet no regex."""
+    needed = dict.fromkeys(text for _, text in (*FUNCTION_PATTERNS, *CLASS_PATTERNS))
+    test = F.lit(False)
+    for text in needed:
+        test = test | line.contains(text)
+    return test
+
+
 def _first_name(line: Column, patterns: tuple[tuple[str, str], ...], rejected: tuple[str, ...] = ()) -> Column:
     """Name from the first pattern that gives an allowed one. A plain text search goes before each regex."""
     tried = []

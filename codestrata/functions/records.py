@@ -72,9 +72,4 @@ def snippet(content: Column, start: Column, end: Column) -> Column:
     """
     head = F.call_function("substring_index", content, F.lit("\n"), end)
     before = F.call_function("substring_index", content, F.lit("\n"), start - 1)
-    line_count = F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + 1
-    return (
-        F.when(start <= 1, head)
-        .when(start > line_count, F.lit(""))
-        .otherwise(F.substring(head, F.length(before) + 2, F.length(head)))
-    )
+    return F.when(start <= 1, head).otherwise(F.substring(head, F.length(before) + 2, F.length(head)))

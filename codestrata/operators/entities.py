@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.records import snippet
-from codestrata.operators.javascript import script_entities, scripts
+from codestrata.operators.javascript import HASHED_FILE, file_hash, script_entities, scripts
 from codestrata.operators.python_source import python_entities
 from codestrata.schemas import ENTITIES
 
@@ -14,16 +14,17 @@ _FILE = ["repo", "path"]
 
 
 def with_code(spans: DataFrame, files: DataFrame) -> DataFrame:
-    """Add the source lines of each span.
+    """Add the source lines of each span of `script_entities`.
 
     Spans are gathered per file first, so every file's content meets its spans in one row of one
-    join instead of being repeated per span; a file's spans are bounded by its own text.
+    join instead of being repeated per span; a file's spans are bounded by its own text. They are
+    still partitioned by file, so only the contents are shuffled here.
     """
-    fields = [c for c in spans.columns if c not in _FILE]
-    per_file = spans.groupBy(*_FILE).agg(F.collect_list(F.struct(*fields)).alias("spans"))
+    fields = [c for c in spans.columns if c not in HASHED_FILE]
+    per_file = spans.groupBy(*HASHED_FILE).agg(F.collect_list(F.struct(*fields)).alias("spans"))
     return (
-        files.select(*_FILE, "content")
-        .join(per_file, _FILE)
+        files.select(file_hash(), *_FILE, "content")
+        .join(per_file, HASHED_FILE)
         .select(*_FILE, "content", F.explode("spans").alias("span"))
         .select(
             *_FILE,

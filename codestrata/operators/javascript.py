@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions import code
 from codestrata.functions.text import language_of
 
 _FILE = ["repo", "path"]
+HASHED_FILE = ["file_hash", *_FILE]
 
 
 def explode_lines(files: DataFrame, *keep: str) -> DataFrame:
@@ -42,9 +43,12 @@ def marked_lines(files: DataFrame) -> DataFrame:
         "n_lines",
     )
     has_brace = line.contains("{") | line.contains("}")
-    braces = F.when(has_brace, F.regexp_replace(line, "[^{}]", "")).otherwise(F.lit(""))
+    braces = F.when(has_brace, F.regexp_replace(line, "[^{}]+", "")).otherwise(F.lit(""))
     marked = explode_lines(scripts(files)).select(
-        *_FILE, "line_no", F.when(code.is_code_line(line), found).alias("definition"), braces.alias("braces")
+        *_FILE,
+        "line_no",
+        F.when(code.may_define(line) & code.is_code_line(line), found).alias("definition"),
+        braces.alias("braces"),
     )
     some = F.col("definition.function_name").isNotNull() | F.col("definition.class_name").isNotNull()
     return marked.withColumn("definition", F.when(some, F.col("definition")))
@@ -59,6 +63,11 @@ def definitions(files: DataFrame) -> DataFrame:
     )
 
 
+def file_hash() -> Column:
+    """Number of a file that leads its key: it sorts faster than the names, which keep the key exact."""
+    return F.xxhash64(*_FILE).alias("file_hash")
+
+
 def block_spans(marked: DataFrame) -> DataFrame:
     """`start_line` and `end_line` of every definition in `marked_lines`.
 
@@ -76,17 +85,16 @@ def block_spans(marked: DataFrame) -> DataFrame:
     position = F.col("position")
     brace = F.when(position > 0, F.substring(braces, position, F.lit(1)))
     events = marked.withColumn("position", F.explode(positions)).select(
-        F.xxhash64(*_FILE).alias("file_hash"),  # sorts faster than the names, which keep it exact
+        file_hash(),
         *_FILE,
         (F.shiftleft(F.col("line_no").cast("bigint"), 32) + position).alias("seq"),
         F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0).alias("step"),
         F.when(position == 0, F.col("definition")).alias("definition"),
     )
-    file = ["file_hash", *_FILE]
     so_far = (Window.unboundedPreceding, Window.currentRow)
-    forward = Window.partitionBy(*file).orderBy("seq").rowsBetween(*so_far)
-    backward = Window.partitionBy(*file).orderBy(F.desc("seq")).rowsBetween(*so_far)
-    by_depth = Window.partitionBy(*file, "depth").orderBy(F.desc("from_seq")).rowsBetween(*so_far)
+    forward = Window.partitionBy(*HASHED_FILE).orderBy("seq").rowsBetween(*so_far)
+    backward = Window.partitionBy(*HASHED_FILE).orderBy(F.desc("seq")).rowsBetween(*so_far)
+    by_depth = Window.partitionBy(*HASHED_FILE, "depth").orderBy(F.desc("from_seq")).rowsBetween(*so_far)
     seq, is_definition = F.col("seq"), F.col("definition").isNotNull()
 
     opened = (
@@ -99,7 +107,7 @@ def block_spans(marked: DataFrame) -> DataFrame:
     ).withColumn("close_seq", F.last(F.when(F.col("step") == -1, seq), ignorenulls=True).over(by_depth))
     ends_at = F.when(F.col("open_seq").isNotNull(), F.shiftright("close_seq", 32).cast("int"))
     return closed.filter(is_definition).select(
-        *_FILE,
+        *HASHED_FILE,
         "definition.*",
         F.shiftright("seq", 32).cast("int").alias("start_line"),
         F.coalesce(ends_at, F.col("definition.n_lines")).alias("end_line"),
@@ -124,7 +132,7 @@ def script_entities(files: DataFrame) -> DataFrame:
         block_spans(marked_lines(files))
         .withColumn("entity", F.explode(F.filter(found, lambda e: e["name"].isNotNull())))
         .select(
-            *_FILE,
+            *HASHED_FILE,
             language_of(F.col("path")).alias("language"),
             F.col("entity.type").alias("type"),
             F.col("entity.name").alias("name"),

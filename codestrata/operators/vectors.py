@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -25,36 +23,42 @@ _HITS = "collection string, query_id string, item_id string, distance double"
 _HITS_ARROW = pa.schema([
     ("collection", pa.string()), ("query_id", pa.string()), ("item_id", pa.string()), ("distance", pa.float64()),
 ])
-_CELLS = 4_000_000
-_MAX_COLLECTIONS = 64
+_CELLS = 8_000_000
+_HELD = 1_000_000
 
 
 def hashing_embedder(dim: int = 256) -> Callable[[Column], Column]:
     """Default embedder: signed counts of a text's words in `dim` buckets, as exact whole numbers.
 
-    A pandas UDF like any model would be, so it needs no shuffle; a remote or local model plugs in
+    An Arrow UDF like any model would be, so it needs no shuffle; a remote or local model plugs in
     as another Column -> Column function that gives null where it fails. Such a UDF should be marked
     non-deterministic, as here: otherwise Spark copies the call into every filter on its result.
     """
     word = regex.compile(r"[\p{L}\p{N}]+")
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed_words(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def embed_words(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, tuple[int, int]] = {}
+
+        def place(token: str) -> tuple[int, int]:
+            found = known.get(token)
+            if found is None:
+                digest = md5(token.encode()).hexdigest()
+                found = int(digest[:8], 16) % dim, 1 if digest[8] < "8" else -1
+                if len(known) < 500_000:
+                    known[token] = found
+            return found
+
         for batch in texts:
-            vectors = []
-            for text in batch:
-                vector = np.zeros(dim, dtype=np.float32)
-                for token, count in Counter(word.findall(text or "")).items():
-                    place = known.get(token)
-                    if place is None:
-                        digest = md5(token.encode()).hexdigest()
-                        place = int(digest[:8], 16) % dim, 1 if digest[8] < "8" else -1
-                        if len(known) < 500_000:
-                            known[token] = place
-                    vector[place[0]] += place[1] * count
-                vectors.append(vector)
-            yield pd.Series(vectors)
+            cells, signs = [], []
+            for row, text in enumerate(batch.to_pylist()):
+                for token in word.findall(text or ""):
+                    bucket, sign = place(token)
+                    cells.append(row * dim + bucket)
+                    signs.append(sign)
+            counts = np.bincount(np.array(cells, dtype=np.int64), weights=signs, minlength=len(batch) * dim)
+            offsets = np.arange(0, len(batch) * dim + 1, dim, dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.astype(np.float32)))
 
     once = embed_words.asNondeterministic()
     return lambda text: once(F.lower(text))
@@ -199,9 +203,11 @@ class _Nearest:
         self.query_ids = [q for q, kept in zip(query_ids, keep) if kept]
         self.queries, self.norms = queries[keep], norms[keep]
         self.best: dict[str, list[list[tuple[float, str]]]] = {}
+        self.worst: dict[str, np.ndarray] = {}
 
     def is_full(self) -> bool:
-        return len(self.best) > _MAX_COLLECTIONS
+        """Time to hand over what is held; the final ranking merges the parts."""
+        return len(self.best) * len(self.query_ids) * self.k > _HELD
 
     def add(self, batch: pa.RecordBatch) -> None:
         if not batch.num_rows or not self.query_ids:
@@ -228,27 +234,29 @@ class _Nearest:
         else:
             distances = self.norms[:, None] + norms[None, :] - 2 * dots
             slack = 1e-9 * (1 + float(norms.max()) + float(self.norms.max()))
-        best = self.best.setdefault(name, [[] for _ in self.query_ids])
+        if name not in self.best:
+            self.best[name] = [[] for _ in self.query_ids]
+            self.worst[name] = np.full(len(self.query_ids), np.inf)
+        best, worst = self.best[name], self.worst[name]
         # The expanded formula only narrows the candidates (with room for its rounding, and for ties);
         # what is ranked and reported is the sum of squared differences.
+        limits = worst + slack
         if len(ids) > self.k:
-            limits = np.partition(distances, self.k - 1, axis=1)[:, self.k - 1] + slack
-        else:
-            limits = np.full(len(self.query_ids), np.inf)
-        for q, limit in enumerate(limits):
-            held = best[q]
-            if len(held) == self.k:
-                limit = min(limit, held[-1][0] + slack)
-            near = np.flatnonzero(distances[q] <= limit)
-            if not len(near):
-                continue
+            limits = np.minimum(limits, np.partition(distances, self.k - 1, axis=1)[:, self.k - 1] + slack)
+        near = distances <= limits[:, None]
+        for q in np.flatnonzero(near.any(axis=1)):
+            columns = np.flatnonzero(near[q])
             if self.metric == "unit":
-                exact = distances[q, near]
+                exact = distances[q, columns]
             else:
-                gaps = vectors[near] - self.queries[q]
+                gaps = vectors[columns] - self.queries[q]
                 exact = (gaps * gaps).sum(axis=1)
-            first = np.lexsort((ids[near], exact))[: self.k]
-            best[q] = sorted([*held, *zip(exact[first].tolist(), ids[near][first].tolist())])[: self.k]
+            first = np.lexsort((ids[columns], exact))[: self.k]
+            found = zip(exact[first].tolist(), ids[columns[first]].tolist())
+            held = sorted([*best[q], *found])[: self.k]
+            best[q] = held
+            if len(held) == self.k:
+                worst[q] = held[-1][0]
 
     def flush(self) -> pa.RecordBatch:
         rows = [
@@ -257,7 +265,7 @@ class _Nearest:
             for query_id, held in zip(self.query_ids, per_query)
             for distance, item_id in held
         ]
-        self.best = {}
+        self.best, self.worst = {}, {}
         columns = zip(*rows) if rows else [[]] * 4
         return pa.RecordBatch.from_arrays(
             [pa.array(list(c), type=f.type) for c, f in zip(columns, _HITS_ARROW)], schema=_HITS_ARROW
