@@ -35,7 +35,11 @@ def with_code(spans: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def extract_entities(files: DataFrame) -> DataFrame:
-    """Functions, classes, interfaces, types and enums of all supported files."""
+    """Functions, classes, interfaces, types and enums of all supported files.
+
+    Python files, script lines and script contents are three passes, so `files` should be a stored
+    or staged table rather than a tree still to be read.
+    """
     readable = files.filter("valid_utf8") if "valid_utf8" in files.columns else files
     python = python_entities(readable).withColumn("language", F.lit("python"))
     script = with_code(script_entities(readable), scripts(readable))

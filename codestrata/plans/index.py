@@ -13,6 +13,10 @@ from codestrata.operators.upsert import file_dictionary, file_id, first_write
 from codestrata.session import broadcast_if_small, stage
 
 
+# Fixed value: the commit of a repository nothing is known about.
+UNKNOWN = "unknown"
+
+
 class Lineage(NamedTuple):
     commits: DataFrame
     files: DataFrame
@@ -29,7 +33,7 @@ def head_commits(repos: DataFrame, commits: DataFrame, heads: DataFrame | None =
         known = known.join(heads.select("repo", "head_sha"), "repo", "left")
     else:
         known = known.withColumn("head_sha", F.lit(None).cast("string"))
-    return known.select("repo", F.coalesce("head_sha", "newest_sha", F.lit("unknown")).alias("commit_sha"))
+    return known.select("repo", F.coalesce("head_sha", "newest_sha", F.lit(UNKNOWN)).alias("commit_sha"))
 
 
 def index_repositories(
@@ -43,14 +47,16 @@ def index_repositories(
     """Commits, files and symbols of all repositories in `tree` (repo, path, content) at their head.
 
     Sources are parsed once: the symbol rows are written to the shared folder, and the file table
-    is derived from them. `store_empty_files` also keeps matching files that gave no symbol.
+    is derived from them. `store_empty_files` also keeps matching files that gave no symbol, and
+    takes their paths from a second pass over `tree`, which should then be a stored table.
     """
     path = F.col("path")
     sources = tree.filter(has_suffix(path, suffixes) & ~excluded_by_segment(path))
-    heads = broadcast_if_small(stage(head_commits(tree.select("repo").distinct(), commits, heads), "heads"))
-    found = python_entities(sources, with_text=False, **parse_options)
+    known = commits.select("repo") if heads is None else commits.select("repo").unionByName(heads.select("repo"))
+    heads = broadcast_if_small(stage(head_commits(known.distinct(), commits, heads), "heads"))
+    found = python_entities(sources, with_text=False, **parse_options).join(heads, "repo", "left")
     symbols = stage(
-        found.join(heads, "repo").select(
+        found.withColumn("commit_sha", F.coalesce("commit_sha", F.lit(UNKNOWN))).select(
             "repo",
             F.xxhash64("repo", "commit_sha", "path", "type", "name", "start_line", "end_line").alias("symbol_id"),
             file_id(F.col("repo"), path).alias("file_id"),

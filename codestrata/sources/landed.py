@@ -83,7 +83,7 @@ def read_pages(pages: DataFrame, page_size: int, source: str = "source", page: s
     Page counts reduce the data before anything is compared. A page that was never landed is an
     empty page, found as a successor without a row; the rows then meet one stop page per source.
     """
-    counts = pages.groupBy(source, page).agg(F.count("*").alias("n"))
+    counts = stage(pages.groupBy(source, page).agg(F.count("*").alias("n")), "page_counts")
     short = counts.filter(F.col("n") < page_size).select(source, page)
     expected = counts.select(source, (F.col(page) + 1).alias(page)).unionByName(
         counts.select(source).distinct().select(source, F.lit(first_page).cast(counts.schema[page].dataType).alias(page))

@@ -381,9 +381,9 @@ RETRIEVED = TEXT_KNN + """
 
 ORACLE["retrieval_context"] = RETRIEVED + " select query_id, context from contexts"
 ORACLE["context_fallback"] = RETRIEVED + """
-    select query_id, case when cast(query_id as bigint) % 2 = 0 then substr(context, 1, 11) else 'No relevant' end as start,
-           cast(query_id as bigint) % 2 <> 0 as empty
-    from contexts"""
+    select query_id, substr(context, 1, 11) as start, false as empty from contexts
+    union all
+    select 'blank ' || query_id, 'No relevant', true from contexts"""
 ORACLE["prompts"] = RETRIEVED + """
     select query_id, 'Answer the question about a software repository from the context below.' || chr(10) || chr(10) || 'Context:' || chr(10)
            || case when context = '' then 'No relevant repository context found.' else context end

@@ -21,7 +21,12 @@ SQL = {
                       case p_partkey % 4 when 0 then 'build/' when 1 then '.cache/' when 2 then 'rebuild/' else '' end,
                       replace(p_name, ' ', '_'), '_', cast(p_partkey as string),
                       case p_partkey % 5 when 0 then '.py' when 1 then '.js' when 2 then '.tsx' when 3 then '.go' else '.md' end) as current_path
-        from {part}""",
+        from {part}
+        union all
+        select concat('repo', cast(s_suppkey % 10 as string)) as repo,
+               -1 - s_suppkey as file_id,
+               concat('docs/', replace(s_name, '#', '_'), '.md') as current_path
+        from {supplier}""",
     "v_symbols": """
         select concat('repo', cast(l_partkey % 10 as string)) as repo,
                l_partkey as file_id,
@@ -30,8 +35,7 @@ SQL = {
                concat(case when l_linestatus = 'O' then 'Load' else 'load' end, '_', cast(l_suppkey as string)) as name,
                l_linenumber * 10 as start_line,
                l_linenumber * 10 + cast(l_quantity as int) as end_line
-        from {lineitem}
-        where l_partkey % 7 <> 0""",
+        from {lineitem}""",
     "v_prs": """
         select concat('repo', cast(user_id % 10 as string)) as repo,
                event_id as number,
