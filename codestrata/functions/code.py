@@ -26,9 +26,20 @@ NOT_FUNCTIONS = ("if", "for", "while", "switch", "catch")
 TYPE_WORDS = ("interface", "type", "enum")
 
 
+_WORD = r"[\p{L}\p{N}_]"
+
+
 def _java(pattern: str) -> str:
-    """Python's Unicode `\\w` and `\\s` spelled out for Java."""
-    return pattern.replace(r"\w", r"[\p{L}\p{N}_]").replace(r"\s", SPACE)
+    """Python's Unicode `\\w` and `\\s` spelled out for Java, without backtracking.
+
+    What follows a repetition in these patterns never matches the repeated characters, so possessive
+    repetition finds the same; and a match from inside a word has a longer one from the word's start
+    before it, so starts inside words are not tried. A long word then costs linear time.
+    """
+    for greedy in (r"\w+", r"\s+", r"\s*", "[^)]*"):
+        pattern = pattern.replace(greedy, greedy + "+")
+    start = f"(?<!{_WORD})" if pattern.startswith(r"(\w") else ""
+    return start + pattern.replace(r"\w", _WORD).replace(r"\s", SPACE)
 
 
 def is_code_line(line: Column) -> Column:

@@ -56,10 +56,12 @@ def marked_lines(files: DataFrame) -> DataFrame:
 
 def definitions(files: DataFrame) -> DataFrame:
     """Every line that defines a function, a class-like entity or both."""
+    # An explode, unlike a filter, is not pushed down to repeat the pattern matching.
+    found = F.explode(F.filter(F.array("definition"), lambda d: d.isNotNull()))
     return (
         marked_lines(files)
-        .filter("definition is not null")
-        .select(*_FILE, "line_no", "definition.function_name", "definition.class_name", "definition.class_type")
+        .select(*_FILE, "line_no", found.alias("found"))
+        .select(*_FILE, "line_no", "found.function_name", "found.class_name", "found.class_type")
     )
 
 

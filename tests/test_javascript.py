@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,42 @@ def test_class_names(spark, line, name, label):
     assert tuple(row) == (name, label)
 
 
+def test_names_as_python_finds_them(spark):
+    """The same patterns through Python's re on random lines."""
+    rng = random.Random(1)
+    space = lambda: rng.choice(["", "", " ", "\t", "　 "])
+    word = lambda: rng.choice(["a", "é9", "_x", "if", "for", "²x1", "function", "type", "", "a-b"])
+    shapes = [
+        lambda: f"function{space()}{word()}{space()}(",
+        lambda: f"{word()}{space()}{rng.choice(':=')}{space()}function{space()}(",
+        lambda: f"{word()}{space()}={space()}({word()}{rng.choice([')', ''])}{space()}=>",
+        lambda: f"{word()}{space()}({word()}){space()}=>",
+        lambda: f"{rng.choice(['class', 'interface', 'enum'])}{space()}{word()}{space()}{{",
+        lambda: f"type{space()}{word()}{space()}=",
+        lambda: rng.choice(["(", ")", "=>", " ", ","]),
+    ]
+    lines = sorted({"".join(rng.choice(shapes)() + space() for _ in range(rng.randrange(1, 4))) for _ in range(4000)})
+
+    def first(line, patterns, rejected=()):
+        hits = (re.search(p, line) for p, _ in patterns)
+        return next((h.group(1) for h in hits if h and h.group(1) not in rejected), None)
+
+    line = F.col("line")
+    got = lines_of(spark, *lines).select(code.function_name(line), code.class_name(line)).collect()
+    want = [(first(v, code.FUNCTION_PATTERNS, code.NOT_FUNCTIONS), first(v, code.CLASS_PATTERNS)) for v in lines]
+    assert sum(f is not None for f, _ in want) > 300 and sum(c is not None for _, c in want) > 300
+    assert [tuple(r) for r in got] == want
+    defining = lines_of(spark, *lines).filter(~code.may_define(line)).select(code.function_name(line), code.class_name(line))
+    assert {tuple(r) for r in defining.collect()} <= {(None, None)}
+
+
+def test_a_long_word_takes_linear_time(spark):
+    long = "x" * 300_000 + " => function" + " " * 300_000
+    began = time.monotonic()
+    assert lines_of(spark, long).select(code.function_name(F.col("line")), code.class_name(F.col("line"))).first()[0] is None
+    assert time.monotonic() - began < 10
+
+
 def test_skipped_lines(spark):
     lines = ["", "  ", "// class A", "  /* class A", " * class A", "x // y", "　// z", " class A", "/ /", "\x1c//"]
     got = [r[0] for r in lines_of(spark, *lines).select(code.is_code_line(F.col("line"))).collect()]
