@@ -24,10 +24,14 @@ def all_symbols(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return symbols_with_paths(symbols, files).orderBy("repo", *SYMBOL_ORDER).select(*_LISTED)
 
 
+def matching_symbols(symbols: DataFrame, pattern: str) -> DataFrame:
+    """Symbols whose name contains the pattern."""
+    return symbols.filter(contains_like(F.col("name"), pattern))
+
+
 def symbol_search(symbols: DataFrame, files: DataFrame, pattern: str) -> DataFrame:
     """Symbols whose name contains the pattern, by path."""
-    hits = symbols.filter(contains_like(F.col("name"), pattern))
-    return all_symbols(hits, files)
+    return all_symbols(matching_symbols(symbols, pattern), files)
 
 
 def file_counts(symbols: DataFrame, files: DataFrame) -> DataFrame:

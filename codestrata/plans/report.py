@@ -11,7 +11,7 @@ from codestrata.operators import context
 from codestrata.operators.lookups import file_counts, repo_stats, report_files, report_symbols
 from codestrata.operators.ranking import recent_commits, recent_prs
 
-# How much of each list a report keeps.
+# How much of each list a report keeps, and the warning of a report without a tree.
 MAX_COMMITS = 50
 MAX_PRS = 30
 MAX_SYMBOLS = 200

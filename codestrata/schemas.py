@@ -31,13 +31,11 @@ PR_DOCUMENT = _struct(
     user=_struct(login=S, avatar_url=S), head=_REF, base=_REF,
     url=S, diff_url=S, patch_url=S, code_diff=S,
 )
-REPO_META = _struct(name=S, description=S, language=S, stars=L, forks=L)
 
 ENTITIES = _struct(
     repo=S, type=S, name=S, language=S, path=S, class_context=S, docstring=S, code=S,
     start_line=I, end_line=I, node_type=S,
 )
-SOURCE_FILES = _struct(repo=S, path=S, content=S, valid_utf8=T.BooleanType())
 VECTORS = T.StructType([
     T.StructField("collection", S),
     T.StructField("item_id", S),

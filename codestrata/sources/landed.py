@@ -33,13 +33,15 @@ def flatten(landed: DataFrame, column: str, paths: dict[str, str], types: dict[s
     """(records, quarantine) from a JSON text column.
 
     A record lacking one of the paths is set aside; a JSON null at the end of a path is a value.
+    The records come out of an explode: a filter would be pushed down and parse the text again.
     """
     v = F.col("_v")
     parsed = landed.withColumn("_v", F.try_parse_json(F.col(column)))
     complete = F.coalesce(records.all_present(v, paths), F.lit(False))
     kinds = types or {}
     flat = [records.leaf(v, path, kinds.get(name, "string")).alias(name) for name, path in paths.items()]
-    return parsed.filter(complete).select(*keep, *flat), parsed.filter(~complete).select(*landed.columns)
+    found = F.filter(F.array(F.when(complete, F.struct(*flat))), lambda record: record.isNotNull())
+    return parsed.select(*keep, F.inline(found)), parsed.filter(~complete).select(*landed.columns)
 
 
 def repo_metadata(column: str) -> list[Column]:

@@ -257,11 +257,13 @@ def blank_filter(spark, sf):
 @query
 def symbol_search(spark, sf):
     symbols, files = view(spark, sf, "v_symbols"), view(spark, sf, "v_files")
+    # Three searches at once: the hits carry their pattern through one join and one sort.
     found = None
     for pattern in ("load_1", "D_2_", "OAD%9"):
-        hits = lookups.symbol_search(symbols, files, pattern).withColumn("pattern", F.lit(pattern))
+        hits = lookups.matching_symbols(symbols, pattern).withColumn("pattern", F.lit(pattern))
         found = hits if found is None else found.unionByName(hits)
-    return found
+    listed = lookups.symbols_with_paths(found, files).orderBy("pattern", "repo", "current_path")
+    return listed.select("repo", "current_path", "kind", "name", "start_line", "end_line", "pattern")
 
 
 @query
