@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.session import broadcast_if_small, stage
+
 # Kinds a symbol may have; null passes, as in a SQL CHECK.
 KINDS = ("function", "class")
 _REQUIRED = ("file_id", "commit_sha", "name")
@@ -26,14 +28,18 @@ def split_valid(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def orphans(symbols: DataFrame, files: DataFrame, commits: DataFrame) -> DataFrame:
-    """Symbol rows whose file or commit is missing, one row per broken reference.
+    """Symbol rows whose file or commit is missing, one row per broken reference; a null refers to nothing.
 
-    The parents are unique on their key and only their key columns are read; a hot file or commit
-    sits on the streamed side, which adaptive execution splits.
+    The distinct references are compared with the parents, so a hot file or commit counts once. The
+    symbol rows are then only filtered by the references found broken.
     """
-    no_file = symbols.join(files.select("repo", "file_id"), ["repo", "file_id"], "left_anti")
-    no_commit = symbols.join(commits.select("repo", "commit_sha"), ["repo", "commit_sha"], "left_anti")
-    columns = symbols.columns
-    return no_file.select(*columns, F.lit("files").alias("missing")).unionByName(
-        no_commit.select(*columns, F.lit("commits").alias("missing"))
+    return _broken(symbols, files, ["repo", "file_id"], "files").unionByName(
+        _broken(symbols, commits, ["repo", "commit_sha"], "commits")
     )
+
+
+def _broken(symbols: DataFrame, parents: DataFrame, key: list[str], name: str) -> DataFrame:
+    used = symbols.select(*key).distinct()
+    missing = stage(used.join(parents.select(*key), key, "left_anti"), f"missing_{name}")
+    found = symbols.join(broadcast_if_small(missing), key, "left_semi")
+    return found.select(*symbols.columns, F.lit(name).alias("missing"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.records import snippet
@@ -18,19 +18,22 @@ def with_code(spans: DataFrame, files: DataFrame) -> DataFrame:
 
     Spans are gathered per file first, so every file's content meets its spans in one row of one
     join instead of being repeated per span; a file's spans are bounded by its own text. They are
-    still partitioned by file, so only the contents are shuffled here.
+    still partitioned by file, so only the contents are shuffled here. The content is split into
+    lines once (the explode of one array keeps Spark from moving the split into the loop over
+    spans), so a large file with many spans costs no more than its lines and its result.
     """
     fields = [c for c in spans.columns if c not in HASHED_FILE]
+
+    def with_snippet(span: Column) -> Column:
+        code = snippet(F.col("lines"), span["start_line"], span["end_line"])
+        return F.struct(*(span[c].alias(c) for c in fields), code.alias("code"))
+
     per_file = spans.groupBy(*HASHED_FILE).agg(F.collect_list(F.struct(*fields)).alias("spans"))
     return (
         files.select(file_hash(), *_FILE, "content")
         .join(per_file, HASHED_FILE)
-        .select(*_FILE, "content", F.explode("spans").alias("span"))
-        .select(
-            *_FILE,
-            *(F.col(f"span.{c}").alias(c) for c in fields),
-            snippet(F.col("content"), F.col("span.start_line"), F.col("span.end_line")).alias("code"),
-        )
+        .select(*_FILE, "spans", F.explode(F.array(F.split("content", "\n"))).alias("lines"))
+        .select(*_FILE, F.inline(F.transform("spans", with_snippet)))
     )
 
 

@@ -160,6 +160,16 @@ def test_one_exchange_and_no_content_past_the_explode(spark):
     assert "path" in carried and "n_lines" in carried and "content" not in carried
 
 
+def test_a_large_file_with_many_functions(spark):
+    content = "\n".join(f"function f{n}() {{\n  return {n}\n}}\n" for n in range(30_000))
+    files = spark.createDataFrame([("r", "big.js", content), ("r", "small.js", "class A {}")], "repo string, path string, content string")
+    began = time.monotonic()
+    got = {r.name: (r.start_line, r.end_line, r.code) for r in extract_entities(files).collect()}
+    assert time.monotonic() - began < 60
+    assert len(got) == 30_001
+    assert got["f29999"] == (119_997, 119_999, "function f29999() {\n  return 29999\n}")
+
+
 def test_entities_of_a_mixed_tree(spark):
     files = spark.createDataFrame([
         ("r", "a.ts", "interface I {\n  x: string\n}\nconst go = (x) => {\n  return x\n}", True),
