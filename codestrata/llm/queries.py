@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import mixing, packing, quality, sharding
+from codestrata.llm import mixing, packing, pii, quality, sharding, token_ids
+
+END_ID = 1
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, from the token files it was written to."""
+    import public_tokenizers
+
+    folder, files = token_ids.write_token_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return token_ids.read_token_ids(spark, folder, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data and disclosing terms, as places in its text."""
+    found = pii.found(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    base = F.filter("spans", lambda s: s["kind"] != pii.TERM)
+    return found.select(F.col("row.doc_id").alias("doc_id"), *counts, F.sha2(pii.written(base), 256).alias("base_sha256"),
+                        pii.written(F.col("spans")).alias("spans"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its measures and verdict."""
     return quality.judged(_table(spark, sf_dir, "documents")).select(
@@ -37,6 +56,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_ids": op1_token_ids,
+    "op4_pii": op4_pii,
     "op7_quality_rules": op7_quality_rules,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
