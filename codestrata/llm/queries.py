@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import mixing, packing, pii, quality, sharding, token_ids
+from codestrata.llm import langid, mixing, packing, pii, quality, sharding, token_ids, topk, url_filter
 
 END_ID = 1
 
@@ -22,6 +22,17 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read_token_ids(spark, folder, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
+    return url_filter.judged(_table(spark, sf_dir, "pages"))
+
+
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every row whose id is divisible by 50."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's personal data and disclosing terms, as places in its text."""
     found = pii.found(_table(spark, sf_dir, "documents"))
@@ -31,6 +42,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.written(F.col("spans")).alias("spans"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learnt from four fifths of the ids."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.trained(docs.where(~langid.held_out()).select("text", "lang"))
+    return langid.predicted(docs, model).select(
+        F.col("row.doc_id").alias("doc_id"), langid.held_out("row`.`doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its measures and verdict."""
     return quality.judged(_table(spark, sf_dir, "documents")).select(
@@ -57,10 +76,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op2_url_filter": op2_url_filter,
+    "op3_top_k": op3_top_k,
     "op4_pii": op4_pii,
+    "op5_language": op5_language,
     "op7_quality_rules": op7_quality_rules,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_top_k": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+            where vec_id is not null and embedding is not null
+        ), scored as (
+            select q.vec_id as query_id, c.vec_id,
+                   cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
+            from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+        ), placed as (
+            select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+        )
+        select query_id, cast(rank as integer) as rank, vec_id, score from placed where rank <= 5
+    """,
+}
