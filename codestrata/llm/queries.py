@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import langid, mixing, packing, pii, quality, sharding, token_ids, topk, url_filter
+from codestrata.llm import langid, mixing, near_dup, packing, pii, quality, sharding, token_ids, topk, url_filter
 
 END_ID = 1
 
@@ -50,6 +50,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), langid.held_out("row`.`doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near copies."""
+    return near_dup.labelled(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its measures and verdict."""
     return quality.judged(_table(spark, sf_dir, "documents")).select(
@@ -80,6 +85,7 @@ QUERIES = {
     "op3_top_k": op3_top_k,
     "op4_pii": op4_pii,
     "op5_language": op5_language,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_quality_rules": op7_quality_rules,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import mixing, packing, pii, quality
+from codestrata.llm import mixing, near_dup, packing, pii, quality
 from codestrata.session import work_dir
 
 
@@ -14,6 +14,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return near_dup.one_each(docs)
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with personal data and disclosing terms replaced in their texts."""
     return pii.sanitise(docs, length="n_chars")
@@ -31,6 +36,7 @@ def packing_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
     ("personal data", personal_data),
     ("mixing", mixing_sources),
     ("packing", packing_batches),
