@@ -36,9 +36,12 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's personal data and disclosing terms, as places in its text."""
     found = pii.found(_table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter("spans", lambda s: s["kind"] != pii.TERM)
-    return found.select(F.col("row.doc_id").alias("doc_id"), *counts, F.sha2(pii.written(base), 256).alias("base_sha256"),
+    return found.select(F.col("row.doc_id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(pii.written(base), 256).alias("base_sha256"),
                         pii.written(F.col("spans")).alias("spans"))
 
 

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from codestrata.session import stage, work_dir
 
 MAGIC = b"FREQIDS1"
-_PIECE = 8 << 20
-_CACHE = 700_000
+_PIECE = 6 << 20
+_CACHE = 400_000
 #: Byte lengths of the four ranks that a control byte describes, and the bits that a rank of each length has.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
@@ -204,7 +204,7 @@ def _reader(folder: str, step: int = 1 << 20):
 
 
 def write_token_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None,
-                    id_col: str = "doc_id", text: str = "text", file_bytes: int = 48 << 20) -> tuple[str, DataFrame]:
+                    id_col: str = "doc_id", text: str = "text", file_bytes: int = 32 << 20) -> tuple[str, DataFrame]:
     """Write all texts' ids in ascending id order; returns the folder and its manifest (file, part, n_docs, n_ids).
 
     The texts are range-sorted by id, and each range of about `file_bytes` of text becomes a file that ranks the
