@@ -1,0 +1,123 @@
+from __future__ import annotations
+
+import math
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from codestrata.llm import pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def brute(text):
+    found = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and max(map(int, m.group().split("."))) > 255:
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            found.append((kind, m.start(), m.end()))
+    return found
+
+
+def cleaned(text, spans):
+    """Labels for spans in order of place; a span that begins inside another extends it without a label."""
+    out, at = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= at:
+            out += [text[at:a], pii.LABELS[kind]]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def texts():
+    rng = random.Random(3)
+    some = [None, "", "a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "000.0.0.0 256.1.1.1", "4111 1111 1111 1111", "+1 (366) 555-9807 x 4111111111111111",
+            "tel +1 4111 1111 1111 1111@x.org é😀 ip 10.0.0.1", "a@b.co " * 700, "a." * 20_000 + "@x.y", "9" * 30_000, "é" * 9_000 + " me@here.org " + "z" * 9_000]
+    return some + ["".join(rng.choice("a1.2@3+4 5-6(7)8_9é😀\n0.0") for _ in range(rng.randrange(80))) for _ in range(1500)]
+
+
+def test_base_spans_and_cleaning_agree_with_plain_patterns(spark):
+    rows = list(enumerate(texts()))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spans = pii.base_spans(F.coalesce("text", F.lit("")))
+    for r in df.select("text", spans.alias("s")).select("text", "s", pii.sanitised(F.coalesce("text", F.lit("")), F.col("s")).alias("clean")).collect():
+        want = brute(r.text)
+        assert [(s.kind, s.start, s.end) for s in r.s] == want
+        assert all((r.text)[s.start : s.end] == s.value for s in r.s)
+        assert r.clean == cleaned(r.text or "", want)
+
+
+def corpus():
+    rng = random.Random(8)
+    fill = "river stone cloud paper green lamp window garden silver copper winter summer morning evening letter number".split()
+    word = lambda: rng.choice(fill)
+    rows = [(i, f"{word()} {word()} Jane Quxley <jane.q@mail.com> {word()} {word()} {word()}") for i in range(8)]
+    rows += [(100 + i, " ".join(word() for _ in range(12))) for i in range(60)]
+    rows += [(200, "Quxley alone is named here"), (201, "much later QUXLEY and quxley's, not xquxley, at jane.q@mail.com or Quxley@mail.com"), (202, None)]
+    # One surrounding, however often it is copied, shows nothing.
+    return rows + [(300 + i, "always the same Marple words call +1 (366) 555-9807 now") for i in range(9)]
+
+
+def test_terms_that_disclose_are_those_of_the_counts(spark):
+    rows = corpus()
+    got = {tuple(r) for r in pii.disclosing(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole = {t or "" for _, t in rows}
+    entity = "email:jane.q@mail.com"
+    holding = [t for t in whole if "jane.q@mail.com" in t.lower()]
+    words = lambda t: set(re.findall(r"[^\W\d_]+", t.lower()))
+    want = set()
+    for term in set().union(*map(words, holding)):
+        near = set()
+        for t in holding:
+            left, right = re.split(r"jane\.q@mail\.com", t, flags=re.I)[:2]
+            strip = lambda x: re.findall(r"[^\W\d_]+", re.sub(PLAIN["email"], " ", x).lower())
+            around = strip(left)[-8:] + strip(right)[:8]
+            if term in around and len(term) > 2:
+                near.add(tuple(w for w in dict.fromkeys(around) if len(w) > 2))
+        if len(near) < 3:
+            continue
+        n_e, n_t = len(holding), sum(term in words(t) for t in whole)
+        both = sum(any(term == w for w in n) for n in near)
+        told, own = math.log2(len(whole) * both / (n_e * n_t)), math.log2(len(whole) / n_e)
+        if told >= 0.8 * own:
+            want.add((entity, term))
+    assert got == want and (entity, "quxley") in got and not any(t == "marple" for _, t in got)
+
+
+def test_terms_go_where_their_entity_is(spark):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean[200] == "Quxley alone is named here" and clean[202] is None
+    assert clean[201] == "much later [TERM] and [TERM]'s, not xquxley, at [EMAIL] or [EMAIL]"
+    assert "[TERM] <[EMAIL]>" in clean[0] and clean[300].endswith("call [PHONE] now") and "Marple" in clean[300]
+
+
+def test_awkward_rows_stay_whole(awkward, nothing):
+    found = pii.found(awkward)
+    assert found.count() == awkward.count()
+    clean = pii.sanitise(awkward, length="n_chars")
+    assert clean.columns == awkward.columns and clean.dtypes == awkward.dtypes
+    before, after = ({(r.doc_id, r.text) for r in d.collect()} for d in (awkward, clean))
+    assert before == after
+    assert pii.found(nothing).count() == 0 and pii.sanitise(nothing).count() == 0
+
+
+def test_no_python_and_no_shuffled_text(spark, sf):
+    plan = pii.found(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
