@@ -10,6 +10,9 @@ _SPACES = r"\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000
 SPACE = f"[{_SPACES}]"
 NON_SPACE = f"[^{_SPACES}]"
 
+#: The same characters one by one.
+SPACE_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # Suffixes per language and per indexing variant.
@@ -29,7 +32,7 @@ SKIPPED_WORDS = (".git", "node_modules", "__pycache__", "venv", "dist", "build")
 
 def strip(c: Column) -> Column:
     """Python's str.strip(); Spark's trim removes spaces only."""
-    return F.regexp_replace(c, f"\\A{SPACE}+|{SPACE}+\\z", "")
+    return F.btrim(c, F.lit(SPACE_CHARACTERS))
 
 
 def is_blank(c: Column) -> Column:

@@ -8,6 +8,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from codestrata.functions.text import is_blank
 from codestrata.operators.ranking import top_n
+from codestrata.session import stage
 
 # Fixed value: width of the vector that replaces a failed embedding.
 FAILURE_WIDTH = 1536
@@ -122,11 +124,13 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2", b
     Query vectors that fit `broadcast_bytes` are sent to every task and the corpus is read in place:
     block products per Arrow batch, k rows per query leave a task, one ranking follows. More queries
     than that are split into blocks that meet equal chunks of the corpus in a co-grouped shuffle, so
-    no task ever holds more than one block and one chunk.
+    no task ever holds more than one block and one chunk. The queries, and a corpus that is counted, are
+    staged: an embedder behind them runs once. Vectors of several widths and rows without an id are errors.
     """
     given = F.col("embedding").isNotNull()
-    corpus = corpus.filter(given).select("collection", F.col("item_id").cast("string"), "embedding")
-    queries = queries.filter(given).select(F.col("query_id").cast("string"), "embedding")
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.raise_error(F.lit(f"a vector has no {c}")).cast("string")).alias(c)
+    corpus = corpus.filter(given).select("collection", named("item_id"), "embedding")
+    queries = stage(queries.filter(given).select(named("query_id"), "embedding"), "queries")
     sizes = queries.agg(
         F.count("*").alias("n"),
         F.max(F.size("embedding")).alias("dim"),
@@ -137,7 +141,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2", b
     if total <= broadcast_bytes:
         hits = _knn_broadcast(corpus, queries, k, metric)
     else:
-        hits = _knn_blocks(corpus, queries, k, metric, math.ceil(total / broadcast_bytes), chunk_rows)
+        hits = _knn_blocks(stage(corpus, "corpus"), queries, k, metric, math.ceil(total / broadcast_bytes), chunk_rows)
     return top_n(hits, ["collection", "query_id"], [F.asc("distance"), F.asc("item_id")], k)
 
 
@@ -190,6 +194,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
         column = column.combine_chunks()
     if not len(column):
         return np.zeros((0, 0))
+    widths = np.unique(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    if len(widths) > 1:
+        raise ValueError(f"vectors of several widths: {widths.tolist()[:5]}")
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 

@@ -42,13 +42,15 @@ def index_repositories(
     heads: DataFrame | None = None,
     suffixes: tuple[str, ...] = SERVICE_SUFFIXES,
     store_empty_files: bool = False,
+    arrival: tuple[str, ...] = ("committed_at",),
     **parse_options,
 ) -> Lineage:
     """Commits, files and symbols of all repositories in `tree` (repo, path, content) at their head.
 
     Sources are parsed once: the symbol rows are written to the shared folder, and the file table
     is derived from them. `store_empty_files` also keeps matching files that gave no symbol, and
-    takes their paths from a second pass over `tree`, which should then be a stored table.
+    takes their paths from a second pass over `tree`, which should then be a stored table. Of copies of a
+    commit the first by `arrival` wins, and of equal ones the first by all other columns, however they are spread.
     """
     path = F.col("path")
     sources = tree.filter(has_suffix(path, suffixes) & ~excluded_by_segment(path))
@@ -71,7 +73,7 @@ def index_repositories(
     )
     stored = sources.select("repo", F.col("path").alias("current_path")) if store_empty_files else symbols
     return Lineage(
-        first_write(commits, ["repo", "commit_sha"], ["committed_at"]),
+        first_write(commits, ["repo", "commit_sha"], [*arrival, *(c for c in commits.columns if c not in arrival)]),
         file_dictionary(stored),
         symbols.drop("current_path"),
     )

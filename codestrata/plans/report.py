@@ -93,7 +93,8 @@ def degraded(reports: DataFrame, checked_out: DataFrame) -> DataFrame:
 
 
 def as_json(reports: DataFrame) -> DataFrame:
-    return reports.select("repo", F.to_json(F.struct(*reports.columns)).alias("report"))
+    """(repo, report): each report as JSON text, with its nulls."""
+    return reports.select("repo", F.to_json(F.struct(*reports.columns), {"ignoreNullFields": "false"}).alias("report"))
 
 
 def repo_contexts(parts: Parts) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORK_DIR_SETTING = "spark.checkpoint.dir"
+_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def build_session(app: str = "codestrata", master: str | None = None, **settings) -> SparkSession:
@@ -37,14 +40,18 @@ def build_session(app: str = "codestrata", master: str | None = None, **settings
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder path under the shared folder the session names.
 
-    Only a local session without that setting gets a folder of its own; on a cluster an unset
-    folder is an error, because executors would not see each other's files.
+    Only a local session without that setting gets a folder of its own, removed when it ends; on a cluster
+    an unset folder is an error, because executors would not see each other's files.
     """
     root = spark.conf.get(WORK_DIR_SETTING, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {WORK_DIR_SETTING} to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="codestrata-")
+        session = spark.sparkContext.applicationId
+        if session not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[session] = tempfile.mkdtemp(prefix="codestrata-")
+            atexit.register(shutil.rmtree, _LOCAL_ROOTS[session], ignore_errors=True)
+        root = _LOCAL_ROOTS[session]
     return f"{root.rstrip('/')}/codestrata/{name}-{uuid.uuid4().hex}"
 
 
@@ -62,12 +69,12 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark a narrow side for broadcast after counting that it has at most `max_rows` rows.
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 16 * 1024 * 1024) -> DataFrame:
+    """Mark a narrow side for broadcast after finding that it has at most `max_rows` rows and `max_bytes` as JSON.
 
     For a side that is cheap to compute twice; otherwise `stage` it first. A larger side is
     returned as it is and joins by shuffle, where adaptive execution splits hot keys.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))
+    rows, taken = df.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    return F.broadcast(df) if rows <= max_rows and taken <= max_bytes else df

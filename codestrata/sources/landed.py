@@ -14,19 +14,29 @@ from codestrata.session import broadcast_if_small, stage
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(documents, quarantine) of files that each hold a JSON array.
 
-    A missing path gives no rows; a file that is not JSON gives none either, and lands with its text
-    in the quarantine (file, value). Fields of another type than the schema's become null.
+    A missing path gives no rows. A file that is not JSON, or a record of which no field can be read, gives none
+    either and lands with the file's text in the quarantine (file, value), once a file. Fields of another type
+    than the schema's become null or text. Records are read as a stream, so neither a file nor a text is too long;
+    of a repeated key the last counts.
     """
+    bad = "_corrupt_record"
     try:
-        files = spark.read.text(path, wholetext=True)
+        rows = (
+            spark.read.schema(T.StructType([*schema.fields, T.StructField(bad, T.StringType())]))
+            .option("multiLine", True)
+            .option("columnNameOfCorruptRecord", bad)
+            .option("maxStringLen", 2**31 - 1)
+            .json(path)
+        )
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema), spark.createDataFrame([], "file string, value string")
-    files = files.select(F.col("_metadata.file_path").alias("file"), "value")
-    is_json = F.try_parse_json("value").isNotNull()
-    documents = F.from_json("value", T.ArrayType(schema))
-    return files.filter(is_json).select(F.inline(documents)), files.filter(~is_json)
+    unread = F.col(bad).isNotNull()
+    for name in schema.fieldNames():
+        unread = unread & F.col(name).isNull()
+    files = rows.filter(unread).select(F.col("_metadata.file_path").alias("file"), F.col(bad).alias("value"))
+    return rows.filter(~unread).select(*schema.fieldNames()), files.dropDuplicates(["file"])
 
 
 def flatten(landed: DataFrame, column: str, paths: dict[str, str], types: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:

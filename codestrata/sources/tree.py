@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
 from collections.abc import Callable, Iterator
 
@@ -26,7 +27,8 @@ def read_tree(
     """Every file of the checked-out repositories under `root`: repo, path, content, valid_utf8.
 
     The first folder level names the repository, unless `root` is itself the tree of `repo`.
-    Undecodable bytes are dropped and flagged; line ends become `\\n`. `wanted` tests the relative
+    Undecodable bytes are dropped and flagged; line ends become `\\n`. A file that cannot be read has a
+    null content and a null flag. Links to folders are not followed. `wanted` tests the relative
     path before anything is read, `prune` leaves out hidden and dependency folders unvisited.
 
     Spark's own file sources skip names that start with `_` or `.`, and with them every
@@ -46,6 +48,8 @@ def read_tree(
             pending, found = [base], []
             while pending:
                 for info in system.get_file_info(fs.FileSelector(pending.pop())):
+                    if info.type == fs.FileType.Directory and _is_link(system, info.path):
+                        continue
                     if info.type == fs.FileType.File:
                         found.append((name, posixpath.relpath(info.path, base), folder))
                     elif not (prune and (info.base_name.startswith(".") or info.base_name in SKIPPED_SEGMENTS)):
@@ -63,6 +67,11 @@ def read_tree(
     )
 
 
+def _is_link(system: fs.FileSystem, path: str) -> bool:
+    """Links to folders are not followed: they may lead back up, or out of the tree."""
+    return system.type_name == "local" and os.path.islink(path)
+
+
 def _list_repos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (root,) in _values(batches):
         system, base = fs.FileSystem.from_uri(root)
@@ -74,8 +83,12 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, read, size = ("repo", "path", "content", "valid_utf8"), [], 0
     for repo, path, folder in _values(batches):
         system, base = fs.FileSystem.from_uri(folder)
-        with system.open_input_stream(f"{base}/{path}") as stream:
-            raw = stream.read()
+        try:
+            with system.open_input_stream(f"{base}/{path}") as stream:
+                raw = stream.read()
+        except OSError:
+            read.append((repo, path, None, None))
+            continue
         text = raw.decode("utf-8", "ignore")
         # Dropped bytes are missing when the text is encoded again.
         valid = len(text.encode()) == len(raw)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +12,11 @@ from pyspark.sql.streaming import StreamingQuery
 from codestrata.operators.upsert import new_rows
 from codestrata.sources.tables import read_or_empty
 
-_BATCH = "ingest_batch"
+_BATCH, _BUCKET, _BUCKETS = "ingest_batch", "ingest_bucket", 64
+
+
+def _stored(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(_BATCH, T.StringType()), T.StructField(_BUCKET, T.IntegerType())])
 
 
 def stream_files(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -23,19 +29,36 @@ def stream_files(spark: SparkSession, folder: str, schema: T.StructType, glob: s
     )
 
 
+def _run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the run that a checkpoint belongs to, kept with it: a fresh checkpoint is a new run."""
+    schema = T.StructType([T.StructField("run", T.StringType())])
+    known = read_or_empty(spark, f"{checkpoint}/run", schema).first()
+    if known is None:
+        spark.createDataFrame([(uuid.uuid4().hex,)], schema).coalesce(1).write.parquet(f"{checkpoint}/run")
+        known = read_or_empty(spark, f"{checkpoint}/run", schema).first()
+    return known.run
+
+
 def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], arrival: list[str]) -> StreamingQuery:
     """Insert every row whose key is new into the parquet table at `target`, then stop.
 
-    Each micro-batch owns one partition folder and compares only with earlier ones, so a batch that
-    is run again after a failure overwrites its own rows: every key is stored exactly once.
+    Each micro-batch of each run owns one folder and compares with all others, so a batch that is run again
+    after a failure replaces its own rows, and neither a lost checkpoint nor another source's stream into the
+    same table doubles or removes a key. Within a folder rows lie in buckets by key, and a batch reads only the
+    buckets it has keys for. One stream at a time may write to a table.
     """
-    schema = T.StructType([*stream.schema.fields, T.StructField(_BATCH, T.LongType())])
+    spark = stream.sparkSession
+    run = _run_of(spark, checkpoint)
+    schema = _stored(stream.schema)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(_BUCKETS)).cast("int")
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        earlier = read_or_empty(spark, target, schema).filter(F.col(_BATCH) < batch_id)
-        fresh = new_rows(earlier, batch, keys, arrival, small_batch=True)
-        fresh.write.mode("overwrite").parquet(f"{target}/{_BATCH}={batch_id}")
+        own = f"{run}-{batch_id}"
+        batch = batch.withColumn(_BUCKET, bucket)
+        touched = [r[0] for r in batch.select(_BUCKET).distinct().collect()]
+        others = read_or_empty(batch.sparkSession, target, schema).filter((F.col(_BATCH) != own) & F.col(_BUCKET).isin(touched))
+        fresh = new_rows(others, batch, keys, arrival, small_batch=True)
+        fresh.repartition(_BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(_BUCKET).parquet(f"{target}/{_BATCH}={own}")
 
     return (
         stream.writeStream.foreachBatch(insert)
@@ -60,5 +83,4 @@ def ingest_append_only(stream: DataFrame, target: str, checkpoint: str, keys: li
 
 
 def read_ingested(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
-    full = T.StructType([*schema.fields, T.StructField(_BATCH, T.LongType())])
-    return read_or_empty(spark, target, full).select(*schema.fieldNames())
+    return read_or_empty(spark, target, _stored(schema)).select(*schema.fieldNames())

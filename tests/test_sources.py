@@ -50,6 +50,32 @@ def test_commit_documents(spark, tmp_path):
     assert quarantine.count() == 1 and none.count() == 0 and nothing.count() == 0 and none.schema == schemas.COMMIT_DOCUMENT
 
 
+def test_json_of_any_size_and_odd_records(spark, tmp_path):
+    long = "x" * 21_000_000
+    texts = {
+        "long.json": json.dumps([{**COMMIT, "sha": "long", "message": long}]), "twice.json": '[{"sha": "first", "sha": "twice"}]',
+        "kinds.json": '[{"sha": "k", "author": "nobody"}, {"author": 3}]', "number.json": "7", "nothing.json": "", "cut.json": '[{"sha": "c"}, {"sha"',
+    }
+    for name, content in texts.items():
+        (tmp_path / name).write_text(content)
+    with (tmp_path / "wide.json").open("w") as out:
+        out.write("[" + ",".join(json.dumps({"sha": f"w{i}", "message": "m" * 100_000}) for i in range(1400)) + "]")
+    good, quarantine = landed.read_json(spark, str(tmp_path), schemas.COMMIT_DOCUMENT)
+    assert {r.sha for r in good.select("sha").collect()} == {"long", "twice", "k", *(f"w{i}" for i in range(1400))}
+    assert good.where("length(message) = 21000000").count() == 1
+    assert sorted(r.file.rsplit("/", 1)[1] for r in quarantine.collect()) == ["cut.json", "kinds.json", "number.json"]
+
+
+def test_links_are_not_followed_and_unreadable_files_flagged(spark, tmp_path, monkeypatch):
+    root = tmp_path / "co"
+    (root / "one").mkdir(parents=True)
+    (root / "one" / "a.py").write_text("x")
+    (root / "one" / "loop").symlink_to(root / "one")
+    (root / "one" / "out").symlink_to("/etc")
+    (root / "one" / "gone.py").symlink_to(root / "missing.py")
+    assert [(r.path, r.content) for r in tree.read_tree(spark, str(root)).collect()] in ([("a.py", "x")], [("a.py", "x"), ("gone.py", None)], [("gone.py", None), ("a.py", "x")])
+
+
 def test_pull_request_documents(spark, tmp_path):
     ref = {"ref": "main", "sha": "f"}
     document = {

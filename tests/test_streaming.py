@@ -45,3 +45,26 @@ def test_append_only_variant(spark, tmp_path):
     stream = ingest.stream_files(spark, source, spark.read.parquet(source).schema)
     ingest.ingest_append_only(stream, target, str(tmp_path / "state"), ["key"], "ts", "1 hour").awaitTermination()
     assert sorted(r.key for r in spark.read.parquet(target).collect()) == list(range(30))
+
+
+def test_a_lost_checkpoint_over_several_batches(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    land(spark, source, 0, 20)
+    land(spark, source, 20, 40)
+    schema = spark.read.parquet(source).schema
+    for state, files in (("one", 1), ("two", 10), ("three", 1)):
+        stream = ingest.stream_files(spark, source, schema, files_per_batch=files)
+        ingest.ingest(stream, target, str(tmp_path / state), ["key"], ["at"]).awaitTermination()
+        stored = [r.key for r in ingest.read_ingested(spark, target, schema).collect()]
+        assert sorted(stored) == list(range(30))
+
+
+def test_two_sources_into_one_table(spark, tmp_path):
+    target = str(tmp_path / "out")
+    for name, start in (("a", 0), ("b", 10), ("a", 0)):
+        source = str(tmp_path / name)
+        land(spark, source, start, start + 15)
+        stream = ingest.stream_files(spark, source, spark.read.parquet(source).schema)
+        ingest.ingest(stream, target, str(tmp_path / f"state-{name}"), ["key"], ["at"]).awaitTermination()
+    stored = ingest.read_ingested(spark, target, spark.read.parquet(str(tmp_path / "a")).schema)
+    assert sorted((r.key, r.at) for r in stored.collect()) == [(k, k) for k in range(25)]

@@ -85,3 +85,12 @@ def test_repo_urls(spark, url, lenient, strict):
         assert (found["error"] is None) == (want is not None)
         if want:
             assert f"{found['owner']}/{found['repo']}" == want
+
+
+def test_strip_is_linear(spark):
+    import time
+
+    long = spark.createDataFrame([("a" + " " * 300_000 + "b\u2003\x1c",)], "c string")
+    began = time.time()
+    assert long.select(F.length(text.strip(F.col("c"))).alias("n")).first().n == 300_002
+    assert time.time() - began < 10

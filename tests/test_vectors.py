@@ -125,3 +125,14 @@ def test_retrieval_finds_the_matching_text(spark):
     assert got == {"q": "Functions:\n1. parse: def parse(text): return tokens\n\nCommits:\n1. Fix parser for empty text", "blank": ""}
     prompts = dict(retrieval.prompts(items, queries, vectors.hashing_embedder(64), 64, 1).collect())
     assert "No relevant repository context found." in prompts["blank"] and prompts["q"].endswith("Question:\nparse text tokens\n\nAnswer:")
+
+
+def test_mixed_widths_and_missing_ids_are_errors(spark):
+    schema = "collection string, item_id string, embedding array<float>"
+    asked = spark.createDataFrame([("q", [1.0, 2.0])], "query_id string, embedding array<float>")
+    mixed = spark.createDataFrame([("c", "a", [1.0]), ("c", "b", [1.0, 2.0, 3.0])], schema).coalesce(1)
+    unnamed = spark.createDataFrame([("c", None, [1.0, 2.0])], schema)
+    for corpus in (mixed, unnamed):
+        for size in (1 << 20, 0):
+            with pytest.raises(Exception, match="width|no item_id"):
+                vectors.knn(corpus, asked, 2, broadcast_bytes=size or 1).collect()

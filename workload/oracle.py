@@ -317,7 +317,7 @@ ORACLE["embed_documents"] = f"""
 
 ORACLE["embed_zero_fallback"] = f"""
     with b as ({buckets("(select doc_id as item_id, text from documents)", 256)}),
-    d as (select doc_id, length(text) > 2000 as failed from documents where trim(text, {SPACES}) <> '')
+    d as (select doc_id, doc_id % 4 = 3 as failed from documents where trim(text, {SPACES}) <> '')
     select doc_id, failed, case when failed then 1536 else 256 end as width,
            failed or not exists (select 1 from b where b.item_id = d.doc_id) as all_zero
     from d"""
@@ -381,9 +381,9 @@ RETRIEVED = TEXT_KNN + """
 
 ORACLE["retrieval_context"] = RETRIEVED + " select query_id, context from contexts"
 ORACLE["context_fallback"] = RETRIEVED + """
-    select query_id, substr(context, 1, 11) as start, false as empty from contexts
+    select query_id, context as shown, false as empty from contexts
     union all
-    select 'blank ' || query_id, 'No relevant', true from contexts"""
+    select 'blank ' || query_id, 'No relevant repository context found.', true from contexts"""
 ORACLE["prompts"] = RETRIEVED + """
     select query_id, 'Answer the question about a software repository from the context below.' || chr(10) || chr(10) || 'Context:' || chr(10)
            || case when context = '' then 'No relevant repository context found.' else context end

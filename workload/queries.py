@@ -472,9 +472,8 @@ def entity_union(spark, sf):
 def index_pipeline(spark, sf):
     tree = stage(v_code(spark, sf, "js").unionByName(v_code(spark, sf, "py")), "code")
     built = index.index_repositories(tree, view(spark, sf, "v_commits"))
-    return lookups.all_symbols(built.symbols, built.files).join(
-        index.head_commits(tree.select("repo").distinct(), built.commits), "repo"
-    )
+    stamps = built.symbols.select("repo", "commit_sha").distinct()
+    return lookups.all_symbols(built.symbols, built.files).join(stamps, "repo")
 
 
 # ---- embeddings and search -----------------------------------------------------------------------
@@ -500,8 +499,8 @@ def embed_zero_fallback(spark, sf):
     embedder = vectors.hashing_embedder(DIM)
 
     def refusing(c: Column) -> Column:
-        """A model that fails on long texts."""
-        return F.when(F.length(c) <= 2000, embedder(c))
+        """A model that fails on one source in four, whatever the text."""
+        return F.when(F.col("doc_id") % 4 != 3, embedder(c))
 
     documents = table(spark, sf, "documents").select("doc_id", "text")
     out = vectors.embed(documents, "text", refusing)
@@ -601,7 +600,7 @@ def context_fallback(spark, sf):
     blank = asked.select(F.concat(F.lit("blank "), "query_id").alias("query_id"), F.lit(" \t").alias("text"))
     found = retrieval.retrieve(view(spark, sf, "v_items"), asked.unionByName(blank), vectors.hashing_embedder(DIM), DIM)
     shown = context.or_fallback(F.col("context"))
-    return found.select("query_id", text.preview(shown, 11).alias("start"), (F.col("context") == "").alias("empty"))
+    return found.select("query_id", shown.alias("shown"), (F.col("context") == "").alias("empty"))
 
 
 @query
@@ -673,8 +672,14 @@ def repo_report_degraded(spark, sf):
 @query
 def stream_ingest(spark, sf):
     schema = table(spark, sf, "events").schema
-    folder = work_dir(spark, "stream")
-    events = ingest.stream_files(spark, sf, schema, "events.parquet")
+    folder, parts = work_dir(spark, "stream"), 4
+    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
+    landing = table(spark, sf, "events").withColumn("at", at)
+    cuts = [float("-inf"), *landing.approxQuantile("at", [k / parts for k in range(1, parts)], 0.01), float("inf")]
+    # Landed in the order of their times as several files, one a micro-batch.
+    for first, past in zip(cuts, cuts[1:]):
+        landing.where((F.col("at") >= first) & (F.col("at") < past)).drop("at").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    events = ingest.stream_files(spark, f"{folder}/in", schema, files_per_batch=1)
     ingest.ingest(events, f"{folder}/table", f"{folder}/checkpoint", ["user_id"], ["ts", "event_id"]).awaitTermination()
     stored = ingest.read_ingested(spark, f"{folder}/table", schema)
     return stored.select("user_id", "event_id", "event_type", "value")
