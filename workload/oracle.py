@@ -58,6 +58,22 @@ ORACLE["pr_flatten"] = cte("v_prs") + f"""
            case when state = 'closed' then strftime(created_at, {STAMP}) end as closed_at, cast(null as varchar) as merged_at
     from v_prs"""
 
+ORACLE["commit_json_source"] = f"select * exclude (repo) from ({ORACLE['commit_flatten']})"
+
+ORACLE["pr_json_source"] = cte("v_prs") + f"""
+    select number, title, case when state = 'open' then coalesce(props, '') else '' end as body, state, user_login,
+           state as head_ref, md5(title) as base_sha, strftime(created_at, {STAMP}) as created_at, strftime(created_at, {STAMP}) as updated_at,
+           case when state = 'closed' then strftime(created_at, {STAMP}) end as closed_at, cast(null as varchar) as merged_at
+    from v_prs"""
+
+ORACLE["tolerant_load"] = cte("v_commits") + """
+    select 'document' as kind, commit_sha as name from v_commits
+    union all select 'quarantine', cast(item_id as varchar) from benchmark"""
+
+ORACLE["lineage_round_trip"] = cte("v_commits", "v_files") + """
+    select repo, 'commit' as kind, commit_sha as name from v_commits
+    union all select repo, 'file', current_path from v_files"""
+
 K = r"cast(regexp_extract(props, '\"k\": (-?\d+)', 1) as bigint)"
 
 ORACLE["repo_meta_defaults"] = f"""
@@ -280,6 +296,7 @@ ORACLE["js_block_end"] = JS + " select repo, path, type, name, start_line, end_l
 ORACLE["code_snippet"] = JS + JS_CODE + " select path, name, start_line, end_line, code from js join js_code using (path, name)"
 ORACLE["py_entities"] = NUMBERED + PY + PY_CODE + """
     select repo, path, type, name, start_line, end_line, code from py join py_code using (path, name)"""
+ORACLE["entity_sink"] = ORACLE["py_entities"]
 ORACLE["py_docstrings"] = NUMBERED + """
     select 'src/order_' || k || '.py' as path, 'class' as type, 'Order_' || k as name, '' as docstring, 1 as start_line, 4 * n + 1 as end_line from o
     union all
@@ -349,6 +366,7 @@ KNN = """
     r as (select *, cast(row_number() over (partition by query_id order by distance, item_id) as int) as rank from d qualify rank <= 5)"""
 
 ORACLE["knn_exact"] = KNN + " select query_id, rank, item_id, round(distance, 6) as distance from r"
+ORACLE["index_search"] = ORACLE["knn_exact"]
 ORACLE["knn_items"] = KNN + " select query_id, rank, label, round(distance, 6) as distance from r"
 
 TEXT_KNN = cte("v_items") + f"""

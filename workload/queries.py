@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +13,9 @@ from codestrata.functions import records, text
 from codestrata.operators import constraints, context, javascript, lookups, python_source, ranking, upsert, vectors
 from codestrata.operators.entities import extract_entities, with_code
 from codestrata.plans import index, report, retrieval
-from codestrata.schemas import COMMIT_DOCUMENT, PR_DOCUMENT
+from codestrata.schemas import COMMIT_DOCUMENT, ENTITIES, PR_DOCUMENT
 from codestrata.session import stage, work_dir
-from codestrata.sources import landed
+from codestrata.sources import landed, tables
 from codestrata.streaming import ingest
 from workload.views import table, v_code, view
 
@@ -48,6 +50,79 @@ def pr_props_json(spark, sf):
     return table(spark, sf, "events").select("event_id", props["k"].alias("k"))
 
 
+def land_arrays(documents: DataFrame, path: str) -> None:
+    """Write JSON texts as files that each hold one array."""
+    def lines(batches):
+        opening = "["
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([("[" if opening == "[" and i == 0 else ",") + t for i, t in enumerate(batch.column(0).to_pylist())])], names=["value"])
+            opening = "," if batch.num_rows else opening
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if opening == "," else "[]"])], names=["value"])
+
+    documents.mapInArrow(lines, "value string").write.text(path)
+
+
+@query
+def commit_json_source(spark, sf):
+    folder = work_dir(spark, "landed")
+    land_arrays(commit_documents(spark, sf).select("body"), folder)
+    documents, _ = landed.read_json(spark, folder, COMMIT_DOCUMENT)
+    return landed.flatten_commits(documents).select(
+        "sha", "message", "author_name", "author_email", "committer_name", "url",
+        stamp("authored_at").alias("authored_at"), stamp("committed_at").alias("committed_at"),
+    )
+
+
+@query
+def pr_json_source(spark, sf):
+    folder = work_dir(spark, "landed")
+    land_arrays(view(spark, sf, "v_prs").select(F.to_json(pr_document(), {"ignoreNullFields": "false"})), folder)
+    documents, _ = landed.read_json(spark, folder, PR_DOCUMENT)
+    return landed.flatten_prs(documents).select(
+        "number", "title", "body", "state", "user_login", "head_ref", "base_sha",
+        *(stamp(c).alias(c) for c in ("created_at", "updated_at", "closed_at", "merged_at")),
+    )
+
+
+@query
+def tolerant_load(spark, sf):
+    # Beside whole arrays, every benchmark text as a file of its own that is not JSON.
+    folder = work_dir(spark, "landed")
+    land_arrays(commit_documents(spark, sf).select("body"), f"{folder}/good")
+    texts = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("["), "text").alias("value"))
+    texts.write.partitionBy("item_id").text(f"{folder}/bad")
+    found = []
+    for part in ("good", "bad"):
+        documents, quarantine = landed.read_json(spark, f"{folder}/{part}", COMMIT_DOCUMENT)
+        found.append(documents.select(F.lit("document").alias("kind"), F.col("sha").alias("name")))
+        found.append(quarantine.select(F.lit("quarantine").alias("kind"), F.regexp_extract("file", "item_id=([0-9]+)", 1).alias("name")))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def lineage_round_trip(spark, sf):
+    folder = work_dir(spark, "lineage")
+    tables.write_lineage(folder, commits=view(spark, sf, "v_commits"), files=view(spark, sf, "v_files"))
+    return tables.read_lineage(spark, folder, "commits").select("repo", F.lit("commit").alias("kind"), F.col("commit_sha").alias("name")).unionByName(
+        tables.read_lineage(spark, folder, "files").select("repo", F.lit("file").alias("kind"), F.col("current_path").alias("name")))
+
+
+@query
+def entity_sink(spark, sf):
+    folder = work_dir(spark, "entities")
+    tables.write_entities(python_source.python_entities(v_code(spark, sf, "py")), folder)
+    stored = spark.read.schema(ENTITIES).json(folder)
+    return stored.select("repo", "path", "type", "name", "start_line", "end_line", "code")
+
+
+@query
+def index_search(spark, sf):
+    folder = work_dir(spark, "index")
+    tables.write_vectors(vector_table(spark, sf), f"{folder}/vectors")
+    stored = tables.load_index(spark, f"{folder}/index", f"{folder}/vectors", 64)
+    return vectors.knn(stored, label_probes(spark, sf), 5).select("query_id", "rank", "item_id", F.round("distance", 6).alias("distance"))
+
+
 @query
 def vector_profile(spark, sf):
     size = F.size("embedding").cast("int")
@@ -114,12 +189,11 @@ def commit_flatten(spark, sf):
     )
 
 
-@query
-def pr_flatten(spark, sf):
-    prs = view(spark, sf, "v_prs")
+def pr_document() -> Column:
+    """A pull request as its landed document."""
     ref = F.struct(F.col("state").alias("ref"), F.md5("title").alias("sha"))
     created = iso("created_at")
-    document = F.struct(
+    return F.struct(
         "number",
         "title",
         F.when(F.col("state") == "open", F.col("props")).alias("body"),
@@ -132,6 +206,11 @@ def pr_flatten(spark, sf):
         ref.alias("head"),
         ref.alias("base"),
     )
+
+
+@query
+def pr_flatten(spark, sf):
+    prs, document = view(spark, sf, "v_prs"), pr_document()
     documents = prs.select("repo", F.from_json(F.to_json(document), PR_DOCUMENT).alias("d")).select("repo", "d.*")
     return landed.flatten_prs(documents).select(
         "repo", "number", "title", "body", "state", "user_login", "head_ref", "base_sha",
