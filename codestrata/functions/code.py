@@ -26,6 +26,8 @@ NOT_FUNCTIONS = ("if", "for", "while", "switch", "catch")
 TYPE_WORDS = ("interface", "type", "enum")
 
 
+#: What ends an arrow function's pattern after its opening parenthesis.
+_TO_ARROW = r"[^)]*\)\s*=>"
 _WORD = r"[\p{L}\p{N}_]"
 
 
@@ -36,7 +38,7 @@ def _java(pattern: str) -> str:
     repetition finds the same; and a match from inside a word has a longer one from the word's start
     before it, so starts inside words are not tried. A long word then costs linear time.
     """
-    for greedy in (r"\w+", r"\s+", r"\s*", "[^)]*"):
+    for greedy in (r"\w+", r"\s+", r"\s*"):
         pattern = pattern.replace(greedy, greedy + "+")
     start = f"(?<!{_WORD})" if pattern.startswith(r"(\w") else ""
     return start + pattern.replace(r"\w", _WORD).replace(r"\s", SPACE)
@@ -56,12 +58,27 @@ def may_define(line: Column) -> Column:
     return test
 
 
+def _arrow_name(line: Column, head: str) -> Column:
+    """Name of the leftmost `head`, up to its opening parenthesis, whose next closing one comes before an arrow.
+
+    A line is cut at its closing parentheses and each piece searched once, so a line of many openings costs
+    linear time; the match cannot reach over a piece's end.
+    """
+    def first(pieces):
+        names = F.transform(pieces, lambda piece, i: F.when(
+            F.get(pieces, i + 1).rlike(f"\\A{SPACE}*+=>"), F.regexp_extract(piece, head, 1)))
+        return F.get(F.filter(names, lambda name: name != ""), F.lit(0))
+
+    return F.transform(F.array(F.split(line, r"\)")), first)[0]
+
+
 def _first_name(line: Column, patterns: tuple[tuple[str, str], ...], rejected: tuple[str, ...] = ()) -> Column:
     """Name from the first pattern that gives an allowed one. A plain text search goes before each regex."""
     tried = []
     for pattern, needed in patterns:
-        name = F.regexp_extract(line, _java(pattern), 1)
-        tried.append(F.when(line.contains(needed) & ~name.isin("", *rejected), name))
+        arrow = pattern.endswith(_TO_ARROW)
+        name = _arrow_name(line, _java(pattern.removesuffix(_TO_ARROW))) if arrow else F.regexp_extract(line, _java(pattern), 1)
+        tried.append(F.when(line.contains(needed), F.when(~name.isin("", *rejected), name)))
     return F.coalesce(*tried)
 
 

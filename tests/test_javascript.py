@@ -185,3 +185,11 @@ def test_entities_of_a_mixed_tree(spark):
         ("r", "function", "f", "python", "b.py", "Doc.", 'def f():\n    """Doc."""\n    return 1', 1, 3, "function_definition"),
         ("q", "enum", "E", "typescript", "a.ts", "", "enum E { A }", 1, 1, "class_declaration"),
     }
+
+
+def test_many_openings_cost_linear_time(spark):
+    lines = ["a(" * 60_000 + "=>", "a(" * 60_000 + ") x =>", "a(" * 60_000 + ") =>", "if (x) { b(c) => 1 }", "f = (a, g(b)) => h(", "x) => y(z) =>"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, line string").coalesce(1)
+    began = time.time()
+    got = [r.n for r in df.select("i", code.function_name(F.col("line")).alias("n")).orderBy("i").collect()]
+    assert got == [None, None, "a", "b", None, "y"] and time.time() - began < 15
