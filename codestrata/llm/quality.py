@@ -25,20 +25,25 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """`low` <= measure / per <= `high`; an open bound is None, and a share of nothing is 0."""
+    """`low` <= measure / per <= `high`; an open bound is None, and a share of nothing is 0.
+
+    `grant` occurrences are let pass either way, so that a share of a few words or lines is not held against a text.
+    """
 
     name: str
     measure: str
     per: str | None = None
     low: float | None = None
     high: float | None = None
+    grant: int = 0
 
     def passed(self) -> Column:
-        value = F.col(self.measure).cast("double")
-        if self.per:
-            value = F.when(F.col(self.per) > 0, value / F.col(self.per)).otherwise(0.0)
-        checks = [value >= self.low] if self.low is not None else []
-        checks += [value <= self.high] if self.high is not None else []
+        def share(granted: int) -> Column:
+            value = F.col(self.measure).cast("double") + granted
+            return F.when(F.col(self.per) > 0, value / F.col(self.per)).otherwise(0.0) if self.per else value
+
+        checks = [share(self.grant) >= self.low] if self.low is not None else []
+        checks += [share(-self.grant) <= self.high] if self.high is not None else []
         return reduce(and_, checks, F.lit(True))
 
 
@@ -51,8 +56,8 @@ BASE_RULES = (
 RULES = (
     Rule("word_length", "word_chars", "n_words", low=2.0, high=15.0),
     Rule("symbols", "n_symbols", "n_words", high=0.1),
-    Rule("stop_words", "n_stop_words", "n_words", low=0.04),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=0.3),
+    Rule("stop_words", "n_stop_words", "n_words", low=0.04, grant=1),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=0.3, grant=1),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", high=0.9),
     Rule("cut_lines", "n_cut_lines", "n_lines", high=0.3),
 )

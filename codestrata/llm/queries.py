@@ -94,7 +94,50 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
+_STOPS = ", ".join(f"'{w}'" for line in quality.STOP_WORDS for w in line.split())
+
 ORACLE: dict[str, str] = {
+    "op7_quality_rules": rf"""
+        with d as (
+            select row_number() over () as r, doc_id, coalesce(text, '') as t from documents
+        ), split as (
+            select r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws from d
+        ), w as (
+            select r, unnest(ws) as word, unnest(range(len(ws))) as pos from split
+        ), windows as (
+            select r, pos, word, lead(word, 1) over p as b, lead(word, 2) over p as c, lead(word, 3) over p as e, lead(word, 4) over p as f
+            from w window p as (partition by r order by pos)
+        ), found as (
+            select *, f is not null and count(*) over (partition by r, word, b, c, e, f) > 1 as again from windows
+        ), covered as (
+            select r, word, max(case when again then 1 else 0 end) over (partition by r order by pos rows between 4 preceding and current row) as hit from found
+        ), words as (
+            select r, count(*) as n_words, sum(length(word)) as word_chars, sum(hit) as n_repeat_words,
+                   sum(case when lower(word) in ({_STOPS}) then 1 else 0 end) as n_stop_words
+            from covered group by r
+        ), l as (
+            select r, unnest(string_split(t, chr(10))) as line from d
+        ), lines as (
+            select r, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines,
+                   sum(case when regexp_matches(line, '^[\x20\x09-\x0D]*[-*•]') then 1 else 0 end) as n_bullet_lines,
+                   sum(case when regexp_matches(line, '([.][.][.]|…)[\x20\x09-\x0D]*$') then 1 else 0 end) as n_cut_lines
+            from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by r
+        ), m as (
+            select doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars,
+                   len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+                   coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_stop_words, 0) as n_stop_words,
+                   coalesce(n_lines, 0) as n_lines, coalesce(n_bullet_lines, 0) as n_bullet_lines, coalesce(n_cut_lines, 0) as n_cut_lines
+            from d left join words using (r) left join lines using (r)
+        ), base as (
+            select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m
+        )
+        select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+               cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
+               not base_failed and word_chars >= 2 * n_words and word_chars <= 15 * n_words and 10 * n_symbols <= n_words
+               and 100 * (n_stop_words + 1) >= 4 * n_words and 10 * (n_dup_lines - 1) <= 3 * n_lines
+               and 10 * n_bullet_lines <= 9 * n_lines and 10 * n_cut_lines <= 3 * n_lines as kept
+        from base
+    """,
     "op3_top_k": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
