@@ -108,7 +108,7 @@ def _entity(span: Column) -> Column:
 
 
 def _contexts(rows: DataFrame, reach: int) -> DataFrame:
-    """text_key, entity, terms and context of each span: the nearest words with letters on either side."""
+    """doc, entity, terms and context of each span: the nearest words with letters on either side."""
     wide = 20 * reach
 
     def around(kind):
@@ -120,42 +120,51 @@ def _contexts(rows: DataFrame, reach: int) -> DataFrame:
         none = F.array().cast("array<struct<kind:string,value:string,left:string,right:string>>")
         return F.when(F.col("t").rlike(NEEDED[kind]), _let(F.regexp_extract_all("t", F.lit(PATTERNS[kind]), F.lit(0)), each)).otherwise(none)
 
-    each = rows.select("text_key", F.inline(F.concat(*map(around, KINDS))))
+    each = rows.select("doc", F.inline(F.concat(*map(around, KINDS))))
     words = lambda c: F.regexp_extract_all(F.lower(F.regexp_replace(c, PATTERNS["email"], " ")), F.lit(_WORD), F.lit(0))
-    sides = each.select("text_key", _entity(F.struct("kind", "value")).alias("entity"), words("left").alias("l"), words("right").alias("r"))
+    sides = each.select("doc", _entity(F.struct("kind", "value")).alias("entity"), words("left").alias("l"), words("right").alias("r"))
     near = F.concat(F.slice("l", F.greatest(F.size("l") - (reach - 1), F.lit(1)), F.lit(reach)), F.slice("r", 1, reach))
-    return sides.select("text_key", "entity", near.alias("terms")).select(
-        "text_key", "entity", F.filter(F.array_distinct("terms"), lambda w: F.length(w) > 2).alias("terms"), F.xxhash64("terms").alias("context"))
+    return sides.select("doc", "entity", near.alias("terms")).select(
+        "doc", "entity", F.filter(F.array_distinct("terms"), lambda w: F.length(w) > 2).alias("terms"), F.xxhash64("terms").alias("context"))
 
 
 def disclosing(docs: DataFrame, text: str = "text", reach: int = 8, disclosure: float = 0.8, contexts: int = 3) -> DataFrame:
     """entity and term, staged: the terms that reveal a protected value too strongly.
 
-    An entity is one personal value of the base kinds. Over distinct texts, n(e), n(t) and n(e, t) count those
-    that hold the entity, the term, and the term within `reach` words of the entity. With N texts the term's
+    An entity is one personal value of the base kinds. Over all documents, n(e), n(t) and n(e, t) count those
+    that hold the entity, the term, and the term within `reach` words of the entity. With N documents the term's
     information about the entity is PMI = log2(N n(e, t) / (n(e) n(t))); it discloses the entity where PMI is at
     least `disclosure` times the entity's own information log2(N / n(e)). Pairs seen in fewer than `contexts`
     different surroundings are chance, or copies of one text, and do not count. Pairs grow with the
     spans, not with the square of anything; a hot entity is counted by partial aggregates.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    texts = docs.select(F.xxhash64(body).alias("text_key"), body.alias("t"))
+    texts = docs.select(F.monotonically_increasing_id().alias("doc"), body.alias("t"))
     holding = _contexts(texts, reach)
     spark = docs.sparkSession
     near = stage(holding, "contexts")
-    pairs = near.select("entity", "text_key", "context", F.explode("terms").alias("term"))
-    seen = pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("n_contexts"), F.count_distinct("text_key").alias("both"))
+    pairs = near.select("entity", "doc", "context", F.explode("terms").alias("term"))
+    seen = pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("n_contexts"), F.count_distinct("doc").alias("both"))
     frequent = stage(seen.where(F.col("n_contexts") >= contexts), "frequent-pairs")
     if frequent.isEmpty():
         return spark.createDataFrame([], "entity string, term string")
-    words = texts.select("text_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_WORD), F.lit(0)))).alias("term"))
-    held = words.join(frequent.select("term").distinct(), "term").groupBy("term").agg(F.count_distinct("text_key").alias("with_term"))
-    entities = near.groupBy("entity").agg(F.count_distinct("text_key").alias("with_entity"))
-    whole = texts.select(F.count_distinct("text_key")).first()[0]
-    rated = frequent.join(held, "term").join(entities, "entity")
+    whole = texts.count()
+    entities = near.groupBy("entity").agg(F.count_distinct("doc").alias("with_entity"))
+    around = pairs.groupBy("term").agg(F.count_distinct("doc").alias("around"))
     information = F.log2(F.lit(float(whole)) / F.col("with_entity"))
-    told = F.log2(F.lit(float(whole)) * F.col("both") / (F.col("with_entity") * F.col("with_term")))
-    return stage(rated.where((information > 0) & (told >= disclosure * information)).select("entity", "term"), "disclosing")
+
+    def disclosed(held):
+        told = F.log2(F.lit(float(whole)) * F.col("both") / (F.col("with_entity") * F.col(held)))
+        return (information > 0) & (told >= disclosure * information)
+
+    # A term is in no fewer documents than it is near some entity in: frequent words fall here and are not looked for.
+    rated = stage(frequent.join(entities, "entity").join(around, "term").where(disclosed("around")), "candidates")
+    if rated.isEmpty():
+        return spark.createDataFrame([], "entity string, term string")
+    # Counted for all words: a sum a task and word, instead of a row for each place of a candidate.
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_WORD), F.lit(0)))).alias("term"))
+    held = words.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    return stage(rated.join(held, "term").where(disclosed("with_term")).select("entity", "term"), "disclosing")
 
 
 def _masked(text: Column) -> Column:

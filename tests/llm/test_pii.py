@@ -77,23 +77,24 @@ def corpus():
 def test_terms_that_disclose_are_those_of_the_counts(spark):
     rows = corpus()
     got = {tuple(r) for r in pii.disclosing(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    whole = {t or "" for _, t in rows}
+    whole = [t or "" for _, t in rows]
     entity = "email:jane.q@mail.com"
     holding = [t for t in whole if "jane.q@mail.com" in t.lower()]
     words = lambda t: set(re.findall(r"[^\W\d_]+", t.lower()))
     want = set()
     for term in set().union(*map(words, holding)):
-        near = set()
+        near, docs = set(), 0
         for t in holding:
             left, right = re.split(r"jane\.q@mail\.com", t, flags=re.I)[:2]
             strip = lambda x: re.findall(r"[^\W\d_]+", re.sub(PLAIN["email"], " ", x).lower())
             around = strip(left)[-8:] + strip(right)[:8]
             if term in around and len(term) > 2:
+                docs += 1
                 near.add(tuple(w for w in dict.fromkeys(around) if len(w) > 2))
         if len(near) < 3:
             continue
         n_e, n_t = len(holding), sum(term in words(t) for t in whole)
-        both = sum(any(term == w for w in n) for n in near)
+        both = docs
         told, own = math.log2(len(whole) * both / (n_e * n_t)), math.log2(len(whole) / n_e)
         if told >= 0.8 * own:
             want.add((entity, term))
