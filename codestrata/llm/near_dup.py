@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.llm.ordering import carried
@@ -21,6 +21,8 @@ SIMILAR = 0.8
 BANDS, MINIMA = 24, 4
 #: Texts of so few shingles get single-minimum keys too: four of a handful collide too seldom.
 FEW = 25
+#: Shingles that so many members of a leader lack in common count as known to the group.
+COMMON = 64
 _PIECE = 8 << 20
 _SURVIVORS = 24
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -180,26 +182,42 @@ def _least(m, n):
 
 
 def _verifier(residual: bool):
-    """x, y, linked, and given `residual` the shingles of x that y lacks: their number and a prefix by hash.
+    """x, y, linked, and given `residual` the shingles of x that neither y nor its witnesses hold.
 
-    Partners of x that y does not explain must share one of these: of more than a fifth of x's shingles, all but a
-    fifth must be shared, so the first fifth and one suffice.
+    These are their number, and the first of them by hash, as many as half of x's shingles.
     """
+    def bag(*texts):
+        """Shingles with the greatest number of times that one of the texts has them."""
+        values, counts = zip(*(np.unique(t, return_counts=True) for t in texts), strict=True)
+        together, place = np.unique(np.concatenate(values), return_inverse=True)
+        most = np.zeros(len(together), np.int64)
+        np.maximum.at(most, place, np.concatenate(counts))
+        return together, most
+
+    def cut(words):
+        words = np.frombuffer(words, np.uint32)
+        return shingles(words, np.array([len(words)]))[0]
+
     def verify(batches):
+        held = {}
         for batch in batches:
             linked, lacking, prefix = [], [], []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = (shingles(w, np.array([len(w)]))[0] for w in (np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)))
+            more = batch.column(4).to_pylist() if residual else [()] * len(batch)
+            for x, y, name, others in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(1).to_pylist(), more, strict=True):
+                a, b = cut(x), cut(y)
                 least = _least(len(a), len(b))
                 linked.append(aligned(a, b, least) >= least - 1e-9)
                 if residual:
+                    if name not in held:
+                        if len(held) > 50:
+                            held.clear()
+                        held[name] = bag(b, *map(cut, others))
+                    known, theirs = held[name]
                     values, counts = np.unique(a, return_counts=True)
-                    others, theirs = np.unique(b, return_counts=True)
-                    at = np.minimum(np.searchsorted(others, values), len(others) - 1)
-                    over = np.maximum(counts - np.where(others[at] == values, theirs[at], 0), 0)
+                    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                    over = np.maximum(counts - np.where(known[at] == values, theirs[at], 0), 0)
                     lacking.append(int(over.sum()))
-                    rest = values[over > 0]
-                    prefix.append(rest[: int((1 - SIMILAR) * len(a)) + 1].view(np.int64))
+                    prefix.append(values[over > 0][: len(a) // 2 + 1].view(np.int64))
             columns = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_())]
             names = ["x", "y", "linked"]
             if residual:
@@ -209,13 +227,17 @@ def _verifier(residual: bool):
     return verify
 
 
-def _verified(pairs: DataFrame, sequences: DataFrame, residual: bool = False) -> DataFrame:
-    """The pairs (x, y) with the verdict of the alignment, staged."""
-    left = sequences.select(F.col("node").alias("x"), F.col("words").alias("x_words"))
-    right = sequences.select(F.col("node").alias("y"), F.col("words").alias("y_words"))
-    both = pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "x_words", "y_words")
-    schema = "x binary, y binary, linked boolean" + (", lacks int, prefix array<long>" if residual else "")
-    return stage(both.mapInArrow(_verifier(residual), schema), "verified")
+def _verified(pairs: DataFrame, sequences: DataFrame, witnesses: DataFrame | None = None) -> DataFrame:
+    """The pairs (x, y) with the verdict of the alignment, staged; given witnesses (y, witness), with what x lacks."""
+    text = lambda c: sequences.select(F.col("node").alias(c), F.col("words").alias(f"{c}_words"))
+    both = pairs.select("x", "y").join(text("x"), "x")
+    if witnesses is None:
+        both = both.join(text("y"), "y").select("x", "y", "x_words", "y_words")
+        return stage(both.mapInArrow(_verifier(False), "x binary, y binary, linked boolean"), "verified")
+    beside = witnesses.join(text("witness"), "witness").groupBy("y").agg(F.collect_list("witness_words").alias("more"))
+    known = text("y").join(beside, "y").withColumnRenamed("y", "named")
+    both = both.join(known, F.col("y") == F.col("named")).select("x", "y", "x_words", "y_words", "more")
+    return stage(both.mapInArrow(_verifier(True), "x binary, y binary, linked boolean, lacks int, prefix array<long>"), "verified")
 
 
 def _rooted(tree: DataFrame) -> DataFrame:
@@ -265,9 +287,11 @@ def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
 def _candidates(tested: DataFrame, comps: DataFrame, sizes: DataFrame) -> DataFrame:
     """Pairs of members of one leader, not yet in one class, that may still be similar.
 
-    Each member x was compared with the leader and has `lacks` shingles the leader does not explain. Two similar members
-    either share an unexplained shingle (of the prefixes), or their matches are among the explained ones, which
-    bounds them by n - lacks on either side. No other pair can reach the needed matches, so none is made.
+    Each member x was compared with the leader and `lacks` shingles that the leader and its witnesses do not hold; those
+    that many members lack in common count as held too. Two similar members either share some of the others, as
+    many as what both hold leaves wanting, or their matches are all among what they hold, which bounds them on
+    either side. No other pair can reach the needed matches, so none is made. Of more than a fifth of x's shingles all
+    but a fifth must be shared, so the first fifth and one, by hash, lead to all partners.
     """
     with_comp = tested.join(comps.withColumnRenamed("node", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
     lead = tested.select(F.col("y").alias("x")).distinct().join(comps.withColumnRenamed("node", "x"), "x", "left").select(
@@ -275,32 +299,43 @@ def _candidates(tested: DataFrame, comps: DataFrame, sizes: DataFrame) -> DataFr
     members = with_comp.join(lead, "y").join(sizes.withColumnRenamed("node", "x"), "x")
     open_ = members.groupBy("y").agg(F.max(F.col("comp") != F.col("lead_comp")).alias("open")).where("open").select("y")
     members = stage(members.join(open_, "y").select("y", "x", "n", "lacks", "prefix", "comp", (F.col("comp") != F.col("lead_comp")).alias("apart")), "members")
-    # The shingles that the other side may have at most, given that the rest of x's are not shared.
-    room = (F.col("n") - F.col("lacks")) * ((1 + SIMILAR) / SIMILAR) - F.col("n")
-    plain = members.select("y", "x", "n", "comp", "apart", room.alias("room"))
-    other = plain.select(*(F.col(c).alias(f"o_{c}") for c in plain.columns))
-    explained = plain.where("apart").join(other, (F.col("y") == F.col("o_y")) & (F.col("comp") != F.col("o_comp"))
-        & (F.col("o_n") <= F.col("room") + 1e-6) & (F.col("n") <= F.col("o_room") + 1e-6)
-        & (F.col("o_n") >= SIMILAR * F.col("n") - 1e-6) & (F.col("n") >= SIMILAR * F.col("o_n") - 1e-6)
-        & (~F.col("o_apart") | (F.col("x") < F.col("o_x"))))
-    spread = members.select("y", F.explode("prefix").alias("h"), "x", "n", "comp", "apart")
-    more = spread.select(*(F.col(c).alias(f"o_{c}") for c in spread.columns))
-    shared = spread.where("apart").join(more, (F.col("y") == F.col("o_y")) & (F.col("h") == F.col("o_h")) & (F.col("comp") != F.col("o_comp"))
-        & (F.col("o_n") >= SIMILAR * F.col("n") - 1e-6) & (F.col("n") >= SIMILAR * F.col("o_n") - 1e-6)
-        & (~F.col("o_apart") | (F.col("x") < F.col("o_x"))))
+    spread = members.select("y", "x", F.explode("prefix").alias("h"))
+    common = stage(spread.groupBy("y", "h").count().where(F.col("count") >= COMMON).select("y", "h"), "common")
+    absorbed = spread.join(common, ["y", "h"]).groupBy("y", "x").agg(F.count(F.lit(1)).alias("a"))
+    known = members.join(absorbed, ["y", "x"], "left").withColumn("a", F.coalesce("a", F.lit(0)))
+    seen = F.least(F.size("prefix") - F.col("a"), F.floor((1 - SIMILAR) * F.col("n")) + 1)
+    facts = known.select("y", "x", "n", "comp", "apart", (F.col("n") - F.col("lacks") + F.col("a")).alias("held"), seen.alias("seen"),
+                         (F.col("lacks") - F.col("a") - seen).alias("rest"))
+    facts = stage(facts, "facts")
+
+    def other(rows):
+        return rows.select(*(F.col(c).alias(f"o_{c}") for c in rows.columns))
+
+    fits = ((F.col("comp") != F.col("o_comp")) & (F.col("o_n") >= SIMILAR * F.col("n") - 1e-6) & (F.col("n") >= SIMILAR * F.col("o_n") - 1e-6)
+            & (~F.col("o_apart") | (F.col("x") < F.col("o_x"))))
+    wanted = _least(F.col("n"), F.col("o_n")) - F.least("held", "o_held")
+    plain = facts.drop("seen", "rest")
+    explained = plain.where("apart").join(other(plain), (F.col("y") == F.col("o_y")) & fits & (wanted <= 1e-6))
+    rank = F.row_number().over(Window.partitionBy("y", "x").orderBy("h"))
+    first = spread.join(common, ["y", "h"], "left_anti").withColumn("rank", rank)
+    first = first.join(facts, ["y", "x"]).where(F.col("rank") <= F.col("seen")).drop("rank", "seen")
+    first = stage(first, "lacking")
+    met = first.where("apart").join(other(first), (F.col("y") == F.col("o_y")) & (F.col("h") == F.col("o_h")) & fits)
+    met = met.groupBy("y", "x", "o_x", (wanted - F.greatest("rest", "o_rest")).alias("wanted")).count().where(F.col("count") >= F.col("wanted") - 1e-6)
     ends = [F.least("x", "o_x").alias("x"), F.greatest("x", "o_x").alias("y")]
-    return explained.select(*ends).unionByName(shared.select(*ends)).distinct()
+    return explained.select(*ends).unionByName(met.select(*ends)).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, spelling (a hash of the text), node (the text's key) and comp (the class's key) of every row.
 
     Copies, the same words in any case and punctuation, share a node and are compared once. Order MinHash keys put texts
-    into buckets. First each text meets the smallest node of all its buckets; alignment links it or not. In
-    buckets that still hold several classes every member meets the bucket's smallest node, and what that
-    leaves unexplained leads to the pairs that may still be similar (`_candidates`); those are aligned too. So hot
-    groups cost one alignment a member and no pair of a group is made without cause, while every similar pair that
-    shares a bucket is linked or connected: two texts of similarity 0.8 miss all buckets with odds near 3 in a million.
+    into buckets; a bucket's leader is the member whose buckets hold most, so one near the middle of its group. First
+    each text meets the best leader of all its buckets; alignment links it or not. In buckets that still hold
+    several classes every member meets the leader, and what it has that neither the leader nor two further members
+    hold leads to the pairs that may still be similar (`_candidates`); those are aligned too. So hot groups cost a few
+    alignments a member and no pair of a group is made without cause, while every similar pair that shares a
+    bucket is linked or connected: two texts of similarity 0.8 miss all buckets with odds near 3 in a million.
 
     A null text has neither node nor comp. Texts without words are copies only of their own spelling. Repeated rows
     and ids are rows like others. An empty table gives no rows. Other columns are not read.
@@ -311,20 +346,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     nodes = sketched.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = stage(nodes, "texts")
     members = nodes.select(F.explode("keys").alias("bucket"), "node", "n")
-    leaders = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("node", F.col("n").alias("m"))).alias("first")).where("rows > 1")
-    leaders = stage(leaders.select("bucket", "first.node", "first.m").withColumnRenamed("node", "leader"), "buckets")
-    shared = stage(members.join(leaders, "bucket"), "shared")
+    several = stage(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
+    held = stage(members.join(several, "bucket"), "held")
+    standing = stage(held.groupBy("node").agg(F.sum("rows").alias("score")), "standing")
+    leaders = held.join(standing, "node").groupBy("bucket").agg(F.max(F.struct("score", "node", F.col("n").alias("m"))).alias("l"))
+    shared = stage(held.drop("rows").join(leaders, "bucket").select("bucket", "node", "n", F.col("l.node").alias("leader"), F.col("l.m").alias("m"), F.col("l.score").alias("l_score")), "shared")
     fits = (F.col("n") >= SIMILAR * F.col("m") - 1e-6) & (F.col("m") >= SIMILAR * F.col("n") - 1e-6)
-    involved = shared.select("node").distinct()
-    sequences = rows.select("t").mapInArrow(_sequencer, "node binary, words binary").join(involved, "node", "left_semi")
+    sequences = rows.select("t").mapInArrow(_sequencer, "node binary, words binary").join(standing.select("node"), "node", "left_semi")
     sequences = stage(sequences.groupBy("node").agg(F.first("words").alias("words")), "sequences")
-    first = shared.where(fits & (F.col("node") != F.col("leader"))).groupBy(F.col("node").alias("x")).agg(F.min("leader").alias("y"))
+    first = shared.where(fits & (F.col("node") != F.col("leader"))).groupBy(F.col("node").alias("x")).agg(F.max(F.struct("l_score", "leader")).alias("l")).select("x", F.col("l.leader").alias("y"))
     trees = _verified(first, sequences).where("linked").select(F.col("x").alias("node"), F.col("y").alias("parent"))
     comps = _rooted(trees)
     placed = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     several = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket")
     open_ = shared.join(several, "bucket", "left_semi").where("node <> leader").select(F.col("node").alias("x"), F.col("leader").alias("y")).distinct()
-    tested = _verified(open_, sequences, residual=True)
+    open_ = stage(open_, "open")
+    # Two more members a leader: what a leader itself has changed is then no news in every other member.
+    placed = open_.join(standing.withColumnRenamed("node", "x"), "x").withColumn("half", F.xxhash64("x") % 2 == 0)
+    best = F.struct("score", "x")
+    halves = placed.groupBy("y").agg(F.max(F.when(F.col("half"), best)).alias("a"), F.max(F.when(~F.col("half"), best)).alias("b"))
+    witnesses = halves.select("y", F.explode(F.array_compact(F.array("a.x", "b.x"))).alias("witness"))
+    tested = _verified(open_, sequences, witnesses)
     comps = _joined(comps, tested.where("linked").select("x", "y"))
     sizes = nodes.select("node", "n")
     rest = _verified(_candidates(tested.drop("linked"), comps, sizes), sequences)
