@@ -24,6 +24,8 @@ _START, _END, _OTHER = 0, 1, 2
 _KNOWN = string.ascii_lowercase + string.digits + "/.:-_?=&#%+~@,;!$'()*[]"
 _SYMBOLS = 64
 _BINS = 100
+#: Symbols before by which n-grams and counts are grouped; contexts of fewer are few.
+_NEAR = 3
 
 
 def _table() -> np.ndarray:
@@ -91,55 +93,122 @@ def _count(batches):
 
 
 class Model:
-    """A variable-order Markov model: Witten-Bell interpolation over the contexts that it holds."""
-
-    def __init__(self, keys: np.ndarray, uses: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.uses = keys[order], uses[order]
-        self.contexts, where = np.unique(self.keys >> 9 << 3 | self.keys & 7, return_inverse=True)
-        self.total = np.bincount(where, weights=self.uses).astype(np.float64)
-        self.kinds = np.bincount(where).astype(np.float64)
-
-    def log_likelihood(self, symbols: np.ndarray, before: list[np.ndarray], size: np.ndarray) -> np.ndarray:
-        p = np.full(len(symbols), 1.0 / _SYMBOLS)
-        for k, context in enumerate(before):
+    """A variable-order Markov model: Witten-Bell interpolation over the contexts seen `least` times."""
+
+    def __init__(self, keys: np.ndarray, uses: np.ndarray, least: int):
+        contexts, where = np.unique(keys >> 9 << 3 | keys & 7, return_inverse=True)
+        total = np.bincount(where, weights=uses, minlength=len(contexts))
+        held = total >= least
+        kept = held[where]
+        order = np.argsort(keys[kept])
+        self.keys, self.uses = keys[kept][order], uses[kept][order].astype(np.float64)
+        self.contexts, self.total = contexts[held], total[held]
+        self.kinds = np.bincount(where, minlength=len(contexts))[held].astype(np.float64)
+
+    def interpolated(self, p: np.ndarray | float, symbols: np.ndarray, before: np.ndarray, orders) -> np.ndarray:
+        """The symbols' probabilities after the contexts of `orders`, from those of the orders below; `before` has ORDER symbols."""
+        p = np.broadcast_to(p, len(symbols)).astype(np.float64)
+        for k in orders if len(self.contexts) else ():
+            context = before & (1 << 6 * k) - 1
             at = np.minimum(np.searchsorted(self.contexts, context << 3 | k), len(self.contexts) - 1)
             held = self.contexts[at] == (context << 3 | k)
             key = (context << 6 | symbols) << 3 | k
             entry = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             seen = np.where(self.keys[entry] == key, self.uses[entry], 0)
             p = np.where(held, (seen + self.kinds[at] * p) / (self.total[at] + self.kinds[at]), p)
+        return p
+
+    def log_likelihood(self, symbols: np.ndarray, before: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+        p = self.interpolated(1.0 / _SYMBOLS, symbols, before[ORDER], range(ORDER + 1))
         return np.add.reduceat(np.log(p), np.cumsum(size) - size)
 
 
-def _scorer(models):
+def _scorer(models, min_uses):
     def score(urls: pa.Array) -> pa.Array:
         if not len(urls):
             return pa.array([], pa.float64())
-        accepted, rejected = (Model(*held) for held in models.value)
+        accepted, rejected = (Model(*held, min_uses) for held in models.value)
         symbols, before, size = contexts(urls)
         ratio = (accepted.log_likelihood(symbols, before, size) - rejected.log_likelihood(symbols, before, size)) / size
         return pa.array(ratio)
     return F.arrow_udf(score, "double")
 
 
-def trained(urls: DataFrame, max_contexts: int = 20_000, min_uses: int = 2):
+def counted(urls: DataFrame) -> DataFrame | None:
+    """label, key and uses, staged, of all rows (url, accepted); None without rows of both kinds."""
+    counts = stage(urls.select("url", "accepted").mapInArrow(_count, "label boolean, key long, uses long").groupBy("label", "key").agg(F.sum("uses").alias("uses")), "counts")
+    return counts if counts.select("label").distinct().count() == 2 else None
+
+
+def _by_label(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    table = counts.select("label", "key", "uses").toArrow()
+    label, key, uses = (table.column(i).to_numpy() for i in range(3))
+    return [(key[label == kind], uses[label == kind]) for kind in (True, False)]
+
+
+def trained(urls: DataFrame, min_uses: int = 2):
     """Column to column score of a URL, from all rows (url, accepted); None without rows of both kinds.
 
-    The counts cover every row. Of each kind's contexts, those seen `min_uses` times are held, the `max_contexts` most
-    used at most; that bounds the model at 64 `max_contexts` counts a kind, which is what goes to the tasks.
+    Every context of a kind seen `min_uses` times is held, and all of them go to the tasks: this is for models that fit
+    in one. `scored` gives the same scores for models of any size.
     """
-    counts = stage(urls.select("url", "accepted").mapInArrow(_count, "label boolean, key long, uses long").groupBy("label", "key").agg(F.sum("uses").alias("uses")), "counts")
-    place = F.shiftleft(F.shiftright("key", 9), 3).bitwiseOR(F.col("key").bitwiseAND(7))
-    held = counts.groupBy("label", place.alias("context")).agg(F.sum("uses").alias("total")).where(F.col("total") >= min_uses)
+    counts = counted(urls)
+    return None if counts is None else _scorer(urls.sparkSession.sparkContext.broadcast(_by_label(counts)), min_uses)
+
+
+def _grams(batches):
+    """id, n-gram (ORDER symbols before, and the symbol) and its uses in the URL."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        symbols, before, size = contexts(batch.column(1))
+        gram, row = before[ORDER] << 6 | symbols, np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((gram, row))
+        gram, row = gram[order], row[order]
+        first = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])))
+        uses = np.diff(np.append(first, len(gram)))
+        ids = batch.column(0).to_numpy(zero_copy_only=False)[row[first]]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(gram[first]), pa.array(uses.astype(np.int64))], names=["id", "gram", "n"])
+
+
+def _rater(low, min_uses):
+    """Log-ratio of the n-grams of one group, from the group's counts and those of the low orders."""
     models = []
-    for label in (True, False):
-        most = held.where(F.col("label") == label).orderBy(F.desc("total"), "context").limit(max_contexts).select("context")
-        kept = counts.where(F.col("label") == label).withColumn("context", place).join(most, "context", "left_semi").select("key", "uses").toPandas()
-        if kept.empty:
-            return None
-        models.append((kept["key"].to_numpy(np.int64), kept["uses"].to_numpy(np.float64)))
-    return _scorer(urls.sparkSession.sparkContext.broadcast(models))
+
+    def rate(grams: pa.Table, counts: pa.Table) -> pa.Table:
+        if not models:
+            models.extend(Model(*held, min_uses) for held in low.value)
+        gram = grams.column("gram").to_numpy()
+        label, key, uses = (counts.column(c).to_numpy() for c in ("label", "key", "uses"))
+        logs = []
+        for kind, model in zip((True, False), models, strict=True):
+            p = model.interpolated(1.0 / _SYMBOLS, gram & 63, gram >> 6, range(_NEAR))
+            own = label == kind
+            logs.append(np.log(Model(key[own], uses[own], min_uses).interpolated(p, gram & 63, gram >> 6, range(_NEAR, ORDER + 1))))
+        return pa.table({"gram": gram, "ratio": logs[0] - logs[1]})
+    return rate
+
+
+def scored(urls: DataFrame, counts: DataFrame, min_uses: int = 2) -> DataFrame:
+    """url (null: empty) and score, staged, of each distinct URL under all contexts of `counts` seen `min_uses` times.
+
+    Each distinct n-gram of the URLs is rated once, where the counts of its contexts are: n-grams and counts meet by the
+    last `_NEAR` symbols before, so a group has at most 64 ** 3 n-grams, however many contexts there are. The counts of the
+    orders below, at most 64 + 64 ** 2 + 64 ** 3 a kind, go to all tasks. Sums are decimal, so equal in any order.
+    """
+    spark = urls.sparkSession
+    distinct = stage(urls.select(F.coalesce("url", F.lit("")).alias("url")).distinct().withColumn("id", F.monotonically_increasing_id()), "urls")
+    held = distinct.select("id", "url").mapInArrow(_grams, "id long, gram long, n long")
+    order = F.col("key").bitwiseAND(7)
+    low = spark.sparkContext.broadcast(_by_label(counts.where(order < _NEAR)))
+    near = (1 << 6 * _NEAR) - 1
+    grams = held.select("gram").distinct().withColumn("near", F.shiftright("gram", 6).bitwiseAND(near))
+    high = counts.where(order >= _NEAR).withColumn("near", F.shiftright("key", 9).bitwiseAND(near))
+    rated = grams.groupBy("near").cogroup(high.groupBy("near")).applyInArrow(_rater(low, min_uses), "gram long, ratio double")
+    rated = stage(rated, "rated")
+    total = held.join(rated, "gram").groupBy("id").agg(
+        (F.sum((F.col("n") * F.col("ratio")).cast("decimal(28,12)")).cast("double") / F.sum("n")).alias("score"))
+    return stage(distinct.join(total, "id").select("url", "score"), "scores")
 
 
 def calibrated(scored: DataFrame) -> float:
@@ -171,12 +240,14 @@ def judged(pages: DataFrame, id_col: str = "page_id", url: str = "url", rules=RU
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), text.alias("url"), host(text).alias("host"), path(text).alias("path"))
     rows = rows.withColumn("hit", listed(F.col("host"), F.col("path"), rules))
     known = rows.where("hit is not null").select("url", (F.col("hit.verdict") == "allow").alias("accepted"), (F.crc32("url") % 5 == 0).alias("held_out"))
-    score = trained(known.where("not held_out"), **options)
-    if score is None:
+    counts = counted(known.where("not held_out"))
+    if counts is None:
         out = rows.withColumn("score", F.lit(None).cast("double"))
         threshold = 0.0
     else:
-        threshold = calibrated(known.where("held_out").select(score("url").alias("score"), "accepted"))
-        out = rows.withColumn("score", score(F.col("url")))
+        scores = scored(rows.select("url"), counts, **options).withColumnRenamed("url", "of")
+        same = F.coalesce("url", F.lit("")) == F.col("of")
+        threshold = calibrated(known.where("held_out").join(scores, same).select("score", "accepted"))
+        out = rows.join(scores, same, "left")
     guess = F.when(F.col("score") < threshold, "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), guess).alias("verdict"), "score")

@@ -96,3 +96,23 @@ def test_contexts_of_a_slice():
     whole = pa.array(["ab", "c", None, "dé"])
     a, b = url_filter.contexts(whole.slice(1, 2)), url_filter.contexts(pa.array(["c", None], pa.string()))
     assert a[0].tolist() == b[0].tolist() and np.array_equal(a[1][3], b[1][3]) and a[2].tolist() == [2, 1]
+
+
+def test_every_repeated_context_counts(spark):
+    rng = np.random.default_rng(3)
+    names = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 12)) for _ in range(3000)]
+    good = [f"http://{n}.com/{i}" for n in names for i in range(2)]
+    bad = [f"http://spam.net/fr/{i * 7 % 90}?q" for i in range(50)] + ["", None]
+    rows = spark.createDataFrame([(u, True) for u in good] + [(u, False) for u in bad], "url string, accepted boolean").repartition(3)
+    accepted, rejected = plain(good), plain(bad)
+    probes = [*good[::500], f"http://{names[-1]}.org/", "http://spam.net/fr/1", "", "x" * 3000, "ü://Q"]
+    asked = spark.createDataFrame([(u,) for u in [*probes, None, probes[0]]], "url string")
+    counts = url_filter.counted(rows)
+    got = url_filter.scored(asked, counts).collect()
+    assert sorted(r.url for r in got) == sorted(probes)
+    score = url_filter.trained(rows)
+    whole = {r.url: r.s for r in asked.select("url", score("url").alias("s")).collect()}
+    for r in got:
+        want = accepted(r.url, 2) - rejected(r.url, 2)
+        assert r.score == pytest.approx(want, abs=1e-9) and whole[r.url] == pytest.approx(want, abs=1e-9)
+    assert url_filter.counted(rows.where("accepted")) is None
