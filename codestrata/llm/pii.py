@@ -107,25 +107,55 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], plain)
 
 
+def _masked(text: Column) -> Column:
+    """The text with its e-mail addresses blanked, at the same length."""
+    def join(values):
+        pieces = F.split(text, PATTERNS["email"], -1)
+        blanks = F.concat(F.transform(values, lambda v: F.repeat(F.lit(" "), F.length(v))), F.array(F.lit("")))
+        return F.array_join(F.zip_with(pieces, blanks, lambda p, b: F.concat(p, b)), "")
+    return F.when(text.contains("@"), _let(F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0)), join)).otherwise(text)
+
+
+def _chunks(text: Column) -> Column:
+    """The text in runs of `_CHUNK` code points, from which `_cut` takes parts in near constant time."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+
+
+def _cut(chunks: Column, a: Column, b: Column) -> Column:
+    """Code points a to b (exclusive) of the chunked text."""
+    first = F.floor(a / _CHUNK).cast("int")
+    count = F.floor((b + _CHUNK - 1) / _CHUNK).cast("int") - first
+    return F.when(b > a, F.substring(F.array_join(F.slice(chunks, first + 1, count), ""), (a - first * _CHUNK + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+
+def _surrounded(masked: Column, spans: Column, reach: int) -> Column:
+    """entity and near of each span: the `reach` words of the masked text that end before it, and those that begin after.
+
+    Neither holds a span a word nor does a word cross its start. So the text is cut at the starts, the words of the
+    parts in turn are those of the text, and their number before a start tells the nearest on both sides.
+    """
+    def build(ordered, chunks):
+        starts = F.transform(ordered, lambda s: s["start"])
+        edges = F.concat(F.array(F.lit(0).cast("bigint")), starts)
+        ends = F.concat(starts, F.array(F.length(masked).cast("bigint")))
+        parts = F.zip_with(edges, ends, lambda a, b: F.regexp_extract_all(F.lower(_cut(chunks, a, b)), F.lit(_WORD), F.lit(0)))
+        return _let(parts, lambda w: _let(_before(F.transform(w, lambda x: F.size(x).cast("bigint")), _sum), lambda passed: _let(
+            F.flatten(w), lambda words: F.transform(ordered, lambda s, i: near(F.get(passed, i + 1).cast("int"), words, s)))))
+
+    def near(at, words, s):
+        first = F.greatest(at - reach, F.lit(0))
+        return F.struct(_entity(s).alias("entity"), F.slice(words, first + 1, at - first + reach).alias("near"))
+
+    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
+    return _let(ordered, lambda s: _let(_chunks(masked), lambda chunks: build(s, chunks)))
+
+
 def _contexts(rows: DataFrame, reach: int) -> DataFrame:
-    """doc, entity, terms and context of each span: the nearest words with letters on either side."""
-    wide = 20 * reach
-
-    def around(kind):
-        def each(values):
-            return _let(F.split("t", PATTERNS[kind], -1), lambda pieces: F.filter(F.transform(values, lambda v, i: F.struct(
-                F.lit(kind).alias("kind"), v.alias("value"),
-                F.right(F.get(pieces, i), F.lit(wide)).alias("left"),
-                F.left(F.get(pieces, i + 1), F.lit(wide)).alias("right"))), lambda s: _holds(kind, s["value"])))
-        none = F.array().cast("array<struct<kind:string,value:string,left:string,right:string>>")
-        return F.when(F.col("t").rlike(NEEDED[kind]), _let(F.regexp_extract_all("t", F.lit(PATTERNS[kind]), F.lit(0)), each)).otherwise(none)
-
-    each = rows.select("doc", F.inline(F.concat(*map(around, KINDS))))
-    words = lambda c: F.regexp_extract_all(F.lower(F.regexp_replace(c, PATTERNS["email"], " ")), F.lit(_WORD), F.lit(0))
-    sides = each.select("doc", _entity(F.struct("kind", "value")).alias("entity"), words("left").alias("l"), words("right").alias("r"))
-    near = F.concat(F.slice("l", F.greatest(F.size("l") - (reach - 1), F.lit(1)), F.lit(reach)), F.slice("r", 1, reach))
-    return sides.select("doc", "entity", near.alias("terms")).select(
-        "doc", "entity", F.filter(F.array_distinct("terms"), lambda w: F.length(w) > 2).alias("terms"), F.xxhash64("terms").alias("context"))
+    """doc, entity, terms and context of each span: the nearest words of the whole text on either side, e-mail addresses apart."""
+    held = rows.select("doc", "t", F.inline(F.array(F.struct(base_spans(F.col("t")).alias("base"))))).where(F.size("base") > 0)
+    each = held.select("doc", F.inline(_let(_masked(F.col("t")), lambda m: _surrounded(m, F.col("base"), reach))))
+    return each.select(
+        "doc", "entity", F.filter(F.array_distinct("near"), lambda w: F.length(w) > 2).alias("terms"), F.xxhash64("near").alias("context"))
 
 
 def disclosing(docs: DataFrame, text: str = "text", reach: int = 8, disclosure: float = 0.8, contexts: int = 3) -> DataFrame:
@@ -167,15 +197,6 @@ def disclosing(docs: DataFrame, text: str = "text", reach: int = 8, disclosure:
     return stage(rated.join(held, "term").where(disclosed("with_term")).select("entity", "term"), "disclosing")
 
 
-def _masked(text: Column) -> Column:
-    """The text with its e-mail addresses blanked, at the same length."""
-    def join(values):
-        pieces = F.split(text, PATTERNS["email"], -1)
-        blanks = F.concat(F.transform(values, lambda v: F.repeat(F.lit(" "), F.length(v))), F.array(F.lit("")))
-        return F.array_join(F.zip_with(pieces, blanks, lambda p, b: F.concat(p, b)), "")
-    return F.when(text.contains("@"), _let(F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0)), join)).otherwise(text)
-
-
 def found(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """`row` (the whole input row) and `spans`: kind, start, end, value; base kinds first, then terms, each by start.
 
@@ -208,16 +229,12 @@ def sanitised(text: Column, spans: Column) -> Column:
         ends = F.transform(s, lambda x: x["end"])
 
         def assemble(done, chunks):
-            def cut(a, b):
-                first = F.floor(a / _CHUNK).cast("int")
-                count = F.floor((b + _CHUNK - 1) / _CHUNK).cast("int") - first
-                return F.when(b > a, F.substring(F.array_join(F.slice(chunks, first + 1, count), ""), (a - first * _CHUNK + 1).cast("int"), (b - a).cast("int"))).otherwise("")
             parts = F.transform(s, lambda x, i: F.when(
-                x["start"] >= F.get(done, i), F.concat(cut(F.get(done, i), x["start"]), label[x["kind"]])).otherwise(""))
-            return F.concat(F.array_join(parts, ""), cut(_top(ends), F.length(text).cast("bigint")))
+                x["start"] >= F.get(done, i), F.concat(_cut(chunks, F.get(done, i), x["start"]), label[x["kind"]])).otherwise(""))
+            return F.concat(F.array_join(parts, ""), _cut(chunks, _top(ends), F.length(text).cast("bigint")))
 
         return _let(_before(ends, _top), lambda done: _let(
-            F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_CHUNK}}}"), F.lit(0)), lambda chunks: assemble(done, chunks)))
+            _chunks(text), lambda chunks: assemble(done, chunks)))
 
     by_place = F.array_sort(spans, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1)
                             .when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
@@ -122,3 +123,27 @@ def test_awkward_rows_stay_whole(awkward, nothing):
 def test_no_python_and_no_shuffled_text(spark, sf):
     plan = pii.found(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_windows_are_the_nearest_words_of_the_whole_text(spark):
+    long = "bundeskraftfahrzeughaftpflichtversicherung"
+    some = [f"{' '.join(long + x for x in 'abcdefghi')} in 2024 at 10.0.0.999 pay 1 200 with 4111 1111 1111 1111 then 7 of {' '.join(long + x for x in 'klmnopqrs')}",
+            "Anna Li a@x.org, Bo Wu b@x.org; Chen Xu c@x.org éd@x.orgé end +1 (366) 555-9807 x 4111111111111111 +1 366",
+            "word " * 3000 + "me@here.org" + " other 12" * 3000, "a@b.co " * 900 + "tail", "1.2.3.4", "", "no spans here 2024"]
+    some += texts()
+    got = {}
+    for r in pii._contexts(spark.createDataFrame(list(enumerate(some)), "doc long, t string").where("t is not null").repartition(4), 8).collect():
+        got.setdefault(r.doc, []).append((r.entity, tuple(w for w in r.terms if len(w) > 2)))
+    for i, text in enumerate(some):
+        if text is None:
+            continue
+        masked = re.sub(PLAIN["email"], lambda m: " " * len(m.group()), text)
+        words = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]+", masked)]
+        starts, ends = [w[0] for w in words], [w[1] for w in words]
+        want = []
+        for kind, a, b in brute(text):
+            before, after = bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)
+            near = [w for _, _, w in words[max(0, before - 8) : before] + words[after : after + 8]]
+            value = re.sub("[^0-9]", "", text[a:b]) if kind in ("card", "phone") else text[a:b].lower()
+            want.append((f"{kind}:{value}", tuple(w for w in dict.fromkeys(near) if len(w) > 2)))
+        assert sorted(got.get(i, [])) == sorted(want)
