@@ -154,8 +154,7 @@ def _contexts(rows: DataFrame, reach: int) -> DataFrame:
     """doc, entity, terms and context of each span: the nearest words of the whole text on either side, e-mail addresses apart."""
     held = rows.select("doc", "t", F.inline(F.array(F.struct(base_spans(F.col("t")).alias("base"))))).where(F.size("base") > 0)
     each = held.select("doc", F.inline(_let(_masked(F.col("t")), lambda m: _surrounded(m, F.col("base"), reach))))
-    return each.select(
-        "doc", "entity", F.filter(F.array_distinct("near"), lambda w: F.length(w) > 2).alias("terms"), F.xxhash64("near").alias("context"))
+    return each.select("doc", "entity", F.array_distinct("near").alias("terms"), F.xxhash64("near").alias("context"))
 
 
 def disclosing(docs: DataFrame, text: str = "text", reach: int = 8, disclosure: float = 0.8, contexts: int = 3) -> DataFrame:

@@ -147,3 +147,14 @@ def test_windows_are_the_nearest_words_of_the_whole_text(spark):
             value = re.sub("[^0-9]", "", text[a:b]) if kind in ("card", "phone") else text[a:b].lower()
             want.append((f"{kind}:{value}", tuple(w for w in dict.fromkeys(near) if len(w) > 2)))
         assert sorted(got.get(i, [])) == sorted(want)
+
+
+def test_short_names_disclose_and_short_common_words_do_not(spark):
+    rng = random.Random(2)
+    fill = "river stone cloud paper green lamp window garden silver copper winter summer of at to is".split()
+    word = lambda: rng.choice(fill)
+    rows = [(i, f"{word()} of {name} <{mail}> {word()} at {word()}") for i, (name, mail) in enumerate([("Li", "l1@mail.com"), ("李明", "l2@mail.com"), ("Q", "l3@mail.com")] * 6)]
+    rows += [(100 + i, " ".join([*(word() for _ in range(10)), "of", "at"])) for i in range(80)]
+    got = {tuple(r) for r in pii.disclosing(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {("email:l1@mail.com", "li"), ("email:l2@mail.com", "李明"), ("email:l3@mail.com", "q")} <= got
+    assert not {t for _, t in got} & {"of", "at"}
