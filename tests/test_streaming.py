@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from codestrata.streaming import ingest
+from workload.queries import QUERIES
 
 
 def land(spark, folder, start, stop):
@@ -68,3 +71,18 @@ def test_two_sources_into_one_table(spark, tmp_path):
         ingest.ingest(stream, target, str(tmp_path / f"state-{name}"), ["key"], ["at"]).awaitTermination()
     stored = ingest.read_ingested(spark, target, spark.read.parquet(str(tmp_path / "a")).schema)
     assert sorted((r.key, r.at) for r in stored.collect()) == [(k, k) for k in range(25)]
+
+
+def test_the_query_streams_events_without_a_time_in_distributed_writes(spark, tmp_path):
+    user, event = F.col("id") % 50, F.col("id")
+    no_time = (user >= 40) | (F.col("id") % 7 == 0)
+    events = spark.range(0, 800, 1, 4).select(
+        event.alias("event_id"), F.when(~no_time, F.timestamp_seconds(10_000 - event)).alias("ts"),
+        user.alias("user_id"), F.lit("view").alias("event_type"), event.cast("double").alias("value"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    landed = lambda: set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).glob("codestrata/stream-*/in/*.parquet"))
+    before = landed()
+    got = {r.user_id: r.event_id for r in QUERIES["stream_ingest"](spark, str(tmp_path)).collect()}
+    rows = sorted(events.collect(), key=lambda r: (r.ts is None, r.ts.timestamp() if r.ts else 0, r.event_id), reverse=True)
+    assert got == {r.user_id: r.event_id for r in rows} and len(got) == 50
+    assert len(landed() - before) > 5

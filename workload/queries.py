@@ -750,15 +750,17 @@ def repo_report_degraded(spark, sf):
 
 @query
 def stream_ingest(spark, sf):
-    schema = table(spark, sf, "events").schema
-    folder, parts = work_dir(spark, "stream"), 4
+    events = table(spark, sf, "events")
+    schema, folder, parts = events.schema, work_dir(spark, "stream"), 4
     at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
-    landing = table(spark, sf, "events").withColumn("at", at)
-    cuts = [float("-inf"), *landing.approxQuantile("at", [k / parts for k in range(1, parts)], 0.01), float("inf")]
-    # Landed in the order of their times as several files, one a micro-batch.
-    for first, past in zip(cuts, cuts[1:]):
-        landing.where((F.col("at") >= first) & (F.col("at") < past)).drop("at").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    events = ingest.stream_files(spark, f"{folder}/in", schema, files_per_batch=1)
-    ingest.ingest(events, f"{folder}/table", f"{folder}/checkpoint", ["user_id"], ["ts", "event_id"]).awaitTermination()
+    cuts = events.select(at.alias("at")).approxQuantile("at", [k / parts for k in range(1, parts)], 0.01)
+    # Rows without a time arrive last, as in SQL.
+    number = F.when(at.isNull(), parts).otherwise(reduce(lambda n, cut: n + (at >= cut).cast("int"), cuts, F.lit(0)))
+    landing = stage(events.withColumn("landing", number), "landing", "landing")
+    # All of an arrival is one micro-batch: files of one write have no order, and a user's first event must not come after another.
+    for arrival in sorted(r.landing for r in landing.select("landing").distinct().collect()):
+        landing.where(F.col("landing") == arrival).drop("landing").write.mode("append").parquet(f"{folder}/in")
+        stream = ingest.stream_files(spark, f"{folder}/in", schema, files_per_batch=2**31 - 1)
+        ingest.ingest(stream, f"{folder}/table", f"{folder}/checkpoint", ["user_id"], ["ts", "event_id"]).awaitTermination()
     stored = ingest.read_ingested(spark, f"{folder}/table", schema)
     return stored.select("user_id", "event_id", "event_type", "value")
