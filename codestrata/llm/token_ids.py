@@ -13,6 +13,7 @@ A file holds the documents of one range of ids, ascending:
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -65,8 +66,9 @@ def _filesystem(folder: str):
 class Encoder:
     """Ids of whole texts; each distinct word is encoded once.
 
-    The tokenizer's words never cross white space, nor a letter a-z that punctuation follows, and it lowers
-    case, so a text's ids are those of its lower-cased pieces in turn. `tests/llm` compares with whole texts.
+    The tokenizer's words never cross white space, nor a letter A-Z or a-z that punctuation follows, so a text's ids are
+    those of its pieces in turn. It lowers case, but finds its special tokens first: texts with one in any spelling keep
+    their case, the others are lowered, so that fewer words are distinct. `tests/llm` compares with whole texts.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -76,10 +78,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.known = Tokenizer.from_file(path), end_id, {}
+        tokens = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = "(?i)" + "|".join(re.escape(t) for t in tokens) if tokens else ""
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with each text's end id, and the number of ids of each text."""
-        texts = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), r"([a-z])([.,;:!?])", r"\1 \2")
+        texts = pc.fill_null(texts, "")
+        texts = pc.if_else(pc.match_substring_regex(texts, self.special), texts, pc.ascii_lower(texts)) if self.special else pc.ascii_lower(texts)
+        texts = pc.replace_substring_regex(texts, r"([A-Za-z])([.,;:!?])", r"\1 \2")
         words = pc.ascii_split_whitespace(pc.cast(texts, pa.large_string()))
         starts = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()

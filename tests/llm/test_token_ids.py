@@ -71,3 +71,10 @@ def test_files_round_trip(spark, awkward, sf):
 def test_empty_table_has_no_files(spark, nothing):
     folder, files = token_ids.write_token_ids(nothing, PATH, 1)
     assert files.count() == 0 and token_ids.read_token_ids(spark, folder, files).count() == 0
+
+
+def test_special_tokens_keep_their_case():
+    texts = ["<|ENDOFTEXT|> a", "a<|EndOfText|>.b", "<|endoftext|> a", "X<|StartOfText|>,Y Z.<|startoftext|>!", "A.B,C; 'LL'VE DON'T.", "É.K. İ.A"]
+    ids, size = ENCODER(pa.array(texts))
+    want = [TOKENIZER.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert size.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
