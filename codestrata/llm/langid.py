@@ -18,8 +18,9 @@ _PIECE = 8 << 20
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Lower-cased runs of letters of all texts, and how many each text has."""
+    """Lower-cased runs of letters of all texts, longer ones cut into words of 24, and how many each text has."""
     plain = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}]+", " ")
+    plain = pc.replace_substring_regex(plain, rf"([^ ]{{{_WIDE}}})", r"\1 ")
     split = pc.ascii_split_whitespace(pc.cast(pc.ascii_trim_whitespace(plain), pa.large_string()))
     flat = split.flatten()
     size = np.diff(split.offsets.to_numpy())
@@ -42,10 +43,11 @@ def _hash(codes: np.ndarray, kind: int) -> np.ndarray:
 def features(words: list[str], lexicons: list[set[str]]):
     """(rows, feature numbers): n-grams of 1 to 4 letters, prefixes and suffixes of 1 to 3, the word, its lexicons.
 
-    A word longer than 24 letters stands for its first 16 and last 8.
+    A word has 24 letters at most, as `words_of` cuts them.
     """
-    short = [w if len(w) <= _WIDE else w[:16] + w[-8:] for w in words]
-    codes = np.array(short, f"U{_WIDE}").view(np.uint32).reshape(len(words), _WIDE).astype(np.uint64)
+    if any(len(w) > _WIDE for w in words):
+        raise ValueError(f"a word of more than {_WIDE} letters")
+    codes = np.array(words, f"U{_WIDE}").view(np.uint32).reshape(len(words), _WIDE).astype(np.uint64)
     size = (codes > 0).sum(axis=1)
     every = np.arange(len(words))
     yield every, _hash(codes[:, : max(1, int(size.max(initial=1)))] + np.uint64(1), 0)
@@ -164,7 +166,7 @@ def _sampler(field_words: int):
             for i, (label, place) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 first = int(end[i] - size[i]) + place % max(1, int(size[i]) - field_words + 1)
                 words = flat.slice(first, min(field_words, int(end[i]) - first)).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([[w[:16] + w[-8:] if len(w) > _WIDE else w for w in words]], pa.list_(pa.string()))], names=["label", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([words], pa.list_(pa.string()))], names=["label", "words"])
     return sample
 
 

@@ -73,3 +73,18 @@ def test_awkward_rows(awkward, nothing):
     assert langid.trained(nothing) is None
     assert {r.lang_pred for r in langid.predicted(awkward, None).collect()} == {"und"}
     assert langid.predicted(nothing, model).count() == 0
+
+
+def test_long_runs_are_cut_into_words_without_loss():
+    flat, size = langid.words_of(pa.array(["a" * 24, "b" * 25 + "!", "É" * 48 + " x", "", "y " + "字" * 50]))
+    assert flat.to_pylist() == ["a" * 24, "b" * 24, "b", "é" * 24, "é" * 24, "x", "y", "字" * 24, "字" * 24, "字" * 2] and size.tolist() == [1, 2, 3, 0, 4]
+
+
+def test_letters_inside_long_runs_decide(spark):
+    rng = np.random.default_rng(6)
+    inner = lambda letters: "".join(rng.choice(list(letters), 60))
+    rows = [(i, "q" * 16 + inner(letters) + "z" * 8, lang) for i, (letters, lang) in enumerate([("abcde", "aa"), ("vwxyu", "bb")] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.trained(docs.where("doc_id < 60").select("text", "lang"))
+    got = langid.predicted(docs.where("doc_id >= 60"), model).collect()
+    assert len(got) == 20 and all(r.lang_pred == r.row.lang for r in got)
