@@ -82,20 +82,23 @@ def best(query: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> np.nd
 
 
 class Block:
-    """Queries of one width with their statistics and a first lower bound of each one's k-th score."""
+    """Queries of one width with their statistics."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
         self.norm = np.linalg.norm(vectors, axis=1)
         self.levels = [statistics(vectors, s) for s in LEVELS if s < max(2, vectors.shape[1])]
+
+    def seeded(self, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """A lower bound of each query's k-th score, from a few of the rows."""
         seed_ids, seeds = np.unique(ids, return_index=True)
         seed_ids, seeds = seed_ids[:_SEEDS], seeds[:_SEEDS]
-        self.least = np.full(len(ids), -np.inf)
-        if len(seeds) > k:
-            found = vectors @ vectors[seeds].T
-            found[ids[:, None] == seed_ids] = -np.inf
-            kth = -np.partition(-found, k - 1, axis=1)[:, k - 1]
-            self.least = kth - 1e-9 * (1 + np.abs(kth)) - 1e-9 * self.norm * self.norm[seeds].max(initial=0)
+        if len(seeds) <= self.k:
+            return np.full(len(self.ids), -np.inf)
+        found = self.vectors @ rows[seeds].T
+        found[self.ids[:, None] == seed_ids] = -np.inf
+        kth = -np.partition(-found, self.k - 1, axis=1)[:, self.k - 1]
+        return kth - 1e-9 * (1 + np.abs(kth)) - 1e-9 * self.norm * np.linalg.norm(rows[seeds], axis=1).max(initial=0)
 
     def survivors(self, rows: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, row) that no level's bound rules out."""
@@ -115,7 +118,7 @@ def _searcher(queries, k: int, scale: float):
     def search(batches):
         blocks = {w: Block(*asked, k) for w, asked in queries.value.items()}
         none = np.zeros(0, np.int64)
-        state = {w: [none, none, none, b.least.copy()] for w, b in blocks.items()}
+        state = {w: [none, none, none, np.full(len(b.ids), -np.inf)] for w, b in blocks.items()}
         for batch in batches:
             for width, (ids, rows) in whole_vectors(batch.column(0), batch.column(1), scale).items():
                 if width not in state:
@@ -123,6 +126,8 @@ def _searcher(queries, k: int, scale: float):
                 block, (q, r, s, least) = blocks[width], state[width]
                 for a in range(0, len(ids), _CHUNK):
                     some, some_ids = rows[a : a + _CHUNK], ids[a : a + _CHUNK]
+                    if np.isneginf(least).any():
+                        least = np.maximum(least, block.seeded(some_ids, some))
                     new_q, at = block.survivors(some, least)
                     other = block.ids[new_q] != some_ids[at]
                     new_q, at = new_q[other], at[other]
@@ -147,7 +152,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
 
     Components become floor(scale * x). Queries go to all tasks in blocks of `block_bytes` at most; for each block the
     vectors are read in place, pruned by segment statistics (`LEVELS`, coarse to fine) against the k-th best
-    score so far, and the survivors' exact scores are taken. A task returns `k` rows a query at most.
+    score so far, and the survivors' exact scores are taken. A task returns `k` rows a query at most. Queries need not
+    be rows of `vectors`: each task's first bound comes from its own rows.
 
     Rows with a null id or vector, or a null or non-finite component, take no part. Vectors meet queries of their
     own width only. A row is never a candidate of a query of its id; rows that repeat an id count once, with their best

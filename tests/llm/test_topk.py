@@ -66,3 +66,16 @@ def test_structured_vectors_are_pruned():
     block = topk.Block(np.arange(20), steps[:20], 5)
     q, r = block.survivors(steps, np.sort(steps[:20] @ steps.T, axis=1)[:, -6])
     assert len(q) < 0.02 * 20 * 4000
+
+
+def test_queries_from_another_table(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(24)]) for i in range(300)]
+    asked = [(1000 + i, [rng.gauss(3, 1) for _ in range(24)]) for i in range(30)] + [(5, [rng.gauss(3, 1) for _ in range(24)])]
+    got = topk.top_k(spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(asked, SCHEMA), 5).collect()
+    whole = lambda v: [math.floor(256 * x) for x in v]
+    want = []
+    for q, a in asked:
+        scores = sorted((-sum(x * y for x, y in zip(whole(a), whole(b), strict=True)), i) for i, b in rows if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:5])]
+    assert sorted(map(tuple, got)) == sorted(want)
