@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import langid, mixing, near_dup, packing, pii, quality, sharding, token_ids, topk, url_filter
+from codestrata.llm import langid, lexical, mixing, near_dup, packing, pii, quality, sharding, token_ids, topk, url_filter
 
 END_ID = 1
 
@@ -82,6 +82,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(docs, "n_words")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_url_filter": op2_url_filter,
@@ -93,6 +98,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op12_ranked_search": op12_ranked_search,
 }
 _STOPS = ", ".join(f"'{w}'" for line in quality.STOP_WORDS for w in line.split())
 
@@ -138,6 +144,37 @@ ORACLE: dict[str, str] = {
                and 10 * n_bullet_lines <= 9 * n_lines and 10 * n_cut_lines <= 3 * n_lines as kept
         from base
     """,
+    "op12_ranked_search": r"""
+        with d as (
+            select row_number() over () as r, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents
+        ), held as (
+            select r, doc_id, ts, len(ts) as n from d where len(ts) > 0
+        ), totals as (
+            select count(*) as whole, cast(sum(n) as bigint) as length from held
+        ), items as (
+            select distinct item_id, unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark
+        ), words as (
+            select r, unnest(ts) as term from held
+        ), uses as (
+            select r, term, count(*) as tf from words where term in (select term from items) group by r, term
+        ), weights as (
+            select term, cast(floor(1000 * ln(cast(2 * whole + 2 as double) / (2 * count(*) + 1))) as bigint) as w
+            from uses, totals group by term, whole
+        ), worth as (
+            select u.r, u.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * whole) // length))) as part
+            from uses u join held using (r) join weights using (term), totals
+        ), scored as (
+            select item_id, r, cast(sum(part) as bigint) as score from items join worth using (term) group by item_id, r
+        ), placed as (
+            select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank
+            from scored join held using (r) where score > 0
+        )
+        select item_id, cast(rank as integer) as rank, doc_id, score from placed where rank <= 10
+    """,
     "op3_top_k": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
