@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import langid, lexical, mixing, near_dup, packing, pii, quality, sharding, token_ids, topk, url_filter
+from codestrata.llm import langid, lexical, mixing, near_dup, packing, pii, prefix_trie, quality, sharding, token_ids, topk, url_filter
 
 END_ID = 1
 
@@ -87,6 +87,11 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.trie(prefix_trie.with_heads(prefix_trie.conversations_of(_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_url_filter": op2_url_filter,
@@ -99,6 +104,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
     "op12_ranked_search": op12_ranked_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 _STOPS = ", ".join(f"'{w}'" for line in quality.STOP_WORDS for w in line.split())
 
@@ -144,6 +150,42 @@ ORACLE: dict[str, str] = {
                and 10 * n_bullet_lines <= 9 * n_lines and 10 * n_cut_lines <= 3 * n_lines as kept
         from base
     """,
+    "op13_prefix_trie": """
+        with said as (
+            select conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))
+                                 order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as own
+            from conversations where conv_id is not null group by conv_id
+        ), crc_table as (
+            select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k:
+                case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as e
+        ), hashed as (
+            select conv_id, own, conv_id - conv_id % 100 as base, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(
+                string_split(cast(conv_id as varchar), ''), lambda ch: ascii(ch)::bigint)), lambda c, b: xor(c >> 8, e[(xor(c, b) & 255) + 1]))) % 6 as h
+            from said, crc_table
+        ), rebuilt as (
+            select a.conv_id, list_concat(coalesce(b.own[1 : a.h], []), a.own[a.h + 1 :]) as turns
+            from hashed a left join said b on a.base = b.conv_id
+        ), prefixes as (
+            select conv_id, turns, unnest(range(len(turns) + 1)) as depth from rebuilt
+        ), nodes as (
+            select turns[1 : depth] as path, depth, min(conv_id) as conv_id, count(*) as n_convs,
+                   sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (len(turns) = depth), '')) as ends_sha256
+            from prefixes group by all
+        ), numbered as (
+            select *, row_number() over () as node from nodes
+        ), kids as (
+            select p.node, count(*) as n from numbered p join numbered c on c.depth = p.depth + 1 and c.path[1 : p.depth] = p.path group by p.node
+        ), facts as (
+            select n.*, coalesce(k.n, 0) as n_children, case when depth > 0 then (n_convs - 1) * length(path[depth].t) else 0 end as mine
+            from numbered n left join kids k using (node)
+        ), above as (
+            select node, unnest(range(depth + 1)) as up, path, n_children, mine from facts
+        ), sums as (
+            select path[1 : up] as path, count(*) filter (n_children = 0) as n_leaves, sum(mine) as saved from above group by all
+        )
+        select f.conv_id, f.depth, p.conv_id as parent_conv_id, f.n_convs, f.n_children, s.n_leaves, cast(s.saved as bigint) as saved_tokens, f.ends_sha256
+        from facts f join sums s on f.path = s.path left join facts p on f.depth > 0 and p.path = f.path[1 : f.depth - 1] and p.depth = f.depth - 1
+    """,
     "op12_ranked_search": r"""
         with d as (
             select row_number() over () as r, doc_id, regexp_extract_all(
