@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import langid, lexical, mixing, near_dup, packing, pii, prefix_trie, quality, sharding, token_ids, topk, url_filter
+from codestrata.llm import embed_dup, langid, lexical, mixing, near_dup, packing, pii, prefix_trie, quality, sharding, token_ids, topk, url_filter
 
 END_ID = 1
 
@@ -82,6 +82,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(docs, "n_words")
 
 
+def op11_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links within its label, and its component."""
+    return embed_dup.links(_table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for every benchmark item."""
     return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
@@ -103,6 +108,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op11_embedding_links": op11_embedding_links,
     "op12_ranked_search": op12_ranked_search,
     "op13_prefix_trie": op13_prefix_trie,
 }
@@ -150,6 +156,25 @@ ORACLE: dict[str, str] = {
                and 10 * n_bullet_lines <= 9 * n_lines and 10 * n_cut_lines <= 3 * n_lines as kept
         from base
     """,
+    "op11_embedding_links": """
+        with recursive v as (
+            select row_number() over () as r, vec_id, label, cast(embedding as double[]) as e from embeddings
+        ), whole as (
+            select * from v where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+                              and len(list_filter(e, lambda x: x <> 0)) > 0
+        ), pairs as (
+            select a.r as x, b.r as y from whole a join whole b on a.label = b.label and len(a.e) = len(b.e) and a.r <> b.r
+            where list_cosine_similarity(a.e, b.e) >= 0.93
+        ), reach as (
+            select r as x, r as y from v union select reach.x, pairs.y from reach join pairs on reach.y = pairs.x
+        ), comps as (
+            select reach.x, min(vec_id) as component_id from reach join v on v.r = reach.y group by reach.x
+        ), amounts as (
+            select x, count(*) as n from pairs group by x
+        )
+        select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+        from v join comps on comps.x = v.r left join amounts on amounts.x = v.r
+    """,
     "op13_prefix_trie": """
         with said as (
             select conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))
