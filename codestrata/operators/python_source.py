@@ -6,7 +6,8 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.accumulators import Accumulator
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SCHEMA = """repo string, path string, type string, name string, docstring string, code string,
@@ -20,22 +21,28 @@ _FLUSH_BYTES = 16 * 1024 * 1024
 _BLOCKS = ("body", "orelse", "finalbody", "handlers", "cases")
 
 
+def is_python(path: Column, head_indexing: bool = False) -> Column:
+    """Whether the path is parsed; the head-indexing variant also takes `.pyi` and any case."""
+    if not head_indexing:
+        return path.endswith(".py")
+    return F.lower(path).endswith(".py") | F.lower(path).endswith(".pyi")
+
+
 def parse_python(
     files: DataFrame,
     include_async: bool = False,
     include_decorators: bool = False,
     with_text: bool = True,
+    parses: Accumulator | None = None,
 ) -> DataFrame:
     """One row per function or class of each `.py` file, nested ones included, no shuffle.
 
     A file that does not parse gives one row with only `error` set. `include_async` and
     `include_decorators` give the span rules of the head-indexing variant, which also reads `.pyi`
-    and ignores the suffix's case. `with_text=False` leaves docstring and code null.
+    and ignores the suffix's case. `with_text=False` leaves docstring and code null. `parses` is a
+    Spark accumulator that counts the files parsed.
     """
-    suffix = F.lower("path") if include_decorators else F.col("path")
-    wanted = suffix.endswith(".py")
-    if include_decorators:
-        wanted = wanted | suffix.endswith(".pyi")
+    wanted = is_python(F.col("path"), include_decorators)
     kinds = (ast.FunctionDef, ast.AsyncFunctionDef) if include_async else (ast.FunctionDef,)
 
     def entities(content: str) -> Iterator[tuple]:
@@ -57,6 +64,8 @@ def parse_python(
         rows, size = [], 0
         for batch in batches:
             for repo, path, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if parses is not None:
+                    parses.add(1)
                 try:
                     found = [(repo, path, *entity, None) for entity in entities(content)]
                 except Exception as problem:  # syntax errors, null bytes, nesting too deep

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.operators.ranking import numbered
 from codestrata.session import broadcast_if_small, stage
 
 
 def first_write(rows: DataFrame, keys: list[str], arrival: list[str]) -> DataFrame:
-    """One row per key, the first to arrive. Rows with a null in the key are all kept, as in SQLite.
+    """One row per key, the first to arrive; one without an arrival comes after those that have it.
 
-    An aggregate rather than a window, so a hot key shrinks to one row per task before the shuffle.
+    Rows with a null in the key are all kept, as in SQLite. An aggregate rather than a window, so a hot key shrinks to one row per task before the shuffle.
     """
     has_key = _no_nulls(keys)
+    order = F.struct(*(part for c in arrival for part in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))))
     rest = [c for c in rows.columns if c not in keys]
     kept = (
         rows.filter(has_key)
         .groupBy(*keys)
-        .agg(F.min_by(F.struct(*rest), F.struct(*arrival)).alias("_row"))
+        .agg(F.min_by(F.struct(*rest), order).alias("_row"))
         .select(*keys, "_row.*")
     )
     return kept.unionByName(rows.filter(~has_key)).select(*rows.columns)
@@ -44,18 +46,23 @@ def insert_or_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str],
     return existing.unionByName(fresh.select(*existing.columns))
 
 
-def file_id(repo: Column, path: Column) -> Column:
-    """Surrogate key of a path: stable between runs and without a global numbering pass."""
-    return F.xxhash64(repo, path)
+def new_files(paths: DataFrame, existing: DataFrame) -> DataFrame:
+    """(repo, file_id, current_path) of the distinct non-null paths that `existing` lacks, numbered above its ids.
+
+    Ids are dense numbers, so two paths cannot share one, and they come from the parts' counts, not from a
+    window over all paths. One writer at a time may add to a dictionary.
+    """
+    found = paths.select("repo", "current_path").filter(F.col("current_path").isNotNull()).distinct()
+    found = found.join(existing.select("repo", "current_path"), ["repo", "current_path"], "left_anti")
+    last = existing.agg(F.max("file_id")).first()[0]
+    return numbered(found, "file_id", max(0, last or 0)).select("repo", "file_id", "current_path")
 
 
 def file_dictionary(paths: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """(repo, file_id, current_path) of every distinct non-null path; existing entries keep their id."""
-    found = paths.select("repo", "current_path").filter(F.col("current_path").isNotNull()).distinct()
-    if existing is not None:
-        found = found.join(existing.select("repo", "current_path"), ["repo", "current_path"], "left_anti")
-    found = found.select("repo", file_id(F.col("repo"), F.col("current_path")).alias("file_id"), "current_path")
-    return found if existing is None else existing.select("repo", "file_id", "current_path").unionByName(found)
+    if existing is None:
+        existing = paths.sparkSession.createDataFrame([], "repo string, file_id bigint, current_path string")
+    return existing.select("repo", "file_id", "current_path").unionByName(new_files(paths, existing))
 
 
 def replace_symbols(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import SERVICE_SUFFIXES, excluded_by_segment, has_suffix
-from codestrata.operators.python_source import python_entities
-from codestrata.operators.upsert import file_dictionary, file_id, first_write
+from codestrata.operators.python_source import is_python, parse_python, python_entities
+from codestrata.operators.upsert import file_dictionary, first_write, new_files, new_rows
+from codestrata.schemas import BLOBS, COMMITS, SYMBOLS
 from codestrata.session import broadcast_if_small, stage
-
+from codestrata.sources.runs import RunTables
+from codestrata.sources.tables import last_indexed, lineage_tables, read_lineage
 
 # Fixed value: the commit of a repository nothing is known about.
 UNKNOWN = "unknown"
@@ -61,7 +63,6 @@ def index_repositories(
         found.withColumn("commit_sha", F.coalesce("commit_sha", F.lit(UNKNOWN))).select(
             "repo",
             F.xxhash64("repo", "commit_sha", "path", "type", "name", "start_line", "end_line").alias("symbol_id"),
-            file_id(F.col("repo"), path).alias("file_id"),
             "commit_sha",
             F.col("type").alias("kind"),
             "name",
@@ -72,8 +73,129 @@ def index_repositories(
         "symbols",
     )
     stored = sources.select("repo", F.col("path").alias("current_path")) if store_empty_files else symbols
-    return Lineage(
-        first_write(commits, ["repo", "commit_sha"], [*arrival, *(c for c in commits.columns if c not in arrival)]),
-        file_dictionary(stored),
-        symbols.drop("current_path"),
-    )
+    files = stage(file_dictionary(stored), "files")
+    return Lineage(_first_commits(commits, arrival), files, _with_file_ids(symbols, files).select(*SYMBOLS.fieldNames()))
+
+
+def _first_commits(commits: DataFrame, arrival: tuple[str, ...]) -> DataFrame:
+    return first_write(commits, ["repo", "commit_sha"], _arrival(commits, arrival))
+
+
+def _arrival(commits: DataFrame, arrival: tuple[str, ...]) -> list[str]:
+    return [*arrival, *(c for c in commits.columns if c not in arrival)]
+
+
+def _with_file_ids(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    return symbols.join(files.select("repo", "current_path", "file_id"), ["repo", "current_path"])
+
+
+class Indexed(NamedTuple):
+    """What one run of `index_into` did."""
+
+    parsed: DataFrame
+    """The blobs it parsed: blob, parser, symbols, error."""
+    repos: DataFrame
+    """The repositories whose symbols it wrote: repo, commit_sha."""
+
+
+def blob_table(spark: SparkSession, root: str) -> RunTables:
+    """What each content, known by its hash, holds."""
+    return RunTables(spark, f"{root.rstrip('/')}/blobs", {"parsed": BLOBS}, "blob")
+
+
+def read_index(spark: SparkSession, root: str) -> Lineage:
+    """Commits, files and symbols of all that `index_into` has indexed; of a commit indexed again, the last symbols."""
+    return Lineage(*(read_lineage(spark, root, name) for name in Lineage._fields))
+
+
+def compact_index(spark: SparkSession, root: str) -> None:
+    """One run of files instead of one per indexing, without the symbols that a later indexing has replaced."""
+    store = lineage_tables(spark, root)
+    last = last_indexed(store.read("indexed"))
+
+    def kept(symbols: DataFrame) -> DataFrame:
+        return symbols.join(broadcast_if_small(last.select("repo", "commit_sha", "number")), ["repo", "commit_sha", "number"], "left_semi")
+
+    store.compact(symbols=kept, indexed=lambda _: last)
+    blob_table(spark, root).compact()
+
+
+def index_into(
+    root: str,
+    tree: DataFrame,
+    commits: DataFrame,
+    heads: DataFrame | None = None,
+    suffixes: tuple[str, ...] = SERVICE_SUFFIXES,
+    store_empty_files: bool = False,
+    arrival: tuple[str, ...] = ("committed_at",),
+    include_async: bool = False,
+    include_decorators: bool = False,
+    parses=None,
+) -> Indexed:
+    """Index `tree` (repo, path, content; a stored table) at its heads into the tables under `root`, which `read_index` reads.
+
+    Contents are known by their hash. A first pass over the tree keeps (repo, path, hash) alone; only hashes that were never
+    parsed with these options, in any repository and any run, are parsed, once, and what a blob holds is stored beside its hash. Symbols are
+    then assembled by a join: of many paths with one content, the paths are the streamed side and the blob is one row.
+    So a tree that changed in one file parses that file, and an unchanged one parses nothing and writes nothing.
+
+    Commits and files that are there keep their rows and ids. Symbols of other commits stay; a commit indexed again from another
+    tree has its symbols replaced. The blobs are stored before the tables, each by one run: a job that dies is
+    started again, and what it had parsed is not parsed twice. `parses` is an accumulator that counts parsed files.
+    """
+    spark = tree.sparkSession
+    store, blobs = lineage_tables(spark, root), blob_table(spark, root)
+    path = F.col("path")
+    sources = tree.filter(has_suffix(path, suffixes) & ~excluded_by_segment(path) & F.col("content").isNotNull())
+    manifest = stage(sources.select("repo", "path", F.sha2("content", 256).alias("blob")).distinct(), "manifest")
+
+    parser = f"python async={include_async} decorators={include_decorators}"
+    of_parser = F.col("parser") == parser
+    wanted = manifest.filter(is_python(path, include_decorators))
+    unseen = wanted.groupBy("blob").agg(F.min(F.struct("repo", "path")).alias("at"))
+    unseen = stage(unseen.join(blobs.read("parsed").filter(of_parser).select("blob"), "blob", "left_anti").select("blob", "at.*"), "unseen")
+    parsed = spark.createDataFrame([], BLOBS)
+    if not unseen.isEmpty():
+        parsed = stage(_parsed(sources, unseen, parser, include_async, include_decorators, parses), "parsed")
+        blobs.append(parsed=parsed)
+
+    entries = manifest.groupBy("repo").agg(
+        F.format_string("%d %x %s", F.count("*"), F.bit_xor(F.xxhash64("path", "blob")), F.sum(F.xxhash64("blob", "path").cast("decimal(38,0)")).cast("string")).alias("tree"))
+    at = head_commits(entries.select("repo"), commits, heads)
+    number = store.manifest().next_number()
+    last = last_indexed(store.read("indexed")).select("repo", "commit_sha", "tree")
+    due = entries.join(at, "repo").withColumn("tree", F.concat("tree", F.lit(f" {parser} {store_empty_files}"))).join(last, ["repo", "commit_sha", "tree"], "left_anti")
+    due = stage(due.withColumn("number", F.lit(number).cast("long")), "due")
+    fresh = new_rows(store.read("commits"), commits, ["repo", "commit_sha"], _arrival(commits, arrival))
+    fresh = stage(fresh.select(*COMMITS.fieldNames()), "fresh-commits")
+    if due.isEmpty() and fresh.isEmpty():
+        return Indexed(parsed, due.select("repo", "commit_sha"))
+
+    # Only the short list of due repositories is broadcast; a blob's symbols meet all paths that hold it.
+    listed = manifest.join(broadcast_if_small(due.select("repo", "commit_sha", "number")), "repo")
+    held = blobs.read("parsed").filter(of_parser & (F.size("symbols") > 0)).select("blob", "symbols")
+    found = listed.filter(is_python(path, include_decorators)).join(held, "blob").select(
+        "repo", "commit_sha", "number", F.col("path").alias("current_path"), F.inline("symbols"))
+    found = stage(found, "symbols")
+    stored = (listed.withColumnRenamed("path", "current_path") if store_empty_files else found).select("repo", "current_path")
+    files = stage(new_files(stored, store.read("files")), "new-files")
+    ids = store.read("files").unionByName(files)
+    symbol = F.xxhash64("repo", "commit_sha", "current_path", "kind", "name", "start_line", "end_line").alias("symbol_id")
+    symbols = _with_file_ids(found, ids).withColumn("symbol_id", symbol)
+    store.append(commits=fresh, files=files, symbols=symbols, indexed=due)
+    return Indexed(parsed, due.select("repo", "commit_sha"))
+
+
+def _parsed(sources: DataFrame, unseen: DataFrame, parser: str, include_async: bool, include_decorators: bool, parses) -> DataFrame:
+    """Each unseen blob with its symbols, from the one file that stands for it."""
+    where = broadcast_if_small(unseen)
+    contents = sources.join(where, ["repo", "path"]).filter(F.sha2("content", 256) == F.col("blob"))
+    # A path that the tree repeats is parsed again; the copy number keeps its symbols apart.
+    copies = contents.select(F.col("blob").alias("repo"), F.concat(F.monotonically_increasing_id().cast("string"), F.lit(".py")).alias("path"), "content")
+    rows = parse_python(copies, include_async, include_decorators, with_text=False, parses=parses)
+    symbol = F.struct("start_line", "end_line", F.col("type").alias("kind"), "name")
+    one = rows.groupBy("repo", "path").agg(F.array_sort(F.collect_list(F.when(F.col("error").isNull(), symbol))).alias("symbols"), F.max("error").alias("error"))
+    first = one.groupBy(F.col("repo").alias("blob")).agg(F.min_by(F.struct("symbols", "error"), "path").alias("one")).select("blob", "one.*")
+    empty = F.array().cast(BLOBS["symbols"].dataType)
+    return unseen.select("blob").join(first, "blob", "left").select(
+        "blob", F.lit(parser).alias("parser"), F.coalesce("symbols", empty).alias("symbols"), "error")

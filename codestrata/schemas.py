@@ -19,6 +19,11 @@ SYMBOLS = _struct(
     repo=S, symbol_id=L, file_id=L, commit_sha=S, kind=S, name=S, start_line=I, end_line=I
 )
 
+BLOBS = _struct(
+    blob=S, parser=S, symbols=T.ArrayType(_struct(start_line=I, end_line=I, kind=S, name=S)), error=S
+)
+INDEXED = _struct(repo=S, commit_sha=S, number=L, tree=S)
+
 _PERSON = _struct(name=S, email=S, date=S)
 _REF = _struct(ref=S, sha=S)
 

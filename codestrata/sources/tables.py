@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codestrata.operators.upsert import new_rows
 from codestrata.operators.vectors import build_index
-from codestrata.schemas import COMMITS, FILES, SYMBOLS, VECTORS
-
-_TABLES = {"commits": COMMITS, "files": FILES, "symbols": SYMBOLS}
+from codestrata.schemas import COMMITS, FILES, INDEXED, SYMBOLS, VECTORS
+from codestrata.session import broadcast_if_small, stage
+from codestrata.sources.runs import RunTables
 
 
 def write_partitioned(df: DataFrame, path: str, key: str, mode: str = "overwrite") -> None:
@@ -28,24 +30,46 @@ def write_partitioned(df: DataFrame, path: str, key: str, mode: str = "overwrite
     )
 
 
-def write_lineage(root: str, **tables: DataFrame) -> None:
-    for name, df in tables.items():
-        write_partitioned(df.select(*_TABLES[name].fieldNames()), f"{root}/{name}", "repo")
+def lineage_tables(spark: SparkSession, root: str) -> RunTables:
+    """The lineage tables under `root`; symbols carry the number of the run that wrote them."""
+    numbered = T.StructType([*SYMBOLS.fields, T.StructField("number", T.LongType())])
+    return RunTables(spark, root, {"commits": COMMITS, "files": FILES, "symbols": numbered, "indexed": INDEXED}, "repo")
 
 
-def read_lineage(spark: SparkSession, root: str, name: str) -> DataFrame:
-    schema = _TABLES[name]
-    return read_or_empty(spark, f"{root}/{name}", schema).select(*schema.fieldNames())
+def last_indexed(indexed: DataFrame) -> DataFrame:
+    """The last run that wrote the symbols of each commit."""
+    return indexed.groupBy("repo", "commit_sha").agg(F.max_by(F.struct("number", "tree"), "number").alias("last")).select("repo", "commit_sha", "last.*")
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The parquet table, or no rows where nothing was written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+def write_lineage(root: str, **tables: DataFrame) -> None:
+    """Add to the lineage tables as one run: commits and paths that are there keep their rows.
+
+    Symbols of a commit take the place of those it had; other commits, earlier ones of the repository among them, keep theirs.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    store = lineage_tables(spark, root)
+    rows = {}
+    if "commits" in tables:
+        given = tables["commits"].select(*COMMITS.fieldNames())
+        rows["commits"] = new_rows(store.read("commits"), given, ["repo", "commit_sha"], ["committed_at", "author_name", "author_email", "message"])
+    if "files" in tables:
+        given = tables["files"].select(*FILES.fieldNames())
+        rows["files"] = new_rows(store.read("files"), given, ["repo", "current_path"], ["file_id"])
+    if "symbols" in tables:
+        number = F.lit(store.manifest().next_number()).cast("long").alias("number")
+        rows["symbols"] = stage(tables["symbols"].select(*SYMBOLS.fieldNames(), number), "symbols")
+        rows["indexed"] = rows["symbols"].select("repo", "commit_sha", "number", F.lit(None).cast("string").alias("tree")).distinct()
+    store.append(**rows)
+
+
+def read_lineage(spark: SparkSession, root: str, name: str) -> DataFrame:
+    store = lineage_tables(spark, root)
+    rows = store.read(name)
+    if name == "symbols":
+        last = broadcast_if_small(last_indexed(store.read("indexed")).select("repo", "commit_sha", "number"))
+        same = [F.col(f"s.{c}").eqNullSafe(F.col(f"l.{c}")) for c in ("repo", "commit_sha", "number")]
+        rows = rows.alias("s").join(last.alias("l"), same[0] & same[1] & same[2], "left_semi").select(*SYMBOLS.fieldNames())
+    return rows
 
 
 def write_entities(entities: DataFrame, path: str) -> None:

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from codestrata.operators.upsert import new_rows
-from codestrata.sources.tables import read_or_empty
+from codestrata.operators.upsert import first_write, new_rows
+from codestrata.session import stage
+from codestrata.sources.runs import Manifest, read_or_empty
 
-_BATCH, _BUCKET, _BUCKETS = "ingest_batch", "ingest_bucket", 64
-
-
-def _stored(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField(_BATCH, T.StringType()), T.StructField(_BUCKET, T.IntegerType())])
+_RUN, _BITS, _BUCKET = "ingest_run", "ingest_bits", "ingest_bucket"
+#: The driver names at most so many (2 to this power) key buckets when it says which ones a batch can touch.
+_NAMED_BITS = 10
 
 
 def stream_files(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -39,26 +39,61 @@ def _run_of(spark: SparkSession, checkpoint: str) -> str:
     return known.run
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], arrival: list[str]) -> StreamingQuery:
+def _low_bits(number: Column, bits: int) -> Column:
+    return number.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+
+def _read(spark: SparkSession, target: str, schema: T.StructType, entries: list[Row]) -> DataFrame:
+    """The rows of the listed folders, with the bits of their folder and the bucket they lie in."""
+    stored = T.StructType([*schema.fields, T.StructField(_RUN, T.StringType()), T.StructField(_BITS, T.IntegerType()), T.StructField(_BUCKET, T.IntegerType())])
+    if not entries:
+        return spark.createDataFrame([], stored)
+    return spark.read.schema(stored).option("basePath", f"{target}/data").parquet(*(f"{target}/data/{_RUN}={e['run']}" for e in entries))
+
+
+def _write(rows: DataFrame, target: str, keys: list[str], count: int, bucket_rows: int) -> tuple[str, int]:
+    """A new folder of `rows`, at most `count` of them, in as many key buckets as that takes: its name and bits.
+
+    A folder has 2^bits buckets of about `bucket_rows` rows, so with twice the rows each splits in two, and so many tasks write.
+    """
+    bits = max(0, math.ceil(math.log2(max(1, count) / bucket_rows)))
+    run = uuid.uuid4().hex
+    bucketed = rows.withColumn(_BITS, F.lit(bits)).withColumn(_BUCKET, _low_bits(F.xxhash64(*keys), bits))
+    bucketed.repartition(1 << bits, _BUCKET).write.option("partitionOverwriteMode", "static").partitionBy(_BITS, _BUCKET).parquet(f"{target}/data/{_RUN}={run}")
+    return run, bits
+
+
+def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], arrival: list[str], bucket_rows: int = 1_000_000) -> StreamingQuery:
     """Insert every row whose key is new into the parquet table at `target`, then stop.
 
-    Each micro-batch of each run owns one folder and compares with all others, so a batch that is run again
-    after a failure replaces its own rows, and neither a lost checkpoint nor another source's stream into the
-    same table doubles or removes a key. Within a folder rows lie in buckets by key, and a batch reads only the
-    buckets it has keys for. One stream at a time may write to a table.
+    Each micro-batch is staged once, compared with the table, and written to a folder of its own that is listed in a manifest
+    afterwards. A batch that runs again after a failure takes the place of its own folder, and as all others are
+    compared with it, neither a lost checkpoint nor another source's stream into the same table doubles or removes a key.
+    Folders are bucketed by key, the finer the more rows they hold, and a batch reads only buckets it can have keys in.
+    `compact` merges folders between runs. One stream, or one compaction, at a time may write to a table.
     """
     spark = stream.sparkSession
-    run = _run_of(spark, checkpoint)
-    schema = _stored(stream.schema)
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(_BUCKETS)).cast("int")
+    run, schema = _run_of(spark, checkpoint), stream.schema
+    manifest = Manifest(spark, f"{target}/batches")
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        own = f"{run}-{batch_id}"
-        batch = batch.withColumn(_BUCKET, bucket)
-        touched = [r[0] for r in batch.select(_BUCKET).distinct().collect()]
-        others = read_or_empty(batch.sparkSession, target, schema).filter((F.col(_BATCH) != own) & F.col(_BUCKET).isin(touched))
-        fresh = new_rows(others, batch, keys, arrival, small_batch=True)
-        fresh.repartition(_BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(_BUCKET).parquet(f"{target}/{_BATCH}={own}")
+        label = f"{run}-{batch_id}"
+        rows = stage(batch, "micro-batch")
+        named = F.collect_set(_low_bits(F.xxhash64(*keys), _NAMED_BITS))
+        count, touched = rows.agg(F.count(F.lit(1)), named).first()
+        others = [e for e in manifest.current() if e["label"] != label]
+        if others:
+            can = None
+            for bits in sorted({e["bits"] for e in others}):
+                shown = min(bits, _NAMED_BITS)
+                here = (F.col(_BITS) == bits) & _low_bits(F.col(_BUCKET), shown).isin(sorted({t & ((1 << shown) - 1) for t in touched}))
+                can = here if can is None else can | here
+            table = _read(rows.sparkSession, target, schema, others).filter(can).select(*schema.fieldNames())
+            fresh = new_rows(table, rows, keys, arrival, small_batch=True)
+        else:
+            fresh = first_write(rows, keys, arrival)
+        folder, bits = _write(fresh, target, keys, count, bucket_rows)
+        manifest.add(folder, label=label, rows=count, bits=bits)
 
     return (
         stream.writeStream.foreachBatch(insert)
@@ -68,6 +103,23 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], arr
     )
 
 
+def compact(spark: SparkSession, target: str, schema: T.StructType, keys: list[str], below_rows: int | None = None, bucket_rows: int = 1_000_000) -> str | None:
+    """Merge the table's folders of fewer than `below_rows` rows, or all, into one with as many buckets as its rows need.
+
+    The new folder counts, and the merged ones no longer do, from the moment it is listed; so a compaction that dies changes nothing
+    and is started again. Replaced folders stay for readers that are on them and can be removed later.
+    """
+    manifest = Manifest(spark, f"{target}/batches")
+    old = [e for e in manifest.current() if below_rows is None or e["rows"] < below_rows]
+    if len(old) < 2:
+        return None
+    rows = _read(spark, target, schema, old).select(*schema.fieldNames())
+    count = rows.count()
+    folder, bits = _write(rows, target, keys, count, bucket_rows)
+    manifest.add(folder, [e["run"] for e in old], rows=count, bits=bits)
+    return folder
+
+
 def ingest_append_only(stream: DataFrame, target: str, checkpoint: str, keys: list[str], event_time: str, delay: str) -> StreamingQuery:
     """The variant for keys that can only repeat within `delay`: state instead of a look at the table."""
     return (
@@ -83,4 +135,4 @@ def ingest_append_only(stream: DataFrame, target: str, checkpoint: str, keys: li
 
 
 def read_ingested(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
-    return read_or_empty(spark, target, _stored(schema)).select(*schema.fieldNames())
+    return _read(spark, target, schema, Manifest(spark, f"{target}/batches").current()).select(*schema.fieldNames())

@@ -110,11 +110,28 @@ def test_lineage_tables(spark, tmp_path, rows):
     files = spark.createDataFrame([("r", 1, "a"), ("q", 2, "b")], schemas.FILES)
     tables.write_lineage(root, files=files)
     assert rows(tables.read_lineage(spark, root, "files")) == [("q", 2, "b"), ("r", 1, "a")]
-    tables.write_lineage(root, files=spark.createDataFrame([("r", 9, "z")], schemas.FILES))
+    # Paths that are there keep their ids.
+    tables.write_lineage(root, files=spark.createDataFrame([("r", 9, "z"), ("r", 7, "a")], schemas.FILES))
     read = tables.read_lineage(spark, root, "files")
-    assert rows(read) == [("q", 2, "b"), ("r", 9, "z")]
+    assert rows(read) == [("q", 2, "b"), ("r", 1, "a"), ("r", 9, "z")]
     plan = read.filter("repo = 'r'")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(repo" in plan
+    assert "PushedFilters: [IsNotNull(repo), EqualTo(repo,r)" in plan
+
+
+def test_symbols_of_earlier_commits_stay(spark, tmp_path):
+    root = str(tmp_path / "lineage")
+
+    def written(*symbols):
+        tables.write_lineage(root, symbols=spark.createDataFrame([("r", n, 1, sha, "function", name, 1, 2) for n, (sha, name) in enumerate(symbols)], schemas.SYMBOLS))
+        return sorted((r.commit_sha or "", r.name) for r in tables.read_lineage(spark, root, "symbols").collect())
+
+    assert written(("c1", "a"), ("c1", "b"), (None, "n")) == [("", "n"), ("c1", "a"), ("c1", "b")]
+    assert written(("c2", "a")) == [("", "n"), ("c1", "a"), ("c1", "b"), ("c2", "a")]
+    assert written(("c1", "x"), (None, "m")) == [("", "m"), ("c1", "x"), ("c2", "a")]
+    # One folder a run, whatever the number of repositories.
+    many = spark.range(500).selectExpr("concat('r', id) as repo", "id as file_id", "'p' as current_path")
+    tables.write_lineage(root, files=many)
+    assert len(list((tmp_path / "lineage" / "files").iterdir())) == 4
 
 
 def test_entity_sink(spark, tmp_path):

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
+from codestrata.sources.runs import Manifest
 from codestrata.streaming import ingest
 from workload.queries import QUERIES
 
@@ -73,6 +75,70 @@ def test_two_sources_into_one_table(spark, tmp_path):
     assert sorted((r.key, r.at) for r in stored.collect()) == [(k, k) for k in range(25)]
 
 
+def test_a_lost_compaction_changes_nothing_and_a_whole_one_keeps_a_row_a_key(spark, tmp_path, monkeypatch):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for start in range(0, 60, 20):
+        land(spark, source, start, start + 20)
+    schema = spark.read.parquet(source).schema
+
+    def run(state):
+        ingest.ingest(ingest.stream_files(spark, source, schema, files_per_batch=1), target, str(tmp_path / state), ["key"], ["at"], bucket_rows=4).awaitTermination()
+
+    def stored():
+        return sorted((r.key, r.at) for r in ingest.read_ingested(spark, target, schema).collect())
+
+    run("one")
+    want = [(k, k) for k in range(30)]
+    assert stored() == want
+
+    class Killed(Exception):
+        pass
+
+    add = Manifest.add
+    monkeypatch.setattr(Manifest, "add", lambda *args, **kwargs: (_ for _ in ()).throw(Killed))
+    with pytest.raises(Killed):
+        ingest.compact(spark, target, schema, ["key"], bucket_rows=4)
+    monkeypatch.setattr(Manifest, "add", add)
+    assert stored() == want and len(Manifest(spark, f"{target}/batches").current()) == 3
+    assert ingest.compact(spark, target, schema, ["key"], bucket_rows=4) is not None
+    assert stored() == want
+    (entry,) = Manifest(spark, f"{target}/batches").current()
+    assert entry.rows == 30 and entry.bits == 3 and ingest.compact(spark, target, schema, ["key"]) is None
+    # Batches of a lost checkpoint meet the merged folder.
+    run("two")
+    assert stored() == want
+
+
+def test_buckets_and_write_tasks_grow_with_the_rows(spark, tmp_path):
+    source, schema = str(tmp_path / "in"), None
+    for name, rows in (("few", 100), ("more", 1600)):
+        spark.range(rows).select(F.col("id").alias("key"), F.col("id").alias("at")).coalesce(1).write.parquet(f"{source}/{name}")
+        schema = spark.read.parquet(f"{source}/{name}").schema
+        target = str(tmp_path / f"out-{name}")
+        ingest.ingest(ingest.stream_files(spark, f"{source}/{name}", schema), target, str(tmp_path / f"state-{name}"), ["key"], ["at"], bucket_rows=100).awaitTermination()
+        assert len(list((tmp_path / f"out-{name}").glob("data/*/*/*/*.parquet"))) == rows // 100
+        assert ingest.read_ingested(spark, target, schema).count() == rows
+
+
+def test_a_batch_reads_only_the_buckets_of_its_keys(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(1000).select(F.col("id").alias("key"), F.col("id").alias("at")).coalesce(1).write.parquet(source)
+    schema = spark.read.parquet(source).schema
+
+    def run():
+        ingest.ingest(ingest.stream_files(spark, source, schema), target, str(tmp_path / "state"), ["key"], ["at"], bucket_rows=10).awaitTermination()
+
+    run()
+    entries = Manifest(spark, f"{target}/batches").current()
+    bits = entries[0].bits
+    bucket = spark.range(7, 8).select(ingest._low_bits(F.xxhash64("id"), bits)).first()[0]
+    read = ingest._read(spark, target, schema, entries).filter(F.col("ingest_bucket") == bucket)
+    assert 0 < read.count() < 100 and "PartitionFilters: [isnotnull(ingest_bucket" in read._jdf.queryExecution().executedPlan().toString()
+    spark.range(7, 8).select(F.col("id").alias("key"), F.lit(-1).cast("long").alias("at")).coalesce(1).write.mode("append").parquet(source)
+    run()
+    assert ingest.read_ingested(spark, target, schema).count() == 1000
+
+
 def test_the_query_streams_events_without_a_time_in_distributed_writes(spark, tmp_path):
     user, event = F.col("id") % 50, F.col("id")
     no_time = (user >= 40) | (F.col("id") % 7 == 0)

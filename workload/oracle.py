@@ -315,6 +315,22 @@ ORACLE["index_pipeline"] = cte("v_commits") + ", " + (NUMBERED + PY).strip()[len
     select py.repo, path as current_path, type as kind, name, start_line, end_line, coalesce(commit_sha, 'unknown') as commit_sha
     from py left join h on h.repo = py.repo"""
 
+ORACLE["index_twice"] = cte("v_commits", "v_repos") + ", " + (NUMBERED + PY).strip()[len("with "):] + """
+    , h as (select repo, commit_sha from v_commits qualify row_number() over (partition by repo order by committed_at desc, commit_sha desc) = 1),
+    grown as (
+        select py.*, o.n, l_orderkey % 7 = 0 as changed from py join o on py.path = 'src/order_' || o.k || '.py'),
+    orders_of as (select count(*) as n_all, count(*) filter (l_orderkey % 7 = 0) as n_changed from o)
+    select py.repo, coalesce(commit_sha, 'unknown') as commit_sha, path as current_path, type as kind, name, start_line, end_line
+    from py left join h on h.repo = py.repo
+    union all
+    select repo, md5(repo), path, type, name, start_line, case when changed and type = 'class' then end_line + 2 else end_line end
+    from grown where repo in (select repo from v_repos)
+    union all
+    select repo, md5(repo), path, 'function', 'added', 2 * n + 2, 2 * n + 3 from grown where changed and type = 'class'
+    union all
+    select '', '', '', 'blobs parsed by run ' || run, case run when 1 then n_all when 3 then n_changed else 0 end::varchar, 0, 0
+    from orders_of, (values (1), (2), (3)) r(run)"""
+
 # ---- embeddings and search ----
 
 

@@ -555,6 +555,25 @@ def index_pipeline(spark, sf):
     return lookups.all_symbols(built.symbols, built.files).join(stamps, "repo")
 
 
+@query
+def index_twice(spark, sf):
+    """Three runs into one store: the tree, the same tree again, and a tree with some files changed at other heads."""
+    folder, commits = work_dir(spark, "index"), view(spark, sf, "v_commits")
+    tree = stage(v_code(spark, sf, "py"), "code")
+    changed = F.regexp_extract("path", "order_([0-9]+)", 1).cast("bigint") % 7 == 0
+    grown = tree.withColumn("content", F.when(changed, F.concat("content", F.lit("\n    def added(self):\n        return 0"))).otherwise(F.col("content")))
+    heads = view(spark, sf, "v_repos").select("repo", F.md5("repo").alias("head_sha"))
+    runs = [index.index_into(folder, tree, commits), index.index_into(folder, tree, commits), index.index_into(folder, grown, commits, heads)]
+    found = index.read_index(spark, folder)
+    symbols = lookups.symbols_with_paths(found.symbols, found.files).select("repo", "commit_sha", "current_path", "kind", "name", "start_line", "end_line")
+    for number, run in enumerate(runs, 1):
+        done = run.parsed.agg(F.count("*").alias("n")).select(
+            F.lit("").alias("repo"), F.lit("").alias("commit_sha"), F.lit("").alias("current_path"), F.lit(f"blobs parsed by run {number}").alias("kind"),
+            F.col("n").cast("string").alias("name"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"))
+        symbols = symbols.unionByName(done)
+    return symbols
+
+
 # ---- embeddings and search -----------------------------------------------------------------------
 
 
@@ -751,16 +770,16 @@ def repo_report_degraded(spark, sf):
 @query
 def stream_ingest(spark, sf):
     events = table(spark, sf, "events")
-    schema, folder, parts = events.schema, work_dir(spark, "stream"), 4
+    schema, folder, parts, files = events.schema, work_dir(spark, "stream"), 2, 8
     at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
     cuts = events.select(at.alias("at")).approxQuantile("at", [k / parts for k in range(1, parts)], 0.01)
     # Rows without a time arrive last, as in SQL.
     number = F.when(at.isNull(), parts).otherwise(reduce(lambda n, cut: n + (at >= cut).cast("int"), cuts, F.lit(0)))
     landing = stage(events.withColumn("landing", number), "landing", "landing")
-    # All of an arrival is one micro-batch: files of one write have no order, and a user's first event must not come after another.
+    # A user's events of one arrival lie in one file, so it makes no difference which of its files are read first.
     for arrival in sorted(r.landing for r in landing.select("landing").distinct().collect()):
-        landing.where(F.col("landing") == arrival).drop("landing").write.mode("append").parquet(f"{folder}/in")
-        stream = ingest.stream_files(spark, f"{folder}/in", schema, files_per_batch=2**31 - 1)
-        ingest.ingest(stream, f"{folder}/table", f"{folder}/checkpoint", ["user_id"], ["ts", "event_id"]).awaitTermination()
+        landing.where(F.col("landing") == arrival).drop("landing").repartition(files, "user_id").write.mode("append").parquet(f"{folder}/in")
+    stream = ingest.stream_files(spark, f"{folder}/in", schema, files_per_batch=files)
+    ingest.ingest(stream, f"{folder}/table", f"{folder}/checkpoint", ["user_id"], ["ts", "event_id"]).awaitTermination()
     stored = ingest.read_ingested(spark, f"{folder}/table", schema)
     return stored.select("user_id", "event_id", "event_type", "value")
