@@ -9,7 +9,6 @@ from hashlib import md5
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,29 +35,29 @@ def hashing_embedder(dim: int = 256) -> Callable[[Column], Column]:
     as another Column -> Column function that gives null where it fails. Such a UDF should be marked
     non-deterministic, as here: otherwise Spark copies the call into every filter on its result.
     """
-    word = regex.compile(r"[\p{L}\p{N}]+")
-
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def embed_words(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[str, tuple[int, int]] = {}
-
-        def place(token: str) -> tuple[int, int]:
-            found = known.get(token)
-            if found is None:
-                digest = md5(token.encode()).hexdigest()
-                found = int(digest[:8], 16) % dim, 1 if digest[8] < "8" else -1
-                if len(known) < 500_000:
-                    known[token] = found
-            return found
+        known: dict[str, int] = {}
+
+        def cells(words: list[str]) -> np.ndarray:
+            """Each word's bucket, twice, and one more for a positive sign."""
+            if len(known) > 500_000:
+                known.clear()
+            for word in words:
+                if word not in known:
+                    digest = md5(word.encode()).hexdigest()
+                    known[word] = 2 * (int(digest[:8], 16) % dim) + (digest[8] < "8")
+            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
         for batch in texts:
-            cells, signs = [], []
-            for row, text in enumerate(batch.to_pylist()):
-                for token in word.findall(text or ""):
-                    bucket, sign = place(token)
-                    cells.append(row * dim + bucket)
-                    signs.append(sign)
-            counts = np.bincount(np.array(cells, dtype=np.int64), weights=signs, minlength=len(batch) * dim)
+            spaced = pc.replace_substring_regex(pc.cast(pc.fill_null(batch, ""), pa.large_string()), r"[^\p{L}\p{N}]+", " ")
+            split = pc.split_pattern(pc.ascii_trim(spaced, " "), " ")
+            rows = np.repeat(np.arange(len(batch)), np.diff(split.offsets.to_numpy()))
+            words = split.flatten().dictionary_encode()
+            signed = np.append(cells(words.dictionary.to_pylist()), 0)[words.indices.to_numpy()]
+            blank = pc.equal(words, "").to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool)  # a text without words
+            signs = np.where(blank, 0, 2 * (signed % 2) - 1)
+            counts = np.bincount(rows * dim + signed // 2, weights=signs, minlength=len(batch) * dim)
             offsets = np.arange(0, len(batch) * dim + 1, dim, dtype=np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.astype(np.float32)))
 
@@ -153,7 +152,7 @@ def resolve_hits(hits: DataFrame, items: DataFrame) -> DataFrame:
 def _knn_broadcast(corpus: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
     table = queries.toArrow()  # at most broadcast_bytes, checked above
     shared = corpus.sparkSession.sparkContext.broadcast(
-        (table.column("query_id").to_pylist(), _matrix(table.column("embedding").combine_chunks()))
+        (table.column("query_id").to_pylist(), as_matrix(table.column("embedding").combine_chunks()))
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +177,7 @@ def _knn_blocks(corpus: DataFrame, queries: DataFrame, k: int, metric: str, bloc
         if not items.num_rows or not asked.num_rows:
             return _HITS_ARROW.empty_table()
         ids = asked.column("query_id").to_pylist()
-        nearest = _Nearest(ids, _matrix(asked.column("embedding").combine_chunks()), k, metric)
+        nearest = _Nearest(ids, as_matrix(asked.column("embedding").combine_chunks()), k, metric)
         parts = []
         for batch in items.select(["collection", "item_id", "embedding"]).to_batches():
             if nearest.is_full():
@@ -189,7 +188,8 @@ def _knn_blocks(corpus: DataFrame, queries: DataFrame, k: int, metric: str, bloc
     return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(search, _HITS)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def as_matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one width as rows of doubles."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
@@ -219,7 +219,7 @@ class _Nearest:
     def add(self, batch: pa.RecordBatch) -> None:
         if not batch.num_rows or not self.query_ids:
             return
-        vectors = _matrix(batch.column("embedding"))
+        vectors = as_matrix(batch.column("embedding"))
         if vectors.shape[1] != self.queries.shape[1]:
             raise ValueError(f"corpus width {vectors.shape[1]}, query width {self.queries.shape[1]}")
         norms = (vectors * vectors).sum(axis=1)

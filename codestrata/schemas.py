@@ -46,3 +46,8 @@ VECTORS = T.StructType([
     T.StructField("item_id", S),
     T.StructField("embedding", T.ArrayType(T.FloatType())),
 ])
+TEXT_VECTORS = T.StructType([
+    T.StructField("model", S),
+    T.StructField("text_hash", S),
+    T.StructField("embedding", T.ArrayType(T.FloatType())),
+])

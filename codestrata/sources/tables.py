@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codestrata.operators.pivots import PivotIndex, cells_of, choose_pivots, with_pivots
 from codestrata.operators.upsert import new_rows
 from codestrata.operators.vectors import build_index
 from codestrata.schemas import COMMITS, FILES, INDEXED, SYMBOLS, VECTORS
@@ -95,3 +97,43 @@ def load_index(spark: SparkSession, index_path: str, vectors_path: str, dim: int
             raise
     write_partitioned(build_index(read_vectors(spark, vectors_path), dim), index_path, "collection")
     return spark.read.schema(schema).parquet(index_path).select(*schema.fieldNames())
+
+
+_PLACED = T.StructType([*VECTORS.fields, T.StructField("pivot", T.IntegerType()), T.StructField("pivot_distance", T.DoubleType())])
+_CELLS = T.StructType([
+    T.StructField("collection", T.StringType()), T.StructField("pivot", T.IntegerType()), T.StructField("rows", T.LongType()),
+    T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType()),
+])
+_PIVOTS = T.StructType([T.StructField("pivot", T.IntegerType()), T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("metric", T.StringType())])
+
+
+def write_pivot_index(vectors: DataFrame, path: str, dim: int, metric: str = "l2", pivots: int = 256, file_rows: int = 50_000) -> None:
+    """Store `vectors` sorted by nearest pivot and the distance to it, so that a search skips files and row groups.
+
+    Rows of a hot pivot go on over as many files as they fill. The cells are written last: an index without them is built anew.
+    """
+    spark = vectors.sparkSession
+    chosen = choose_pivots(vectors, dim, metric, pivots)
+    table = spark.createDataFrame([(i, [float(x) for x in v], metric) for i, v in enumerate(chosen)], _PIVOTS)
+    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/pivots")
+    order = ["pivot", "pivot_distance", "item_id"]
+    rows = with_pivots(vectors, chosen, metric) if len(chosen) else spark.createDataFrame([], _PLACED)
+    (rows.repartitionByRange("collection", *order).sortWithinPartitions("collection", *order)
+     .write.mode("overwrite").option("partitionOverwriteMode", "static").option("maxRecordsPerFile", file_rows).partitionBy("collection").parquet(f"{path}/rows"))
+    cells_of(spark.read.schema(_PLACED).parquet(f"{path}/rows")).write.mode("overwrite").parquet(f"{path}/cells")
+
+
+def load_pivot_index(spark: SparkSession, path: str, vectors_path: str, dim: int, metric: str = "l2", **options) -> PivotIndex:
+    """The pivot index at `path`, built from the vectors first when it is not there."""
+    try:
+        cells = spark.read.schema(_CELLS).parquet(f"{path}/cells")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        write_pivot_index(read_vectors(spark, vectors_path), path, dim, metric, **options)
+        cells = spark.read.schema(_CELLS).parquet(f"{path}/cells")
+    stored = spark.read.schema(_PIVOTS).parquet(f"{path}/pivots").orderBy("pivot").collect()
+    if any(row["metric"] != metric for row in stored):
+        raise ValueError(f"the index at {path} is not for {metric}")
+    pivots = np.array([row["vector"] for row in stored], np.float64).reshape(len(stored), -1)
+    return PivotIndex(spark.read.schema(_PLACED).parquet(f"{path}/rows"), cells, pivots, metric)

@@ -423,6 +423,7 @@ ORACLE["prompts"] = RETRIEVED + """
            || case when context = '' then 'No relevant repository context found.' else context end
            || chr(10) || chr(10) || 'Question:' || chr(10) || text || chr(10) || chr(10) || 'Answer:' as prompt
     from contexts"""
+ORACLE["prompts_stored"] = ORACLE["prompts"]
 
 # ---- contexts and reports ----
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import records, text
-from codestrata.operators import constraints, context, javascript, lookups, python_source, ranking, upsert, vectors
+from codestrata.operators import constraints, context, javascript, lookups, pivots, python_source, ranking, upsert, vectors
 from codestrata.operators.entities import extract_entities, with_code
 from codestrata.plans import index, report, retrieval
 from codestrata.schemas import COMMIT_DOCUMENT, ENTITIES, PR_DOCUMENT
@@ -119,8 +119,8 @@ def entity_sink(spark, sf):
 def index_search(spark, sf):
     folder = work_dir(spark, "index")
     tables.write_vectors(vector_table(spark, sf), f"{folder}/vectors")
-    stored = tables.load_index(spark, f"{folder}/index", f"{folder}/vectors", 64)
-    return vectors.knn(stored, label_probes(spark, sf), 5).select("query_id", "rank", "item_id", F.round("distance", 6).alias("distance"))
+    stored = tables.load_pivot_index(spark, f"{folder}/index", f"{folder}/vectors", 64)
+    return pivots.search(stored, label_probes(spark, sf), 5).select("query_id", "rank", "item_id", F.round("distance", 6).alias("distance"))
 
 
 @query
@@ -706,6 +706,15 @@ def prompts(spark, sf):
     return retrieval.prompts(view(spark, sf, "v_items"), questions(spark, sf), vectors.hashing_embedder(DIM), DIM)
 
 
+@query
+def prompts_stored(spark, sf):
+    """The same prompts from vectors that an earlier job stored and indexed; only the questions are embedded."""
+    folder, embedder = work_dir(spark, "retrieval"), vectors.hashing_embedder(DIM)
+    items = view(spark, sf, "v_items")
+    retrieval.index_items(folder, items, embedder, f"words {DIM}", DIM)
+    return retrieval.indexed_prompts(retrieval.open_index(spark, folder, DIM), items, questions(spark, sf), embedder, DIM)
+
+
 def parts(spark, sf) -> report.Parts:
     return report.report_parts(*(view(spark, sf, v) for v in ("v_repos", "v_commits", "v_prs", "v_files", "v_symbols")))
 
