@@ -52,12 +52,13 @@ def choose_pivots(vectors: DataFrame, dim: int, metric: str = "l2", most: int =
 
     Any vectors would give right results; centres of clusters let a search skip the other clusters.
     """
+    vectors = vectors.filter("embedding is not null")
     rows = vectors.count()
+    if not rows:
+        return np.zeros((0, dim))
     sample = vectors.orderBy(F.xxhash64("item_id"), "item_id").limit(max(most, SAMPLE_BYTES // (8 * max(1, dim)))).select("embedding").toArrow()
     points = np.unique(scaled(as_matrix(sample.column("embedding")), metric), axis=0)
     count = min(len(points), most, max(1, math.isqrt(rows) // 2))
-    if not count:
-        return np.zeros((0, dim))
     # Farthest points first, so that every cluster gets one, then a few rounds of means.
     chosen, gap = [0], distances(points, points[:1])[:, 0]
     while len(chosen) < count:
