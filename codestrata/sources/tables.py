@@ -135,5 +135,5 @@ def load_pivot_index(spark: SparkSession, path: str, vectors_path: str, dim: int
     stored = spark.read.schema(_PIVOTS).parquet(f"{path}/pivots").orderBy("pivot").collect()
     if any(row["metric"] != metric for row in stored):
         raise ValueError(f"the index at {path} is not for {metric}")
-    pivots = np.array([row["vector"] for row in stored], np.float64).reshape(len(stored), -1)
+    pivots = np.array([row["vector"] for row in stored], np.float64) if stored else np.zeros((0, dim))
     return PivotIndex(spark.read.schema(_PLACED).parquet(f"{path}/rows"), cells, pivots, metric)
