@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.near_dup import components
+from codestrata.llm.ordering import runs
 from codestrata.session import broadcast_if_small, stage
 
 SEED = 20_240_501
@@ -259,30 +260,10 @@ def linked(rows: np.ndarray, weight: np.ndarray, side: np.ndarray, cells: np.nda
     return out, head, verified
 
 
-def _runs(batches, keys: int):
-    """Tables of the rows that agree in the first `keys` columns, from rows in their order."""
-    held, now = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        names = list(zip(*(batch.column(k).to_pylist() for k in range(keys)), strict=True))
-        first = 0
-        for i, name in enumerate(names):
-            if name != now:
-                if now is not None and i > first:
-                    held.append(batch.slice(first, i - first))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, now, first = [], name, i
-        held.append(batch.slice(first))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _linker(cosine: float, miss: float, single: bool):
     """node, links and head (the node whose set it is in) of the rows of every run that have links."""
     def link(batches):
-        for run in _runs(batches, 3):
+        for run in runs(batches, 3):
             if run.num_rows < 2:
                 continue
             run = run.combine_chunks()

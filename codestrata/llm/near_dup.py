@@ -10,19 +10,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.ordering import carried
+from codestrata.llm.ordering import carried, runs
 from codestrata.session import stage
 
 WORDS = 5
 SIMILAR = 0.8
 BANDS, MINIMA = 24, 4
-#: Texts of so few shingles get single-minimum keys too: four of a handful collide too seldom.
+#: Texts of so few shingles need single-minimum keys too, four of a handful collide too seldom; so all that can be linked to them have some.
 FEW = 25
-#: Shingles that so many members of a leader lack in common count as known to the group.
-COMMON = 64
+_KEYED = int(FEW / SIMILAR) + 1
+#: Words that a task holds of a set at once; one longer text is held alone.
+PART_WORDS = 1 << 20
 _PIECE = 8 << 20
 _SURVIVORS = 24
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -114,7 +115,7 @@ def sketches(h: np.ndarray, count: np.ndarray, bands: int = BANDS, minima: int =
             key = _mix((key ^ kept[:, k]) * _A)
         out[:, band] = key.view(np.int64)
         out[:, bands + band] = _mix((alone ^ np.uint64(band + 1001)) * _B).view(np.int64)
-    return [out[i, : bands * (1 + (count[i] <= FEW))] if count[i] else out[i, :0] for i in range(n)]
+    return [out[i, : bands * (1 + (count[i] <= _KEYED))] if count[i] else out[i, :0] for i in range(n)]
 
 
 def _sketcher(batches):
@@ -142,8 +143,9 @@ def _sequencer(batches):
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> int:
     """The longest common subsequence, or any smaller number where it is below `least`.
 
-    Equal ends go first. The rest is aligned within the band that at least `least` matches leave, one bit vector
-    a row. A multiset bound comes before.
+    Equal ends go first, then a multiset bound. The rest is aligned within the band that at least `least` matches leave, one bit
+    vector of the band's width a row: the vector is shifted along the diagonal, and what falls off its end is counted. So
+    time is the length times the band, and memory the length.
     """
     m = min(len(a), len(b))
     differ = np.flatnonzero(a[:m] != b[:m])
@@ -163,17 +165,31 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> int:
     if done + most < least:
         return done
     width = max(0, int(len(a) + len(b) - 2 * max(0.0, least - done)))
-    masks = [0] * len(shared)
-    for i, k in enumerate(at.tolist()):
-        masks[k] |= 1 << i
-    full, band = (1 << len(a)) - 1, (1 << (2 * width + 1)) - 1
-    v = full
+    order = np.argsort(at, kind="stable")
+    ends = np.cumsum(counts)
+    places = order.tolist()
+    upto = (ends - counts).tolist()  # per symbol, the first of its places that has not entered the band
+    last, seen, since = ends.tolist(), [0] * len(shared), [0] * len(shared)
+    full = (1 << (2 * width + 1)) - 1
+    v, base, matched = full, 0, 0  # bit i stands for a[base + i]; a cleared bit is a match
     for j in np.flatnonzero(held).tolist():
-        window = band << (j - width) if j >= width else band >> (width - j)
-        u = v & masks[place[j]] & window
+        k, low, high = place[j], max(0, j - width), j + width
+        if low > base:
+            gone = low - base
+            matched += gone - (v & ((1 << gone) - 1)).bit_count() if gone <= 2 * width else 2 * width + 1 - v.bit_count()
+            v = (v >> gone) | (full & ~(full >> gone)) if gone <= 2 * width else full
+            base = low
+        inside = seen[k] >> (base - since[k])
+        next_, stop = upto[k], last[k]
+        while next_ < stop and places[next_] <= high:
+            if places[next_] >= base:
+                inside |= 1 << (places[next_] - base)
+            next_ += 1
+        upto[k], seen[k], since[k] = next_, inside, base
+        u = v & inside
         if u:
             v = ((v + u) | (v - u)) & full
-    return done + len(a) - v.bit_count()
+    return done + matched + 2 * width + 1 - v.bit_count()
 
 
 def _least(m, n):
@@ -181,63 +197,122 @@ def _least(m, n):
     return SIMILAR / (1 + SIMILAR) * (m + n)
 
 
-def _verifier(residual: bool):
-    """x, y, linked, and given `residual` the shingles of x that neither y nor its witnesses hold.
+def _cut(words: bytes) -> np.ndarray:
+    words = np.frombuffer(words, np.uint32)
+    return shingles(words, np.array([len(words)]))[0]
 
-    These are their number, and the first of them by hash, as many as half of x's shingles.
-    """
-    def bag(*texts):
-        """Shingles with the greatest number of times that one of the texts has them."""
-        values, counts = zip(*(np.unique(t, return_counts=True) for t in texts), strict=True)
-        together, place = np.unique(np.concatenate(values), return_inverse=True)
-        most = np.zeros(len(together), np.int64)
-        np.maximum.at(most, place, np.concatenate(counts))
-        return together, most
-
-    def cut(words):
-        words = np.frombuffer(words, np.uint32)
-        return shingles(words, np.array([len(words)]))[0]
-
-    def verify(batches):
-        held = {}
-        for batch in batches:
-            linked, lacking, prefix = [], [], []
-            more = batch.column(4).to_pylist() if residual else [()] * len(batch)
-            for x, y, name, others in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(1).to_pylist(), more, strict=True):
-                a, b = cut(x), cut(y)
-                least = _least(len(a), len(b))
-                linked.append(aligned(a, b, least) >= least - 1e-9)
-                if residual:
-                    if name not in held:
-                        if len(held) > 50:
-                            held.clear()
-                        held[name] = bag(b, *map(cut, others))
-                    known, theirs = held[name]
-                    values, counts = np.unique(a, return_counts=True)
-                    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                    over = np.maximum(counts - np.where(known[at] == values, theirs[at], 0), 0)
-                    lacking.append(int(over.sum()))
-                    prefix.append(values[over > 0][: len(a) // 2 + 1].view(np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_())]
-            names = ["x", "y", "linked"]
-            if residual:
-                columns += [pa.array(lacking, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))]
-                names += ["lacks", "prefix"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-    return verify
-
-
-def _verified(pairs: DataFrame, sequences: DataFrame, witnesses: DataFrame | None = None) -> DataFrame:
-    """The pairs (x, y) with the verdict of the alignment, staged; given witnesses (y, witness), with what x lacks."""
+
+def _verifier(batches):
+    """x, y and linked."""
+    for batch in batches:
+        verdicts = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            a, b = _cut(x), _cut(y)
+            least = _least(len(a), len(b))
+            verdicts.append(aligned(a, b, least) >= least - 1e-9)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdicts, pa.bool_())], names=["x", "y", "linked"])
+
+
+def _verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
+    """The pairs (x, y) with the verdict of the alignment, staged."""
     text = lambda c: sequences.select(F.col("node").alias(c), F.col("words").alias(f"{c}_words"))
-    both = pairs.select("x", "y").join(text("x"), "x")
-    if witnesses is None:
-        both = both.join(text("y"), "y").select("x", "y", "x_words", "y_words")
-        return stage(both.mapInArrow(_verifier(False), "x binary, y binary, linked boolean"), "verified")
-    beside = witnesses.join(text("witness"), "witness").groupBy("y").agg(F.collect_list("witness_words").alias("more"))
-    known = text("y").join(beside, "y").withColumnRenamed("y", "named")
-    both = both.join(known, F.col("y") == F.col("named")).select("x", "y", "x_words", "y_words", "more")
-    return stage(both.mapInArrow(_verifier(True), "x binary, y binary, linked boolean, lacks int, prefix array<long>"), "verified")
+    both = pairs.select("x", "y").join(text("x"), "x").join(text("y"), "y").select("x", "y", "x_words", "y_words")
+    return stage(both.mapInArrow(_verifier, "x binary, y binary, linked boolean"), "verified")
+
+
+def meet(texts: list[np.ndarray], comp: np.ndarray, main: np.ndarray, side: np.ndarray) -> tuple[list[tuple[int, int]], int]:
+    """Links (x, y) that connect the classes `comp` of texts (their shingles) as all similar pairs would, and how many were aligned.
+
+    A pair can only be linked if it shares four fifths of the longer text's shingles. So of each text's shingles, rarest of the
+    run first, a fifth and one lead to all partners; what a candidate shares bounds its matches, and only pairs that
+    pass and are not in one class by then are aligned. Texts of the class `main` need not meet each other, and with
+    two sides only pairs across them do.
+    """
+    size = np.array([len(t) for t in texts], np.int64)
+    values, codes = np.unique(np.concatenate(texts), return_inverse=True)
+    entry, uses = np.unique(np.repeat(np.arange(len(texts)), size) * len(values) + codes, return_counts=True)
+    text, code = entry // len(values), entry % len(values)
+    holders = np.bincount(code, minlength=len(values))
+    order = np.lexsort((code, holders[code], text))
+    text, code, uses = text[order], code[order], uses[order]
+    first = np.searchsorted(text, np.arange(len(texts) + 1))
+    before = np.cumsum(uses) - uses
+    before -= before[first[:-1]][text]
+    lead = before <= size[text] - np.ceil(SIMILAR * size[text] - 1e-9)
+    by_code = np.argsort(code[lead], kind="stable")
+    led_text = text[lead][by_code]
+    led = np.searchsorted(code[lead][by_code], np.arange(len(values) + 1))
+    root = np.unique(comp, return_inverse=True)[1]
+    two, links, tried = bool((side != side[0]).any()), [], 0
+    mine = np.zeros(len(values), np.int64)
+    for x in np.flatnonzero(~main).tolist():
+        span = slice(first[x], first[x + 1])
+        ahead = code[span][lead[span]]
+        others = np.unique(np.concatenate([led_text[led[c] : led[c + 1]] for c in ahead.tolist()]))
+        fits = (root[others] != root[x]) & (size[others] >= SIMILAR * size[x] - 1e-6) & (size[x] >= SIMILAR * size[others] - 1e-6)
+        fits &= main[others] | (others > x)
+        if two:
+            fits &= side[others] != side[x]
+        others = others[fits]
+        if not len(others):
+            continue
+        mine[code[span]] = uses[span]
+        spans = [slice(first[y], first[y + 1]) for y in others.tolist()]
+        shared = np.array([int(np.minimum(mine[code[s]], uses[s]).sum()) for s in spans])
+        mine[code[span]] = 0
+        good = shared >= _least(size[x], size[others]) - 1e-9
+        # The nearest first: its class is then known, and the rest of it passed over.
+        for y in others[good][np.argsort(-shared[good], kind="stable")].tolist():
+            if root[y] != root[x]:
+                tried += 1
+                least = _least(size[x], size[y])
+                if aligned(texts[x], texts[y], least) >= least - 1e-9:
+                    links.append((x, y))
+                    root[root == root[y]] = root[x]
+    return links, tried
+
+
+def _meeter(batches):
+    """x and y of the links that the texts of every run add."""
+    for run in runs(batches, 3):
+        if run.num_rows < 2:
+            continue
+        nodes = run.column("node").to_pylist()
+        comp = np.unique(np.array(run.column("comp").to_pylist(), object), return_inverse=True)[1]
+        main, side = (run.column(c).to_numpy() for c in ("main", "side"))
+        links, _ = meet([_cut(w) for w in run.column("words").to_pylist()], comp, main, side)
+        if links:
+            x, y = zip(*links, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in x], pa.binary()), pa.array([nodes[i] for i in y], pa.binary())], names=["x", "y"])
+
+
+def _met(shared: DataFrame, comps: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Links (x, y) between the classes that still share a bucket, staged.
+
+    Classes that share buckets form sets. The texts of a set, each once, go to one task, or, beyond `PART_WORDS`, are dealt
+    into parts: those of its largest class and the others. A part of the others meets all parts, so the largest class, which may be
+    most of a hot group, is sent only as often as the others have parts, and its parts do not meet each other.
+    """
+    placed = shared.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).where("low <> top").select("bucket", "low")
+    open_ = stage(placed.join(several, "bucket").select("node", "comp", "low"), "open")
+    sets = components(open_.where("comp <> low").select(F.col("comp").alias("x"), F.col("low").alias("y")).distinct())
+    members = open_.select("node", "comp").distinct().join(sets.select(F.col("node").alias("comp"), F.col("comp").alias("set")), "comp")
+    members = members.join(sequences.select("node", (F.octet_length("words") / 4).cast("long").alias("n")), "node")
+    members = stage(members, "members")
+    each = members.groupBy("set", "comp").agg(F.sum("n").alias("n"))
+    whole = each.groupBy("set").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"))
+    count = lambda n: F.greatest(F.lit(1), F.ceil(n / PART_WORDS)).cast("int")
+    whole = whole.select("set", F.col("most.comp").alias("largest"), (F.col("n") > PART_WORDS).alias("split"),
+                         count(F.col("most.n")).alias("mains"), count(F.col("n") - F.col("most.n")).alias("others"))
+    dealt = members.join(stage(whole, "sets"), "set").withColumn("main", F.col("comp") == F.col("largest"))
+    part = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    side = F.when(~F.col("split"), 0).when(F.col("main"), part).otherwise(F.col("mains") + part)
+    beside = F.when(~F.col("split"), F.array(F.lit(0))).otherwise(F.sequence(F.when(F.col("main"), F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1))
+    dealt = dealt.withColumn("side", side).join(sequences, "node").withColumn("other", F.explode(beside))
+    dealt = dealt.select("set", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node", "comp", "main", "side", "words")
+    dealt = dealt.repartition("set", "low", "high").sortWithinPartitions("set", "low", "high")
+    return stage(dealt.mapInArrow(_meeter, "x binary, y binary"), "met")
 
 
 def _rooted(tree: DataFrame) -> DataFrame:
@@ -284,60 +359,17 @@ def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     return stage(moved.unionByName(new), "components")
 
 
-def _candidates(tested: DataFrame, comps: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs of members of one leader, not yet in one class, that may still be similar.
-
-    Each member x was compared with the leader and `lacks` shingles that the leader and its witnesses do not hold; those
-    that many members lack in common count as held too. Two similar members either share some of the others, as
-    many as what both hold leaves wanting, or their matches are all among what they hold, which bounds them on
-    either side. No other pair can reach the needed matches, so none is made. Of more than a fifth of x's shingles all
-    but a fifth must be shared, so the first fifth and one, by hash, lead to all partners.
-    """
-    with_comp = tested.join(comps.withColumnRenamed("node", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
-    lead = tested.select(F.col("y").alias("x")).distinct().join(comps.withColumnRenamed("node", "x"), "x", "left").select(
-        F.col("x").alias("y"), F.coalesce("comp", "x").alias("lead_comp"))
-    members = with_comp.join(lead, "y").join(sizes.withColumnRenamed("node", "x"), "x")
-    open_ = members.groupBy("y").agg(F.max(F.col("comp") != F.col("lead_comp")).alias("open")).where("open").select("y")
-    members = stage(members.join(open_, "y").select("y", "x", "n", "lacks", "prefix", "comp", (F.col("comp") != F.col("lead_comp")).alias("apart")), "members")
-    spread = members.select("y", "x", F.explode("prefix").alias("h"))
-    common = stage(spread.groupBy("y", "h").count().where(F.col("count") >= COMMON).select("y", "h"), "common")
-    absorbed = spread.join(common, ["y", "h"]).groupBy("y", "x").agg(F.count(F.lit(1)).alias("a"))
-    known = members.join(absorbed, ["y", "x"], "left").withColumn("a", F.coalesce("a", F.lit(0)))
-    seen = F.least(F.size("prefix") - F.col("a"), F.floor((1 - SIMILAR) * F.col("n")) + 1)
-    facts = known.select("y", "x", "n", "comp", "apart", (F.col("n") - F.col("lacks") + F.col("a")).alias("held"), seen.alias("seen"),
-                         (F.col("lacks") - F.col("a") - seen).alias("rest"))
-    facts = stage(facts, "facts")
-
-    def other(rows):
-        return rows.select(*(F.col(c).alias(f"o_{c}") for c in rows.columns))
-
-    fits = ((F.col("comp") != F.col("o_comp")) & (F.col("o_n") >= SIMILAR * F.col("n") - 1e-6) & (F.col("n") >= SIMILAR * F.col("o_n") - 1e-6)
-            & (~F.col("o_apart") | (F.col("x") < F.col("o_x"))))
-    wanted = _least(F.col("n"), F.col("o_n")) - F.least("held", "o_held")
-    plain = facts.drop("seen", "rest")
-    explained = plain.where("apart").join(other(plain), (F.col("y") == F.col("o_y")) & fits & (wanted <= 1e-6))
-    rank = F.row_number().over(Window.partitionBy("y", "x").orderBy("h"))
-    first = spread.join(common, ["y", "h"], "left_anti").withColumn("rank", rank)
-    first = first.join(facts, ["y", "x"]).where(F.col("rank") <= F.col("seen")).drop("rank", "seen")
-    first = stage(first, "lacking")
-    met = first.where("apart").join(other(first), (F.col("y") == F.col("o_y")) & (F.col("h") == F.col("o_h")) & fits)
-    met = met.groupBy("y", "x", "o_x", (wanted - F.greatest("rest", "o_rest")).alias("wanted")).count().where(F.col("count") >= F.col("wanted") - 1e-6)
-    ends = [F.least("x", "o_x").alias("x"), F.greatest("x", "o_x").alias("y")]
-    return explained.select(*ends).unionByName(met.select(*ends)).distinct()
-
-
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, spelling (a hash of the text), node (the text's key) and comp (the class's key) of every row.
 
     Copies, the same words in any case and punctuation, share a node and are compared once. Order MinHash keys put texts
     into buckets; a bucket's leader is the member whose buckets hold most, so one near the middle of its group. First
-    each text meets the best leader of all its buckets; alignment links it or not. In buckets that still hold
-    several classes every member meets the leader, and what it has that neither the leader nor two further members
-    hold leads to the pairs that may still be similar (`_candidates`); those are aligned too. So hot groups cost a few
-    alignments a member and no pair of a group is made without cause, while every similar pair that shares a
-    bucket is linked or connected: two texts of similarity 0.8 miss all buckets with odds near 3 in a million.
+    each text meets the best leader of all its buckets; alignment links it or not. Texts of buckets that then still hold several
+    classes meet in sets (`_met`), where only pairs that share enough shingles are aligned. So a hot group costs an
+    alignment or two a member, no pair of a group is made as a row, and every similar pair that shares a bucket
+    is linked or connected: two texts of similarity 0.8 miss all buckets with odds near 3 in a million.
 
-    A null text has neither node nor comp. Texts without words are copies only of their own spelling. Repeated rows
+    A text of any length is one row, aligned in time of its length times the band. A null text has neither node nor comp. Texts without words are copies only of their own spelling. Repeated rows
     and ids are rows like others. An empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("spelling"))
@@ -357,20 +389,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     first = shared.where(fits & (F.col("node") != F.col("leader"))).groupBy(F.col("node").alias("x")).agg(F.max(F.struct("l_score", "leader")).alias("l")).select("x", F.col("l.leader").alias("y"))
     trees = _verified(first, sequences).where("linked").select(F.col("x").alias("node"), F.col("y").alias("parent"))
     comps = _rooted(trees)
-    placed = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket")
-    open_ = shared.join(several, "bucket", "left_semi").where("node <> leader").select(F.col("node").alias("x"), F.col("leader").alias("y")).distinct()
-    open_ = stage(open_, "open")
-    # Two more members a leader: what a leader itself has changed is then no news in every other member.
-    placed = open_.join(standing.withColumnRenamed("node", "x"), "x").withColumn("half", F.xxhash64("x") % 2 == 0)
-    best = F.struct("score", "x")
-    halves = placed.groupBy("y").agg(F.max(F.when(F.col("half"), best)).alias("a"), F.max(F.when(~F.col("half"), best)).alias("b"))
-    witnesses = halves.select("y", F.explode(F.array_compact(F.array("a.x", "b.x"))).alias("witness"))
-    tested = _verified(open_, sequences, witnesses)
-    comps = _joined(comps, tested.where("linked").select("x", "y"))
-    sizes = nodes.select("node", "n")
-    rest = _verified(_candidates(tested.drop("linked"), comps, sizes), sequences)
-    comps = _joined(comps, rest.where("linked").select("x", "y"))
+    comps = _joined(comps, _met(shared.select("bucket", "node"), comps, sequences))
     found = comps.withColumnRenamed("node", "of")
     out = sketched.select("doc_id", "spelling", "node").join(found, F.col("node") == F.col("of"), "left")
     return out.select("doc_id", "spelling", "node", F.coalesce("comp", "node").alias("comp"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,3 +57,23 @@ def ranked(df: DataFrame, order: list[str], group: str | None = None, value: str
         within = Window.partitionBy("part", key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
         added += [(F.col("amount_before") + F.coalesce(F.sum(value).over(within), F.lit(0))).alias("before"), F.col("total")]
     return out.select(*(F.col(c) for c in df.columns), *added)
+
+
+def runs(batches, keys: int):
+    """Tables of the rows that agree in the first `keys` columns, from rows in their order."""
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = list(zip(*(batch.column(k).to_pylist() for k in range(keys)), strict=True))
+        first = 0
+        for i, name in enumerate(names):
+            if name != now:
+                if now is not None and i > first:
+                    held.append(batch.slice(first, i - first))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, now, first = [], name, i
+        held.append(batch.slice(first))
+    if held:
+        yield pa.Table.from_batches(held)

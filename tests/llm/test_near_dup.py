@@ -132,3 +132,49 @@ def test_a_hot_group_makes_few_pairs(spark, monkeypatch):
     got = Counter(tuple(r) for r in near_dup.labelled(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == brute(rows)
     assert sum(made) < 10 * len(texts), made
+
+
+def template(rng, n):
+    """Texts of 120 words of which six are replaced: none is similar to another, all share most of their shingles."""
+    base = [f"w{i}" for i in range(120)]
+    out = []
+    for _ in range(n):
+        text = list(base)
+        for at in range(10, 120, 20):
+            text[at + rng.randrange(5)] = f"v{rng.randrange(40)}"
+        out.append(near_dup.shingles(np.array([hash(w) & 0xFFFFFFFF for w in text], np.uint32), np.array([120]))[0])
+    return out
+
+
+def test_template_texts_test_few_pairs():
+    tried = {}
+    for n in (150, 600):
+        texts = template(random.Random(1), n)
+        links, tried[n] = near_dup.meet(texts, np.arange(n), np.zeros(n, bool), np.zeros(n, np.int64))
+        want = {(x, y) for x in range(n) for y in range(x + 1, n) if near_dup.aligned(texts[x], texts[y], 0) >= near_dup._least(116, 116)} if n == 150 else None
+        if want is not None:
+            assert set(links) <= want and len({x for link in links for x in link}) == len({x for link in want for x in link})
+    assert tried[150] < 10 * 150 and tried[600] < 20 * 600, tried
+
+
+def test_sets_in_parts_give_the_same_classes(spark, monkeypatch):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [t for _ in range(3) for t in family(rng, vocabulary, 40, 90)]
+    chain = list(texts[0].split())
+    for k in range(8):
+        chain = chain[: k * 9] + [f"n{k}a", f"n{k}b"] + chain[k * 9 + 2 :]
+        texts.append(" ".join(chain))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_dup, "PART_WORDS", 700)
+    assert Counter(tuple(r) for r in near_dup.labelled(df).collect()) == brute(rows)
+
+
+def test_very_long_near_copies_end():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 40, 60_000).astype(np.uint64)
+    b = a.copy()
+    b[rng.choice(60_000, 3_000, replace=False)] = 7
+    assert near_dup.aligned(a, b, near_dup._least(60_000, 60_000)) == 57_000
+    assert near_dup.aligned(a, np.concatenate([a[1_000:], b[:1_000]]), near_dup._least(60_000, 60_000)) >= 59_000
