@@ -11,6 +11,7 @@ from codestrata.llm.ordering import ranked
 from codestrata.session import stage
 
 LEVELS = (4, 16)
+#: Rows and queries that meet at once: the matrices of a tile have this many cells squared.
 _CHUNK = 2048
 _SEEDS = 512
 _FLOAT_EXACT = 2.0**53
@@ -114,43 +115,54 @@ class Block:
         return q, columns[at]
 
 
+class Search:
+    """The best rows so far of one tile of queries."""
+
+    def __init__(self, block: Block):
+        self.block, self.least = block, np.full(len(block.ids), -np.inf)
+        self.q = self.r = self.s = np.zeros(0, np.int64)
+
+    def meet(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        block = self.block
+        if np.isneginf(self.least).any():
+            self.least = np.maximum(self.least, block.seeded(ids, rows))
+        q, at = block.survivors(rows, self.least)
+        other = block.ids[q] != ids[at]
+        q, at = q[other], at[other]
+        scores = exact(block.vectors, rows, q, at)
+        near = scores >= self.least[q]
+        q, r, s = (np.concatenate(x) for x in ((self.q, q[near]), (self.r, ids[at[near]]), (self.s, scores[near])))
+        kept = best(q, r, s, block.k)
+        self.q, self.r, self.s = q[kept], r[kept], s[kept]
+        last = np.cumsum(np.bincount(self.q, minlength=len(self.least))) - 1
+        full = np.bincount(self.q, minlength=len(self.least)) == block.k
+        self.least[full] = np.maximum(self.least[full], self.s[last[full]])
+
+
+def searches(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> dict[int, list[Search]]:
+    """By width, the queries in tiles."""
+    return {w: [Search(Block(ids[a : a + _CHUNK], vectors[a : a + _CHUNK], k)) for a in range(0, len(ids), _CHUNK)] for w, (ids, vectors) in queries.items()}
+
+
 def _searcher(queries, k: int, scale: float):
     def search(batches):
-        blocks = {w: Block(*asked, k) for w, asked in queries.value.items()}
-        none = np.zeros(0, np.int64)
-        state = {w: [none, none, none, np.full(len(b.ids), -np.inf)] for w, b in blocks.items()}
+        held = searches(queries.value, k)
         for batch in batches:
             for width, (ids, rows) in whole_vectors(batch.column(0), batch.column(1), scale).items():
-                if width not in state:
-                    continue
-                block, (q, r, s, least) = blocks[width], state[width]
                 for a in range(0, len(ids), _CHUNK):
-                    some, some_ids = rows[a : a + _CHUNK], ids[a : a + _CHUNK]
-                    if np.isneginf(least).any():
-                        least = np.maximum(least, block.seeded(some_ids, some))
-                    new_q, at = block.survivors(some, least)
-                    other = block.ids[new_q] != some_ids[at]
-                    new_q, at = new_q[other], at[other]
-                    scores = exact(block.vectors, some, new_q, at)
-                    near = scores >= least[new_q]
-                    q, r, s = (np.concatenate(x) for x in ((q, new_q[near]), (r, some_ids[at[near]]), (s, scores[near])))
-                    kept = best(q, r, s, k)
-                    q, r, s = q[kept], r[kept], s[kept]
-                    held = np.bincount(q, minlength=len(least))
-                    last = np.cumsum(held) - 1
-                    full = held == k
-                    least[full] = np.maximum(least[full], s[last[full]])
-                state[width] = [q, r, s, least]
-        for width, (q, r, s, _) in state.items():
-            yield pa.RecordBatch.from_arrays([pa.array(blocks[width].ids[q]), pa.array(r), pa.array(s)], names=["query_id", "vec_id", "score"])
+                    for tile in held.get(width, ()):
+                        tile.meet(ids[a : a + _CHUNK], rows[a : a + _CHUNK])
+        for tile in (t for tiles in held.values() for t in tiles):
+            yield pa.RecordBatch.from_arrays([pa.array(tile.block.ids[tile.q]), pa.array(tile.r), pa.array(tile.s)], names=["query_id", "vec_id", "score"])
     return search
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector: str = "embedding",
-          block_bytes: int = 32 << 20) -> DataFrame:
+          block_bytes: int = 128 << 20) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: each query's `k` highest integer inner products, exactly.
 
-    Components become floor(scale * x). Queries go to all tasks in blocks of `block_bytes` at most; for each block the
+    Components become floor(scale * x). Queries go to all tasks in blocks of `block_bytes` at most, one scan of the vectors
+    a block; in a task tiles of a block and of its rows meet one after another, so its matrices do not grow with either. The
     vectors are read in place, pruned by segment statistics (`LEVELS`, coarse to fine) against the k-th best
     score so far, and the survivors' exact scores are taken. A task returns `k` rows a query at most. Queries need not
     be rows of `vectors`: each task's first bound comes from its own rows.

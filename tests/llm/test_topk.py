@@ -79,3 +79,21 @@ def test_queries_from_another_table(spark):
         scores = sorted((-sum(x * y for x, y in zip(whole(a), whole(b), strict=True)), i) for i, b in rows if i != q)
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:5])]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_a_full_block_takes_bounded_memory():
+    import resource
+
+    rng = np.random.default_rng(3)
+    queries = np.floor(rng.normal(size=(65_536, 64)) * 256)
+    rows = np.floor(rng.normal(size=(2_048, 64)) * 256)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    held = topk.searches({64: (np.arange(65_536), queries)}, 5)
+    for tile in held[64]:
+        tile.meet(np.arange(100_000, 102_048), rows)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20  # kilobytes
+    q = 40_000
+    want = sorted(zip((-(rows @ queries[q])).astype(int).tolist(), range(100_000, 102_048), strict=True))[:5]
+    tile = held[64][q // topk._CHUNK]
+    mine = tile.q == q % topk._CHUNK
+    assert [(-s, r) for s, r in zip(tile.s[mine].tolist(), tile.r[mine].tolist(), strict=True)] == want
