@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codestrata.llm.ordering import carried
 from codestrata.operators.ranking import top_n
+from codestrata.session import broadcast_if_small, stage
 
 UNKNOWN = "und"
 _WIDE = 24
@@ -170,25 +171,23 @@ def _sampler(field_words: int):
     return sample
 
 
-def trained(docs: DataFrame, text: str = "text", label: str = "lang", sample_docs: int = 300, sample_words: int = 120, most_labels: int = 100) -> Field | None:
+def trained(docs: DataFrame, text: str = "text", label: str = "lang", sample_docs: int = 300, sample_words: int = 120, sample_total: int = 30_000) -> Field | None:
     """A field from a bounded sample of labelled rows; None without any.
 
-    The bound: of the `most_labels` most frequent labels, `sample_docs` texts each, those with the smallest hashes, and
-    `sample_words` words in a row of each text, from a place that the hash chooses. Only labels and hashes are
-    sorted; the second scan picks the texts.
+    The bound: of every label `sample_docs` texts, or as many fewer as keep all labels together at `sample_total`, one at least: those
+    with the smallest hashes, and `sample_words` words in a row of each text, from a place that the hash chooses. Only labels
+    and hashes are sorted; the second scan picks the texts. So a label's rarity does not keep it from being learnt.
     """
     rows = docs.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{text}`").rlike(r"\p{L}")).select(
         F.col(f"`{label}`").alias("label"), F.xxhash64(F.lit(17), F.col(f"`{text}`")).alias("place"), F.col(f"`{text}`").alias("t"))
-    frequent = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_labels).select("label")
-    narrow = rows.select("label", "place").distinct().join(frequent, "label", "left_semi")
-    last = top_n(narrow, ["label"], [F.asc("place")], sample_docs).groupBy("label").agg(F.max("place").alias("last")).orderBy("label").collect()
-    if not last:
+    narrow = stage(rows.select("label", "place").distinct(), "labelled")
+    labels = [r.label for r in narrow.select("label").distinct().orderBy("label").collect()]  # the classes of the model
+    if not labels:
         return None
-    chosen = F.lit(False)
-    for r in last:
-        chosen = chosen | ((F.col("label") == r.label) & (F.col("place") <= r["last"]))
-    picked = rows.where(chosen).dropDuplicates(["label", "place"]).mapInArrow(_sampler(sample_words), "label string, words array<string>")
-    labels = [r.label for r in last]
+    each = max(1, min(sample_docs, sample_total // len(labels)))
+    last = top_n(narrow, ["label"], [F.asc("place")], each).groupBy("label").agg(F.max("place").alias("last"))
+    chosen = rows.join(broadcast_if_small(stage(last, "last-places")), "label").where(F.col("place") <= F.col("last"))
+    picked = chosen.select("label", "place", "t").dropDuplicates(["label", "place"]).mapInArrow(_sampler(sample_words), "label string, words array<string>")
     number = {name: i for i, name in enumerate(labels)}
     found = sorted((number[r.label], list(r.words)) for r in picked.collect())
     return fit(found, labels)

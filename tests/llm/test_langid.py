@@ -88,3 +88,18 @@ def test_letters_inside_long_runs_decide(spark):
     model = langid.trained(docs.where("doc_id < 60").select("text", "lang"))
     got = langid.predicted(docs.where("doc_id >= 60"), model).collect()
     assert len(got) == 20 and all(r.lang_pred == r.row.lang for r in got)
+
+
+def test_rare_labels_of_many_are_learnt(spark):
+    rng = np.random.default_rng(4)
+    letters = [chr(c) for c in range(0x430, 0x450)] + list("abcdefghijklmnopqrstuvwxyz")
+    rows = []
+    for k in range(120):
+        own = ["".join(rng.choice(letters, 6)) for _ in range(12)]
+        # The last label by count and by name has two texts, the others have twelve.
+        rows += [(f"{'zz' if k == 119 else 'l'}{k:03d}", " ".join(rng.choice(own, 30))) for _ in range(2 if k == 119 else 12)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    model = langid.trained(docs, sample_words=30, sample_total=700)
+    assert len(model.labels) == 120
+    rare = langid.predicted(docs.where("lang = 'zz119'"), model).collect()
+    assert [r.lang_pred for r in rare] == ["zz119"] * 2
