@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +45,41 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     return stage(table.select("source", "source_size", F.when(full, F.col("top")).otherwise(F.col("weight") * level).alias("target")), "targets")
 
 
+def log_size(size: Column) -> Column:
+    """A weight that grows with the logarithm of a document's words: long documents are favoured, but not in proportion."""
+    return F.log1p(size.cast("double")) + 1
+
+
+def _rates(narrow: DataFrame, aims: DataFrame, most: float) -> DataFrame:
+    """of, source_size, target, rate and sure_all, staged: a document's mean copies are its wish times the rate, `most` at most.
+
+    The rate is raised, in rounds of one sum a source, until what documents at the bound leave to the others brings the
+    source to its target. Where the target is `most` times the source, or nothing is left, every document is at the bound.
+    """
+    start = narrow.groupBy("source").agg(F.sum(F.col("size") * F.col("wish")).alias("wished"))
+    rates = aims.join(start, F.col("of").eqNullSafe(F.col("source"))).select(
+        "of", "source_size", "target", (F.col("target") >= most * F.col("source_size") - 1e-9).alias("full"),
+        F.when(F.col("wished") > 0, F.col("target") / F.col("wished")).otherwise(0.0).alias("rate"))
+    rates = stage(rates, "rates")
+    while True:
+        met = narrow.join(rates.where("not full and rate > 0"), F.col("source").eqNullSafe(F.col("of")))
+        at_bound = F.col("rate") * F.col("wish") >= most
+        sums = met.groupBy("of").agg(F.sum(F.when(at_bound, F.col("size") * most)).alias("held"), F.sum(F.when(~at_bound, F.col("size") * F.col("wish"))).alias("free"))
+        sums = sums.select(F.col("of").alias("s_of"), (F.coalesce("held", F.lit(0.0))).alias("held"), F.coalesce("free", F.lit(0.0)).alias("free"))
+        raised = rates.join(sums, F.col("of").eqNullSafe(F.col("s_of")) & ~F.col("full"), "left")
+        new = F.when(F.col("free") > 0, F.greatest(F.col("rate"), (F.col("target") - F.col("held")) / F.col("free"))).otherwise(F.col("rate"))
+        raised = stage(raised.select("of", "source_size", "target", "full", F.col("rate").alias("was"), new.alias("rate")), "rates")
+        if not raised.where("rate > was * (1 + 1e-9)").limit(1).count():
+            return raised.drop("was")
+        rates = raised.drop("was")
+
+
 def sampled(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text: str = "text", source: str = "source",
-            weight: str | None = None, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+            weight: str | Callable[[Column], Column] | None = None, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """`row` (the whole input row) with doc_id, source, size, source_size, target, copies and taken.
 
-    A document is to come m = target / source size times on average, or in proportion to its `weight`
-    column, at most `most` times. It gets floor(m) copies for certain and one more with probability
+    A document is to come m = target / source size times on average, or in proportion to its `weight`, a
+    column or a function of its size such as `log_size`, at most `most` times (`_rates`). It gets floor(m) copies for certain and one more with probability
     p = m - floor(m), by Pareto order sampling: scores u / (1 - u) * (1 - p) / p are sorted within the source
     and the lowest are taken, as many as bring the source's words nearest to its target. Only narrow rows
     are sorted, and only each source's last taken score comes back, so no source is gathered anywhere and
@@ -59,18 +90,20 @@ def sampled(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text: str =
     no rows. Clashing columns stay inside `row`.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    wish = F.greatest(F.coalesce(F.col(f"`{weight}`").cast("double"), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0)
+    wish = F.col(f"`{weight}`").cast("double") if isinstance(weight, str) else F.lit(1.0)
     facts = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(body).alias("size"),
-             _random(seed, F.col(f"`{id_col}`"), body).alias("u"), wish.alias("wish")]
-    narrow = stage(docs.select(*facts), "sizes")
-    sums = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("wish")).alias("wished"))
-    aims = targets(sums, share, most, weights).withColumnRenamed("source", "of")
-    rates = sums.drop("source_size").join(aims, F.col("source").eqNullSafe(F.col("of"))).select(
-        "of", "source_size", "target", F.when(F.col("wished") > 0, F.col("target") / F.col("wished")).otherwise(0.0).alias("rate"))
-    rates = stage(rates, "rates")
+             _random(seed, F.col(f"`{id_col}`"), body).alias("u"), F.greatest(F.coalesce(wish, F.lit(0.0)), F.lit(0.0)).alias("wish")]
+
+    def measured(rows: DataFrame, *more: Column) -> DataFrame:
+        known = rows.select(*more, *facts)
+        return known.withColumn("wish", weight(F.col("size"))) if callable(weight) else known
+
+    narrow = stage(measured(docs), "sizes")
+    sums = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rates = _rates(narrow, targets(sums, share, most, weights).withColumnRenamed("source", "of"), most)
 
     def scored(rows: DataFrame) -> DataFrame:
-        mean = F.least(F.col("rate") * F.col("wish"), F.lit(float(most)))
+        mean = F.when(F.col("full"), F.lit(float(most))).otherwise(F.least(F.col("rate") * F.col("wish"), F.lit(float(most))))
         part = F.col("mean") - F.col("certain")
         return (rows.withColumn("mean", mean).withColumn("certain", F.floor("mean"))
                 .withColumn("score", F.when(part > 0, F.col("u") / (1 - F.col("u")) * (1 - part) / part)).drop("mean"))
@@ -83,7 +116,7 @@ def sampled(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text: str =
     cuts = cuts.groupBy("of").agg(F.max("score").alias("cut")).withColumnRenamed("of", "cut_of")
     plan = stage(rates.join(cuts, F.col("of").eqNullSafe(F.col("cut_of")), "left").drop("cut_of"), "mixture")
     copies = F.col("certain") + F.coalesce((F.col("score") <= F.col("cut")).cast("int"), F.lit(0))
-    out = scored(docs.select(carried(docs), *facts).join(plan, F.col("source").eqNullSafe(F.col("of"))))
+    out = scored(measured(docs, carried(docs)).join(plan, F.col("source").eqNullSafe(F.col("of"))))
     return out.select("row", "doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"),
                       (copies * F.col("size")).cast("long").alias("taken"))
 

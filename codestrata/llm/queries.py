@@ -72,7 +72,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its source's target and the words the mix takes of it."""
-    return mixing.sampled(_table(spark, sf_dir, "documents")).select(
+    return mixing.sampled(_table(spark, sf_dir, "documents"), weight=mixing.log_size).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -118,6 +119,31 @@ def test_weights_make_unequal_odds(spark):
     assert heavy / light == pytest.approx(3.0, rel=0.15)
 
 
+def test_odds_of_the_query_grow_with_the_size(spark, awkward):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for df in (docs, awkward):
+        rows = mixing.sampled(df, weight=mixing.log_size).collect()
+        assert len(rows) == df.count() and all(0 <= r.copies <= 2 and r.taken == r.copies * r.size for r in rows)
+        taken, target, biggest = Counter(), {}, Counter()
+        for r in rows:
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+            biggest[r.source] = max(biggest[r.source], r.size)
+        for s in target:
+            assert abs(taken[s] - target[s]) <= biggest[s] * 6
+
+
+def test_longer_texts_come_more_often(spark):
+    from pyspark.sql import functions as F
+
+    long = F.col("id") % 2 == 0
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(long, F.repeat(F.lit("word "), 200)).otherwise("word word").alias("text"), F.lit("s").alias("source"))
+    rows = mixing.sampled(df, weight=mixing.log_size, share=0.4).collect()
+    heavy, light = (sum(r.copies for r in rows if r.doc_id % 2 == k) for k in (0, 1))
+    assert sum(r.taken for r in rows) == pytest.approx(0.4 * 2000 * 202, abs=200)
+    assert heavy / light == pytest.approx((math.log1p(200) + 1) / (math.log1p(2) + 1), rel=0.15)
+
+
 def test_best_bounds_are_optimal():
     rng = np.random.default_rng(3)
     for _ in range(60):
