@@ -229,6 +229,21 @@ def write_token_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str |
     return folder, stage(manifest, "token-files")
 
 
+def _counter(path: str, end_id: int):
+    def count(batches):
+        encoder = Encoder(path, end_id)
+        for batch in batches:
+            for piece in _pieces(batch, 1):
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(encoder(piece.column(1))[1])], names=["doc_id", "n_tokens"])
+    return count
+
+
+def token_counts(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and n_tokens, the end id included, of every row; a null text has the end id alone."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    return rows.mapInArrow(_counter(tokenizer, end_id), "doc_id long, n_tokens long")
+
+
 def read_token_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian u32) of every document."""
     files = manifest.select("file", F.coalesce(F.sum("n_ids").over(
