@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from codestrata.llm import mixing, near_dup, packing, pii, quality
+from codestrata.llm import mixing, near_dup, packing, pii, quality, token_ids
+from codestrata.llm.queries import END_ID
 from codestrata.session import work_dir
 
 
@@ -26,12 +26,15 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mixture, each as often as it was taken."""
-    return mixing.mix(docs)
+    return mixing.mix(docs, weight=mixing.log_size)
 
 
 def packing_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket, batch and slot of every document by its number of words."""
-    return packing.packed(docs.select("doc_id", mixing.word_count(F.col("text")).alias("n_words")), "n_words")
+    """Bucket, batch and slot of every document by its number of tokens, the end id included."""
+    import public_tokenizers
+
+    counts = token_ids.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return packing.packed(counts, "n_tokens")
 
 
 STAGES = [
@@ -48,7 +51,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written as Parquet and read back."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return run_on(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+
+
+def run_on(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All stages over `docs`; columns beside those of documents go with the rows until packing."""
     for name, stage in STAGES[:-1]:
         path = work_dir(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
