@@ -293,10 +293,12 @@ def _met(shared: DataFrame, comps: DataFrame, sequences: DataFrame) -> DataFrame
     into parts: those of its largest class and the others. A part of the others meets all parts, so the largest class, which may be
     most of a hot group, is sent only as often as the others have parts, and its parts do not meet each other.
     """
-    placed = shared.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    several = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).where("low <> top").select("bucket", "low")
-    open_ = stage(placed.join(several, "bucket").select("node", "comp", "low"), "open")
-    sets = components(open_.where("comp <> low").select(F.col("comp").alias("x"), F.col("low").alias("y")).distinct())
+    placed = shared.join(comps, "node", "left").select("bucket", "node", "leader", F.coalesce("comp", "node").alias("comp"))
+    # A bucket's classes are joined through its leader's: the buckets of a hot group have one leader, so a class has few of these edges.
+    center = F.max(F.when(F.col("node") == F.col("leader"), F.col("comp"))).alias("center")
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("top"), center).where("low <> top").select("bucket", "center")
+    open_ = stage(placed.join(several, "bucket").select("node", "comp", "center").distinct(), "open")
+    sets = components(open_.where("comp <> center").select(F.col("comp").alias("x"), F.col("center").alias("y")).distinct())
     members = open_.select("node", "comp").distinct().join(sets.select(F.col("node").alias("comp"), F.col("comp").alias("set")), "comp")
     members = members.join(sequences.select("node", (F.octet_length("words") / 4).cast("long").alias("n")), "node")
     members = stage(members, "members")
@@ -384,12 +386,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     leaders = held.join(standing, "node").groupBy("bucket").agg(F.max(F.struct("score", "node", F.col("n").alias("m"))).alias("l"))
     shared = stage(held.drop("rows").join(leaders, "bucket").select("bucket", "node", "n", F.col("l.node").alias("leader"), F.col("l.m").alias("m"), F.col("l.score").alias("l_score")), "shared")
     fits = (F.col("n") >= SIMILAR * F.col("m") - 1e-6) & (F.col("m") >= SIMILAR * F.col("n") - 1e-6)
-    sequences = rows.select("t").mapInArrow(_sequencer, "node binary, words binary").join(standing.select("node"), "node", "left_semi")
+    # Both sides are shuffled at every size: the texts that share no bucket fall before the rest is grouped.
+    sequences = rows.select("t").mapInArrow(_sequencer, "node binary, words binary").join(standing.select("node").hint("merge"), "node", "left_semi")
     sequences = stage(sequences.groupBy("node").agg(F.first("words").alias("words")), "sequences")
     first = shared.where(fits & (F.col("node") != F.col("leader"))).groupBy(F.col("node").alias("x")).agg(F.max(F.struct("l_score", "leader")).alias("l")).select("x", F.col("l.leader").alias("y"))
     trees = _verified(first, sequences).where("linked").select(F.col("x").alias("node"), F.col("y").alias("parent"))
     comps = _rooted(trees)
-    comps = _joined(comps, _met(shared.select("bucket", "node"), comps, sequences))
+    comps = _joined(comps, _met(shared.select("bucket", "node", "leader"), comps, sequences))
     found = comps.withColumnRenamed("node", "of")
     out = sketched.select("doc_id", "spelling", "node").join(found, F.col("node") == F.col("of"), "left")
     return out.select("doc_id", "spelling", "node", F.coalesce("comp", "node").alias("comp"))
