@@ -56,13 +56,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _UPPER.lower())
 
 
+def fold(text: str) -> str:
+    """A-Z to a-z, as `ascii_lower` does for columns."""
+    return "".join(ch.lower() if ch in _UPPER else ch for ch in text)
+
+
 def contains_like(c: Column, pattern: str) -> Column:
     """`c LIKE '%pattern%'` as SQLite does it.
 
     Only A-Z fold, `%` and `_` in the pattern stay wildcards and a backslash is a plain character,
     so the escape character is one the pattern does not use.
     """
-    folded = "".join(ch.lower() if ch in _UPPER else ch for ch in pattern)
+    folded = fold(pattern)
     unused = next(chr(n) for n in range(1, 0x10000) if chr(n) not in folded + "%_")
     return F.like(ascii_lower(c), F.lit(f"%{folded}%"), F.lit(unused))
 

@@ -63,6 +63,12 @@ def repo_metadata(column: str) -> list[Column]:
     ]
 
 
+def read_metadata(landed: DataFrame, column: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(metadata, quarantine) of bodies that should be JSON objects: one that is none has no defaults but is set aside."""
+    readable = F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(column))).startswith("OBJECT"), F.lit(False))
+    return landed.filter(readable).select(*keep, *repo_metadata(column)), landed.filter(~readable)
+
+
 def flatten_commits(documents: DataFrame) -> DataFrame:
     """Commit documents (struct author and committer) as flat rows."""
     return documents.select(

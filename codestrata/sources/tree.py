@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
-import posixpath
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import SKIPPED_SEGMENTS
+from codestrata.session import stage
 
+_LISTED = ("repo", "path", "folder", "is_folder", "task")
+_KINDS = {"valid_utf8": pa.bool_(), "is_folder": pa.bool_(), "task": pa.int32()}
 _BATCH_BYTES = 32 * 1024 * 1024
 
 
@@ -32,34 +35,11 @@ def read_tree(
     path before anything is read, `prune` leaves out hidden and dependency folders unvisited.
 
     Spark's own file sources skip names that start with `_` or `.`, and with them every
-    `__init__.py`, so the tree is walked in tasks: one lists the repositories, each repository is
-    listed by one task, and the files are then spread over `tasks` tasks by path, so a large
-    repository is read by all of them.
+    `__init__.py`, so the tree is walked in tasks (`list_tree`), and the files are then spread over
+    `tasks` tasks by path, so a large repository is read by all of them.
     """
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if repo is None:
-        repos = spark.createDataFrame([(root,)], "folder string").mapInArrow(_list_repos, "repo string, folder string")
-    else:
-        repos = spark.createDataFrame([(repo, root)], "repo string, folder string")
-
-    def list_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, folder in _values(batches):
-            system, base = fs.FileSystem.from_uri(folder)
-            pending, found = [base], []
-            while pending:
-                for info in system.get_file_info(fs.FileSelector(pending.pop())):
-                    if info.type == fs.FileType.Directory and _is_link(system, info.path):
-                        continue
-                    if info.type == fs.FileType.File:
-                        found.append((name, posixpath.relpath(info.path, base), folder))
-                    elif not (prune and (info.base_name.startswith(".") or info.base_name in SKIPPED_SEGMENTS)):
-                        pending.append(info.path)
-                if len(found) >= 10_000:
-                    yield _batch(found, "repo", "path", "folder")
-                    found = []
-            yield _batch(found, "repo", "path", "folder")
-
-    files = repos.repartition(tasks, "repo").mapInArrow(list_files, "repo string, path string, folder string")
+    files = list_tree(spark, root, repo, prune, tasks).select("repo", "path", "folder")
     if wanted is not None:
         files = files.filter(wanted(F.col("path")))
     return files.repartition(tasks, "repo", "path").mapInArrow(
@@ -67,18 +47,55 @@ def read_tree(
     )
 
 
+def list_tree(spark: SparkSession, root: str, repo: str | None = None, prune: bool = True, tasks: int | None = None) -> DataFrame:
+    """repo, path, folder (the repository's) and task of every file under `root`, without reading any.
+
+    Level by level: the folders found in one round are dealt over `tasks` tasks in the next, each level staged, until a round
+    finds none. So the folders of one large repository are listed by many tasks, and a lost executor costs a part of a level.
+    """
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = "repo string, path string, folder string, is_folder boolean, task int"
+    start = spark.createDataFrame([(repo, "", root)], "repo string, path string, folder string")
+    levels, frontier = [], start
+    while True:
+        dealt = frontier.repartition(tasks, "repo", "path") if levels else frontier
+        level = stage(dealt.select("repo", "path", "folder").mapInArrow(_lister(prune), schema), "tree-level")
+        levels.append(level.filter("not is_folder"))
+        frontier = level.filter("is_folder")
+        if frontier.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, levels).drop("is_folder")
+
+
+def _lister(prune: bool):
+    def list_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        found, task = [], TaskContext.get().partitionId()
+        for repo, path, folder in _values(batches):
+            system, base = fs.FileSystem.from_uri(folder)
+            here = f"{base}/{path}" if path else base
+            for info in system.get_file_info(fs.FileSelector(here, allow_not_found=bool(path))):
+                inner = f"{path}/{info.base_name}" if path else info.base_name
+                if info.type == fs.FileType.File and repo is not None:
+                    found.append((repo, inner, folder, False, task))
+                elif info.type == fs.FileType.Directory and not _is_link(system, info.path):
+                    if repo is None:  # the folders of the root are repositories, whatever their names
+                        found.append((info.base_name, "", f"{folder.rstrip('/')}/{info.base_name}", True, task))
+                    elif not (prune and (info.base_name.startswith(".") or info.base_name in SKIPPED_SEGMENTS)):
+                        found.append((repo, inner, folder, True, task))
+                if len(found) >= 10_000:
+                    yield _batch(found, *_LISTED)
+                    found = []
+        yield _batch(found, *_LISTED)
+    return list_level
+
+
 def _is_link(system: fs.FileSystem, path: str) -> bool:
     """Links to folders are not followed: they may lead back up, or out of the tree."""
     return system.type_name == "local" and os.path.islink(path)
 
 
-def _list_repos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (root,) in _values(batches):
-        system, base = fs.FileSystem.from_uri(root)
-        folders = (i for i in system.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.Directory)
-        yield _batch([(i.base_name, f"{root.rstrip('/')}/{i.base_name}") for i in folders], "repo", "folder")
-
-
 def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, read, size = ("repo", "path", "content", "valid_utf8"), [], 0
     for repo, path, folder in _values(batches):
@@ -107,5 +124,5 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def _batch(rows: list[tuple], *names: str) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * len(names)
-    kinds = [pa.bool_() if name == "valid_utf8" else pa.string() for name in names]
+    kinds = [_KINDS.get(name, pa.string()) for name in names]
     return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=list(names))

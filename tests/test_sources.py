@@ -30,6 +30,29 @@ def test_tree_scan(spark, tmp_path):
     assert {(r.repo, r.path) for r in single.collect()} == {("me", "src/__init__.py"), ("me", "bad.py")}
 
 
+def test_one_large_repository_is_listed_by_many_tasks(spark, tmp_path):
+    root = tmp_path / "co"
+    for n in range(60):
+        folder = root / "giant" / f"d{n % 6}" / f"e{n}" / "deep" / "deeper"
+        folder.mkdir(parents=True)
+        (folder / "__init__.py").write_text(str(n))
+    (root / "empty").mkdir()
+    listed = tree.list_tree(spark, str(root), tasks=16).collect()
+    assert sorted(r.path for r in listed) == sorted(f"d{n % 6}/e{n}/deep/deeper/__init__.py" for n in range(60))
+    assert {r.repo for r in listed} == {"giant"} and len({r.task for r in listed}) > 8
+    assert tree.list_tree(spark, str(root / "empty"), repo="empty").count() == 0
+    with pytest.raises(Exception, match="absent"):
+        tree.list_tree(spark, str(root / "absent"))
+
+
+def test_metadata_that_is_no_json_is_set_aside(spark):
+    bodies = [('{"name": "a", "stargazers_count": 3}',), ("{}",), ("not json",), ("[1]",), (None,), ('{"description": null}',)]
+    df = spark.createDataFrame(bodies, "body string")
+    found, quarantine = landed.read_metadata(df, "body")
+    assert sorted((r.name, r.stars) for r in found.collect()) == [("", 0), ("", 0), ("a", 3)]
+    assert sorted(str(r.body) for r in quarantine.collect()) == ["None", "[1]", "not json"]
+
+
 COMMIT = {
     "sha": "s", "message": "m", "author": {"name": "n", "email": "e", "date": "2024-01-02T03:04:05Z"},
     "committer": {"name": "c", "email": "e", "date": "2024-01-02T03:04:06Z"}, "url": "u", "code_diff": "",

@@ -216,6 +216,11 @@ ORACLE["recent_commits"] = cte("v_commits") + COMMITS50 + f"""
 
 ORACLE["recent_prs"] = cte("v_prs") + PRS30 + " select repo, cast(rank as int) as rank, number, title, state from p30"
 
+ORACLE["updated_prs"] = cte("v_prs") + f"""
+    , u as (select *, case when number % 3 = 0 then created_at + to_days(cast(number % 400 as int)) else created_at end as updated_at from v_prs),
+    r as (select *, row_number() over (partition by repo order by updated_at desc nulls last, number desc) as rank from u)
+    select repo, cast(rank as int) as rank, number, title, strftime(updated_at, {STAMP}) as updated_at from r where rank <= 30"""
+
 ORACLE["report_caps"] = cte("v_files", "v_symbols") + STATS + SYMBOLS200 + FILES50 + """
     select repo, 'symbols' as section, cast(rank as int) as rank, current_path || ':' || start_line || ':' || name as item from s200
     union all
@@ -315,6 +320,9 @@ ORACLE["index_pipeline"] = cte("v_commits") + ", " + (NUMBERED + PY).strip()[len
     select py.repo, path as current_path, type as kind, name, start_line, end_line, coalesce(commit_sha, 'unknown') as commit_sha
     from py left join h on h.repo = py.repo"""
 
+ORACLE["tree_scan"] = NUMBERED + PY_CODE + """
+    select repo, 'src/' || (l_orderkey % 7) || '/order_' || k || '.py' as path, md5(code) as content_md5, true as valid_utf8
+    from o join py_code on path = 'src/order_' || k || '.py' and name = 'Order_' || k"""
 ORACLE["index_twice"] = cte("v_commits", "v_repos") + ", " + (NUMBERED + PY).strip()[len("with "):] + """
     , h as (select repo, commit_sha from v_commits qualify row_number() over (partition by repo order by committed_at desc, commit_sha desc) = 1),
     grown as (

@@ -6,16 +6,17 @@ from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import records, text
-from codestrata.operators import constraints, context, javascript, lookups, pivots, python_source, ranking, upsert, vectors
+from codestrata.operators import constraints, context, javascript, lookups, names, pivots, python_source, ranking, upsert, vectors
 from codestrata.operators.entities import extract_entities, with_code
 from codestrata.plans import index, report, retrieval
 from codestrata.schemas import COMMIT_DOCUMENT, ENTITIES, PR_DOCUMENT
 from codestrata.session import stage, work_dir
-from codestrata.sources import landed, tables
+from codestrata.sources import landed, tables, tree
 from codestrata.streaming import ingest
 from workload.views import table, v_code, view
 
@@ -84,6 +85,27 @@ def pr_json_source(spark, sf):
     )
 
 
+@query
+def tree_scan(spark, sf):
+    """Checked-out trees, written as files by tasks, and walked."""
+    folder, key = work_dir(spark, "checkouts"), F.regexp_extract("path", "order_([0-9]+)", 1)
+    path = text_of("src/", key.cast("bigint") % 7, "/order_", key, ".py").alias("path")
+    if folder.startswith("file:"):
+        folder = "/" + folder[5:].lstrip("/")
+
+    def write(batches):
+        system, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for repo, name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system.create_dir(f"{base}/{repo}/{name}".rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{base}/{repo}/{name}") as out:
+                    out.write(content.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["done"])
+
+    stage(v_code(spark, sf, "py").select("repo", path, "content").mapInArrow(write, "done string"), "written")
+    return tree.read_tree(spark, folder).select("repo", "path", F.md5("content").alias("content_md5"), "valid_utf8")
+
+
 @query
 def tolerant_load(spark, sf):
     # Beside whole arrays, every benchmark text as a file of its own that is not JSON.
@@ -335,14 +357,7 @@ def blank_filter(spark, sf):
 
 @query
 def symbol_search(spark, sf):
-    symbols, files = view(spark, sf, "v_symbols"), view(spark, sf, "v_files")
-    # Three searches at once: the hits carry their pattern through one join and one sort.
-    found = None
-    for pattern in ("load_1", "D_2_", "OAD%9"):
-        hits = lookups.matching_symbols(symbols, pattern).withColumn("pattern", F.lit(pattern))
-        found = hits if found is None else found.unionByName(hits)
-    listed = lookups.symbols_with_paths(found, files).orderBy("pattern", "repo", "current_path")
-    return listed.select("repo", "current_path", "kind", "name", "start_line", "end_line", "pattern")
+    return names.search_symbols(view(spark, sf, "v_symbols"), view(spark, sf, "v_files"), ["load_1", "D_2_", "OAD%9"])
 
 
 @query
@@ -449,6 +464,14 @@ def recent_prs(spark, sf):
     return ranking.recent_prs(view(spark, sf, "v_prs")).select("repo", "rank", "number", "title", "state")
 
 
+@query
+def updated_prs(spark, sf):
+    """Pull requests by their last update, which for every third one is after its creation."""
+    later = F.when(F.col("number") % 3 == 0, F.expr("created_at + make_dt_interval(number % 400)")).otherwise(F.col("created_at"))
+    prs = view(spark, sf, "v_prs").withColumn("updated_at", later)
+    return ranking.recent_prs(prs, by="updated_at").select("repo", "rank", "number", "title", stamp("updated_at").alias("updated_at"))
+
+
 @query
 def report_caps(spark, sf):
     symbols, files = view(spark, sf, "v_symbols"), view(spark, sf, "v_files")
