@@ -108,25 +108,11 @@ def or_fallback(context: Column) -> Column:
     return F.when(context.isNull() | (context == ""), F.lit(NO_CONTEXT)).otherwise(context)
 
 
-def retrieval_prompt(context: Column, question: Column) -> Column:
-    """Instruction, context, question, answer cue."""
-    return F.concat(
-        F.lit("Answer the question about a software repository from the context below.\n\nContext:\n"),
-        or_fallback(context),
-        F.lit("\n\nQuestion:\n"),
-        question,
-        F.lit("\n\nAnswer:"),
-    )
+def retrieval_prompt(context: Column, question: Column, role: str = "Notes on a code base follow; rely on them alone.") -> Column:
+    """Role line, context, question, answer cue."""
+    return F.concat(F.lit(f"{role}\n\nContext:\n"), or_fallback(context), F.lit("\n\nQuestion:\n"), question, F.lit("\n\nAnswer:"))
 
 
-def service_prompt(repo: Column, context: Column, question: Column) -> Column:
+def service_prompt(repo: Column, context: Column, question: Column, role: str = "Code base:", instruction: str = "Name the files, commits or requests behind each point.") -> Column:
     """Role line naming the repository, context, question, instruction."""
-    return F.concat(
-        F.lit("You study the code repository "),
-        repo,
-        F.lit(".\n\nRepository Context:\n"),
-        context,
-        F.lit("\n\nUser Question: "),
-        question,
-        F.lit("\n\nGive a detailed answer that rests on the structure, commits and pull requests above."),
-    )
+    return F.concat(F.lit(f"{role} "), repo, F.lit("\n\nContext:\n"), context, F.lit("\n\nQuestion:\n"), question, F.lit(f"\n\n{instruction}"))

@@ -60,6 +60,7 @@ ORACLE["pr_flatten"] = cte("v_prs") + f"""
 
 ORACLE["commit_json_source"] = f"select * exclude (repo) from ({ORACLE['commit_flatten']})"
 
+ORACLE["commit_array_split"] = ORACLE["commit_json_source"]
 ORACLE["pr_json_source"] = cte("v_prs") + f"""
     select number, title, case when state = 'open' then coalesce(props, '') else '' end as body, state, user_login,
            state as head_ref, md5(title) as base_sha, strftime(created_at, {STAMP}) as created_at, strftime(created_at, {STAMP}) as updated_at,
@@ -427,7 +428,7 @@ ORACLE["context_fallback"] = RETRIEVED + """
     union all
     select 'blank ' || query_id, 'No relevant repository context found.', true from contexts"""
 ORACLE["prompts"] = RETRIEVED + """
-    select query_id, 'Answer the question about a software repository from the context below.' || chr(10) || chr(10) || 'Context:' || chr(10)
+    select query_id, 'Notes on a code base follow; rely on them alone.' || chr(10) || chr(10) || 'Context:' || chr(10)
            || case when context = '' then 'No relevant repository context found.' else context end
            || chr(10) || chr(10) || 'Question:' || chr(10) || text || chr(10) || chr(10) || 'Answer:' as prompt
     from contexts"""
@@ -460,9 +461,9 @@ ORACLE["repo_context"] = PARTS + NAMES + """
                    chr(10) || 'Recent Commits:' || chr(10) || cs.body,
                    chr(10) || 'Recent Pull Requests:' || chr(10) || ps.body) as context
         from counts r left join blocks on blocks.repo = r.repo left join cs on cs.repo = r.repo left join ps on ps.repo = r.repo)
-    select repo, context, 'You study the code repository ' || repo || '.' || chr(10) || chr(10) || 'Repository Context:' || chr(10) || context
-           || chr(10) || chr(10) || 'User Question: Which files matter most?' || chr(10) || chr(10)
-           || 'Give a detailed answer that rests on the structure, commits and pull requests above.' as prompt
+    select repo, context, 'Code base: ' || repo || chr(10) || chr(10) || 'Context:' || chr(10) || context
+           || chr(10) || chr(10) || 'Question:' || chr(10) || 'Which files matter most?' || chr(10) || chr(10)
+           || 'Name the files, commits or requests behind each point.' as prompt
     from texts"""
 
 
@@ -475,8 +476,8 @@ def _leaves(degraded: bool) -> str:
                case when {lost} then 0 else functions_count end, case when {lost} then 0 else classes_count end,
                case when {lost} then 0 else files_count end) as leaf from counts
         union all select repo, 'details', 1, concat_ws('|', description, language, stars, forks) from counts
-        union all select repo, 'commits', cast(rank as int), concat_ws('|', commit_sha, message, author_name, author_email) from c50
-        union all select repo, 'prs', cast(rank as int), concat_ws('|', number, title, state, user_login) from p30
+        union all select repo, 'commits', cast(rank as int), concat_ws('|', commit_sha, message, author_name, author_email, strftime(committed_at, {STAMP})) from c50
+        union all select repo, 'prs', cast(rank as int), concat_ws('|', number, title, state, user_login, strftime(created_at, {STAMP})) from p30
         union all select s.repo, 'symbols', cast(rank as int), concat_ws('|', current_path, kind, name, start_line, end_line) from s200 s
                   join v_repos r on r.repo = s.repo where not ({lost})
         union all select f.repo, 'file_stats', cast(rank as int), concat_ws('|', current_path, functions, classes) from f50 f

@@ -16,7 +16,7 @@ from codestrata.operators.entities import extract_entities, with_code
 from codestrata.plans import index, report, retrieval
 from codestrata.schemas import COMMIT_DOCUMENT, ENTITIES, PR_DOCUMENT
 from codestrata.session import stage, work_dir
-from codestrata.sources import landed, tables, tree
+from codestrata.sources import arrays, landed, tables, tree
 from codestrata.streaming import ingest
 from workload.views import table, v_code, view
 
@@ -74,6 +74,18 @@ def commit_json_source(spark, sf):
     )
 
 
+@query
+def commit_array_split(spark, sf):
+    """The landed arrays, each read by many tasks."""
+    folder = work_dir(spark, "landed")
+    land_arrays(commit_documents(spark, sf).select("body"), folder)
+    documents, _ = arrays.read_array(spark, folder, COMMIT_DOCUMENT, 1 << 20)
+    return landed.flatten_commits(documents).select(
+        "sha", "message", "author_name", "author_email", "committer_name", "url",
+        stamp("authored_at").alias("authored_at"), stamp("committed_at").alias("committed_at"),
+    )
+
+
 @query
 def pr_json_source(spark, sf):
     folder = work_dir(spark, "landed")
@@ -249,7 +261,7 @@ def repo_meta_defaults(spark, sf):
         .otherwise(F.lit("{}"))
     )
     events = table(spark, sf, "events").select("event_id", body.alias("body"))
-    meta = events.select("event_id", *landed.repo_metadata("body"))
+    meta, _ = landed.read_metadata(events, "body", keep=("event_id",))
     return meta.withColumn("stars", F.col("stars").cast("string")).withColumn("forks", F.col("forks").cast("string"))
 
 
@@ -757,7 +769,7 @@ def _leaves(reports: DataFrame) -> DataFrame:
             lambda s, i: F.struct(
                 F.lit(section).alias("section"),
                 (i + 1).cast("int").alias("position"),
-                F.concat_ws("|", *(s[f].cast("string") for f in fields)).alias("leaf"),
+                F.concat_ws("|", *(stamp(s[f]) if f in ("date", "created_at") else s[f].cast("string") for f in fields)).alias("leaf"),
             ),
         )
 
@@ -774,8 +786,8 @@ def _leaves(reports: DataFrame) -> DataFrame:
     )
     every = F.concat(
         head,
-        rows("commits", "sha", "message", "author", "email"),
-        rows("prs", "number", "title", "state", "user"),
+        rows("commits", "sha", "message", "author", "email", "date"),
+        rows("prs", "number", "title", "state", "user", "created_at"),
         rows("symbols", "file", "kind", "name", "start_line", "end_line"),
         rows("file_stats", "file", "functions", "classes"),
     )
