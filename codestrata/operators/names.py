@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.functions.text import ascii_lower, fold
+from codestrata.functions.text import ascii_lower, contains_like, fold
 from codestrata.operators.lookups import SYMBOL_ORDER, symbols_with_paths
 from codestrata.session import broadcast_if_small, stage
 
@@ -60,8 +60,13 @@ def matching_names(index: NameIndex, patterns: list[str]) -> DataFrame:
 def search_symbols(symbols: DataFrame, files: DataFrame, patterns: list[str], index: NameIndex | None = None) -> DataFrame:
     """Symbols whose name contains one of the patterns, once a pattern, by pattern and path.
 
-    Names are searched in the index, and the symbol table is scanned once for the names found.
+    With an index the names are searched there, and the symbol table is scanned once for the names found; without one the
+    symbol table is scanned once and every row tried against all patterns.
     """
-    found = broadcast_if_small(stage(matching_names(index or name_index(symbols), patterns), "names-found"))
-    listed = symbols_with_paths(symbols.join(found, "name"), files)
-    return listed.orderBy("pattern", "repo", *SYMBOL_ORDER).select("repo", "current_path", "kind", "name", "start_line", "end_line", "pattern")
+    if index is None:
+        tried = F.array(*(F.when(contains_like(F.col("name"), p), F.lit(p)) for p in sorted(set(patterns)))).cast("array<string>")
+        hits = symbols.withColumn("pattern", F.explode(F.array_compact(tried)))
+    else:
+        hits = symbols.join(broadcast_if_small(stage(matching_names(index, patterns), "names-found")), "name")
+    listed = symbols_with_paths(hits, files).orderBy("pattern", "repo", *SYMBOL_ORDER)
+    return listed.select("repo", "current_path", "kind", "name", "start_line", "end_line", "pattern")

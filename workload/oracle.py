@@ -146,6 +146,7 @@ ORACLE["symbol_search"] = cte("v_files", "v_symbols") + f"""
     , p(pattern) as (values ('load_1'), ('D_2_'), ('OAD%9'))
     select {LISTED}, p.pattern from {JOINED} join p on lower(s.name) like '%' || lower(p.pattern) || '%'"""
 
+ORACLE["symbol_search_indexed"] = ORACLE["symbol_search"]
 ORACLE["top_function_files"] = cte("v_files", "v_symbols") + f"""
     select f.repo, f.current_path, count(*) as func_count from {JOINED} where s.kind = 'function'
     group by all order by func_count desc, f.repo, f.current_path limit 10"""

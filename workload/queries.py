@@ -367,9 +367,19 @@ def blank_filter(spark, sf):
     )
 
 
+PATTERNS = ["load_1", "D_2_", "OAD%9"]
+
+
 @query
 def symbol_search(spark, sf):
-    return names.search_symbols(view(spark, sf, "v_symbols"), view(spark, sf, "v_files"), ["load_1", "D_2_", "OAD%9"])
+    return names.search_symbols(view(spark, sf, "v_symbols"), view(spark, sf, "v_files"), PATTERNS)
+
+
+@query
+def symbol_search_indexed(spark, sf):
+    """The same search by way of trigram postings."""
+    symbols = view(spark, sf, "v_symbols")
+    return names.search_symbols(symbols, view(spark, sf, "v_files"), PATTERNS, names.name_index(symbols))
 
 
 @query
