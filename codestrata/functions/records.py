@@ -22,6 +22,41 @@ PR_PATHS = {
 }
 PR_TYPES = {"number": "bigint"}
 
+# Where a document's fields come from in the records of a listing page.
+COMMIT_RECORD = {
+    "sha": "$.sha",
+    "message": "$.commit.message",
+    "author_name": "$.commit.author.name",
+    "author_email": "$.commit.author.email",
+    "author_date": "$.commit.author.date",
+    "committer_name": "$.commit.committer.name",
+    "committer_email": "$.commit.committer.email",
+    "committer_date": "$.commit.committer.date",
+    "url": "$.html_url",
+    "api_url": "$.url",
+}
+PR_RECORD = {
+    "number": "$.number",
+    "title": "$.title",
+    "body": "$.body",
+    "state": "$.state",
+    "created_at": "$.created_at",
+    "updated_at": "$.updated_at",
+    "closed_at": "$.closed_at",
+    "merged_at": "$.merged_at",
+    "user_login": "$.user.login",
+    "user_avatar_url": "$.user.avatar_url",
+    "head_ref": "$.head.ref",
+    "head_sha": "$.head.sha",
+    "base_ref": "$.base.ref",
+    "base_sha": "$.base.sha",
+    "url": "$.html_url",
+    "diff_url": "$.diff_url",
+    "patch_url": "$.patch_url",
+}
+# A commit without the address of its detail has no diff but is a commit.
+OPTIONAL = {"api_url"}
+
 # Repository metadata keys and what an absent key gives.
 META_FIELDS = {
     "name": ("$.name", "string", ""),

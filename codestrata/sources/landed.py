@@ -95,21 +95,29 @@ def flatten_prs(documents: DataFrame) -> DataFrame:
     )
 
 
-def read_pages(pages: DataFrame, page_size: int, source: str = "source", page: str = "page", first_page: int = 1) -> DataFrame:
-    """Rows of every source up to and including its first short page, up to its first empty one.
+def stop_pages(counts: DataFrame, page_size: int, source: str, page: str, first_page: int) -> DataFrame:
+    """(source, _stop), staged: the first short page of each source, or the first that is absent, from staged (source, page, n).
 
-    Page counts reduce the data before anything is compared. A page that was never landed is an
-    empty page, found as a successor without a row; the rows then meet one stop page per source.
+    A page that was never landed is found as a successor without a row.
     """
-    counts = stage(pages.groupBy(source, page).agg(F.count("*").alias("n")), "page_counts")
     short = counts.filter(F.col("n") < page_size).select(source, page)
     expected = counts.select(source, (F.col(page) + 1).alias(page)).unionByName(
         counts.select(source).distinct().select(source, F.lit(first_page).cast(counts.schema[page].dataType).alias(page))
     )
     absent = expected.join(counts.select(source, page), [source, page], "left_anti")
     stops = short.unionByName(absent).filter(F.col(page) >= first_page).groupBy(source).agg(F.min(page).alias("_stop"))
+    return stage(stops, "stop_pages")
+
+
+def read_pages(pages: DataFrame, page_size: int, source: str = "source", page: str = "page", first_page: int = 1) -> DataFrame:
+    """Rows of every source up to and including its first short page, up to its first empty one.
+
+    Page counts reduce the data before anything is compared; the rows then meet one stop page per source.
+    """
+    counts = stage(pages.groupBy(source, page).agg(F.count("*").alias("n")), "page_counts")
+    stops = stop_pages(counts, page_size, source, page, first_page)
     return (
-        pages.join(broadcast_if_small(stage(stops, "stop_pages")), source)
+        pages.join(broadcast_if_small(stops), source)
         .filter((F.col(page) <= F.col("_stop")) & (F.col(page) >= first_page))
         .drop("_stop")
     )

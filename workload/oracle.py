@@ -32,6 +32,35 @@ ORACLE["paged_union"] = """
     ok as (select source, page from r where page = expected and coalesce(fullest, 4) >= 4)
     select source, page, event_id from e join ok using (source, page)"""
 
+def _walked(numbers: str) -> str:
+    """`w`: the numbers whose page counts, with repo, page and place."""
+    return f"""
+    a as (select i, i // 100 as b, i % 100 as place from ({numbers}) where not ((i // 100) % 7 = 6 and i % 100 = 99)),
+    b as (select b, case when b % 18 = 13 then 0 else count(*) end as n from a group by b),
+    r as (select b, n, min(n) over (partition by b // 10 order by b rows between unbounded preceding and 1 preceding) as least from b),
+    w as (select i, 'repo' || (b // 10) as repo, b % 10 + 1 as page, cast(row_number() over (partition by b order by i) - 1 as int) as place
+          from a join r using (b) where n > 0 and coalesce(least, 100) >= 100)"""
+
+
+ORACLE["collected_commits"] = "with " + _walked("select o_orderkey as i from orders") + f"""
+    , d as (
+        select l_orderkey, string_agg('--- part_' || l_partkey || '.py' || chr(10) || '+' || cast(trunc(l_quantity) as int), chr(10)
+                   order by l_linenumber, 'part_' || l_partkey || '.py', '+' || cast(trunc(l_quantity) as int)) as code_diff
+        from lineitem where l_returnflag <> 'N' and l_linestatus = 'F' and l_orderkey % 17 <> 0 and l_orderkey % 13 <> 0 group by 1),
+    k as (select * from w where i % 97 <> 5 qualify row_number() over (partition by repo order by i) <= 450)
+    select repo, page, place, md5(cast(i as varchar)) as sha, o_orderpriority as message, 'customer' || o_custkey as author_name,
+           strftime(o_orderdate, {STAMP}) as committed_at, 'https://host.example/commit/' || md5(cast(i as varchar)) as url,
+           case when i % 11 = 3 then '' else coalesce(code_diff, '') end as code_diff
+    from k join orders on o_orderkey = i left join d on l_orderkey = i
+    union all
+    select repo, page, -1, md5(cast(i as varchar)), null, null, null, null, null from w where i % 97 = 5"""
+
+ORACLE["collected_prs"] = cte("v_prs") + ", " + _walked("select number as i from v_prs") + f"""
+    select w.repo, page, place, number, title, case when state = 'open' then coalesce(props, '') else '' end as body, state, user_login,
+           state as head_ref, case when state = 'closed' then strftime(created_at, {STAMP}) end as closed_at,
+           case when number % 5 in (2, 3) and not starts_with(title, 'error') then coalesce(props, '') else '' end as code_diff
+    from w join v_prs on number = i where number % 53 <> 0"""
+
 # ---- projections ----
 
 ORACLE["url_parts"] = """

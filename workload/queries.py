@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from codestrata.functions import records, text
 from codestrata.operators import constraints, context, javascript, lookups, names, pivots, python_source, ranking, upsert, vectors
 from codestrata.operators.entities import extract_entities, with_code
-from codestrata.plans import index, report, retrieval
+from codestrata.plans import collect, index, report, retrieval
 from codestrata.schemas import COMMIT_DOCUMENT, ENTITIES, PR_DOCUMENT
 from codestrata.session import stage, work_dir
 from codestrata.sources import arrays, landed, tables, tree
@@ -177,6 +177,69 @@ def paged_union(spark, sf):
     return landed.read_pages(pages, page_size=4, first_page=0).select("source", "page", "event_id")
 
 
+def landed_pages(rows: DataFrame, record: Column) -> DataFrame:
+    """Rows by their number `at` as responses: ten pages of a hundred a repository, in order.
+
+    One page in seven is short by its last record; one in nine failed, and half of those were asked for again.
+    """
+    block = F.expr("at div 100")
+    full = rows.filter(~((block % 7 == 6) & (F.col("at") % 100 == 99)))
+    bodies = full.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("at", record.alias("record")))).alias("all"))
+    body = F.to_json(F.transform("all", lambda s: s["record"]), {"ignoreNullFields": "false"})
+    good = bodies.select(text_of("repo", F.expr("block div 10")).alias("repo"), (F.col("block") % 10 + 1).alias("page"), "block", F.lit(200).alias("status"), body.alias("body"))
+    lost = F.col("block") % 9 == 4
+    failed = good.filter(lost).withColumn("status", F.lit(502))
+    again = good.filter(F.col("block") % 18 == 4)
+    return good.filter(~lost).unionByName(failed).unionByName(again).drop("block")
+
+
+@query
+def collected_commits(spark, sf):
+    """Commit documents from listing pages and detail responses."""
+    sha = F.md5(F.col("at").cast("string"))
+    person = F.struct(text_of("customer", F.col("o_custkey")).alias("name"), F.lit("c@example.com").alias("email"), iso(F.col("o_orderdate").cast("timestamp")).alias("date"))
+    record = F.struct(
+        sha.alias("sha"),
+        F.struct(F.col("o_orderpriority").alias("message"), F.when(F.col("at") % 97 != 5, person).alias("author"), person.alias("committer")).alias("commit"),
+        text_of("https://host.example/commit/", sha).alias("html_url"),
+        F.when(F.col("at") % 11 != 3, text_of("https://api.example/", sha)).alias("url"),
+    )
+    pages = landed_pages(table(spark, sf, "orders").withColumn("at", F.col("o_orderkey")), record)
+    patch = F.when(F.col("l_returnflag") != "N", F.when(F.col("l_linestatus") == "F", text_of("+", F.col("l_quantity").cast("int"))).otherwise(F.lit("")))
+    name = F.when(F.col("l_orderkey") % 17 != 0, text_of("part_", F.col("l_partkey"), ".py"))
+    files = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", name.alias("filename"), patch.alias("patch")))).alias("files"))
+    details = files.select(
+        text_of("https://api.example/", F.md5(F.col("l_orderkey").cast("string"))).alias("url"),
+        F.when(F.col("l_orderkey") % 13 == 0, F.lit(404)).otherwise(F.lit(200)).alias("status"),
+        F.to_json(F.struct("files")).alias("body"),
+    )
+    documents, quarantine = collect.collect_commits(pages, details, cap=450)
+    shown = landed.flatten_commits(documents).select("repo", "page", "place", "sha", "message", "author_name", stamp("committed_at").alias("committed_at"), "url", "code_diff")
+    none = F.lit(None).cast("string")
+    aside = quarantine.select(
+        "repo", "page", F.lit(-1).alias("place"), F.get_json_object("value", "$.sha").alias("sha"),
+        *(none.alias(c) for c in ("message", "author_name", "committed_at", "url", "code_diff")))
+    return shown.unionByName(aside)
+
+
+@query
+def collected_prs(spark, sf):
+    """Pull-request documents from listing pages and patch responses."""
+    kind = F.col("number") % 5
+    link = F.when(kind == 1, F.lit("")).when(kind != 0, text_of("https://host.example/", F.col("number"), ".patch"))
+    document = pr_document()
+    prs = view(spark, sf, "v_prs").withColumn("at", F.col("number")).withColumn("d", document)
+    user = F.when(F.col("number") % 53 != 0, F.col("d.user"))
+    record = F.struct(
+        *(F.col(f"d.{c}").alias(c) for c in ("number", "title", "body", "state", "created_at", "updated_at", "closed_at", "merged_at", "head", "base")),
+        user.alias("user"), F.lit("h").alias("html_url"), F.lit("d").alias("diff_url"), link.alias("patch_url"),
+    )
+    patches = prs.filter(kind != 4).select(
+        link.alias("url"), F.when(F.col("title").startswith("error"), F.lit(404)).otherwise(F.lit(200)).alias("status"), F.col("props").alias("body"))
+    documents, _ = collect.collect_prs(landed_pages(prs, record), patches)
+    return landed.flatten_prs(documents).select("repo", "page", "place", "number", "title", "body", "state", "user_login", "head_ref", stamp("closed_at").alias("closed_at"), "code_diff")
+
+
 # ---- projections ---------------------------------------------------------------------------------
 
 
