@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import preview
-from codestrata.operators.lookups import names_by_file
 
 # Section order and line formats of the two context texts.
 STATISTICS = (
@@ -33,53 +34,47 @@ def _shown(c: Column) -> Column:
     return F.coalesce(c, F.lit("None"))
 
 
-def _headed(header: str, body: Column) -> Column:
-    return F.when(body.isNotNull(), F.concat(F.lit(f"\n{header}\n"), body))
+def _file_block(path: Column, symbols: Column, names: int) -> Column:
+    """A file's path and the first names of its functions and classes."""
+    def listed(label: str, kind: str) -> Column:
+        of_kind = F.filter(symbols, lambda s: s["file"].eqNullSafe(path) & (s["kind"] == kind))
+        found = F.array_join(F.transform(F.slice(of_kind, 1, names), lambda s: s["name"]), ", ")
+        return F.when(found != "", F.concat(F.lit(f"\n  {label}: "), found)).otherwise(F.lit(""))
+
+    return F.concat(F.lit("\n"), path, F.lit(":"), listed("Functions", "function"), listed("Classes", "class"))
+
+
+def _block(header: str, items: Column, line: Callable[[Column], Column]) -> Column:
+    return F.when(F.size(items) > 0, F.concat(F.lit(f"\n{header}\n"), F.array_join(F.transform(items, line), "\n")))
 
 
-def repo_context(stats: DataFrame, symbols: DataFrame, commits: DataFrame, prs: DataFrame, shown: int = 5) -> DataFrame:
-    """(repo, context) for every row of `stats`, which also has `description`.
+def report_context(shown: int = 5, symbols: int = 100, files: int = 10, names: int = 10) -> Column:
+    """The context of a report row: counts, names by file, newest commits and pull requests.
 
-    `symbols` are ranked report symbols, `commits` and `prs` the ranked recent lists.
+    The first `symbols` symbols count; files keep first-seen order and stop at `files`, names of a kind at
+    `names`, commits and pull requests at `shown`. The report's lists are capped, so this is work within a row.
     """
-    structure = names_by_file(symbols)
-    functions = F.when(F.col("functions") != "", F.concat(F.lit("\n  Functions: "), "functions"))
-    classes = F.when(F.col("classes") != "", F.concat(F.lit("\n  Classes: "), "classes"))
-    file_block = F.concat(
-        F.lit("\n"), "current_path", F.lit(":"), F.coalesce(functions, F.lit("")), F.coalesce(classes, F.lit(""))
-    )
-    commit_line = F.concat(
-        F.lit("- "), _shown(preview(F.col("message"))), F.lit(" (by "), _shown(F.col("author_name")), F.lit(")")
-    )
-    pr_line = F.concat(
-        F.lit("- PR #"),
-        _shown(F.col("number").cast("string")),
-        F.lit(": "),
-        _shown(preview(F.col("title"))),
-        F.lit(" ("),
-        _shown(F.col("state")),
-        F.lit(")"),
-    )
-    newest, latest = (rows.filter(F.col("rank") <= shown) for rows in (commits, prs))
-    parts = (
-        stats.join(_lines(structure, ["repo"], "file_rank", file_block, "structure"), "repo", "left")
-        .join(_lines(newest, ["repo"], "rank", commit_line, "recent_commits"), "repo", "left")
-        .join(_lines(latest, ["repo"], "rank", pr_line, "recent_prs"), "repo", "left")
-    )
-    counts = [F.concat(F.lit(f"- {label}: "), F.col(column).cast("string")) for label, column in STATISTICS]
-    description = F.when(F.col("description") != "", F.concat(F.lit("Description: "), "description"))
-    return parts.select(
-        "repo",
-        F.concat_ws(
-            "\n",
-            F.concat(F.lit("Repository: "), "repo"),
-            description,
-            F.lit("\nCodebase Statistics:"),
-            *counts,
-            _headed("Code Structure:", F.col("structure")),
-            _headed("Recent Commits:", F.col("recent_commits")),
-            _headed("Recent Pull Requests:", F.col("recent_prs")),
-        ).alias("context"),
+    def commit_line(c: Column) -> Column:
+        return F.concat(F.lit("- "), _shown(preview(c["message"])), F.lit(" (by "), _shown(c["author"]), F.lit(")"))
+
+    def pr_line(p: Column) -> Column:
+        return F.concat(
+            F.lit("- PR #"), _shown(p["number"].cast("string")), F.lit(": "), _shown(preview(p["title"])), F.lit(" ("), _shown(p["state"]), F.lit(")")
+        )
+
+    seen = F.slice("symbols", 1, symbols)
+    paths = F.slice(F.array_distinct(F.transform(seen, lambda s: s["file"])), 1, files)
+    counts = [F.concat(F.lit(f"- {label}: "), F.col(f"stats.{column}").cast("string")) for label, column in STATISTICS]
+    description = F.col("details.description")
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("Repository: "), "repo"),
+        F.when(description != "", F.concat(F.lit("Description: "), description)),
+        F.lit("\nCodebase Statistics:"),
+        *counts,
+        _block("Code Structure:", paths, lambda path: _file_block(path, seen, names)),
+        _block("Recent Commits:", F.slice("commits", 1, shown), commit_line),
+        _block("Recent Pull Requests:", F.slice("prs", 1, shown), pr_line),
     )
 
 

@@ -22,7 +22,7 @@ def inputs(spark):
 
 
 def test_repository_context(spark):
-    got = {r.repo: r.context for r in report.repo_contexts(report.report_parts(*inputs(spark))).collect()}
+    got = {r.repo: r.context for r in report.repo_contexts(report.repo_reports(*inputs(spark))).collect()}
     cut = lambda n: f"message {n}{'x' * 71}"
     assert got["o/a"] == "\n".join([
         "Repository: o/a", "Description: Tools", "", "Codebase Statistics:", "- Files: 3", "- Functions: 2", "- Classes: 1", "- Commits: 7", "- Pull Requests: 2",
@@ -34,7 +34,7 @@ def test_repository_context(spark):
 
 
 def test_reports(spark):
-    reports = report.repo_reports(report.report_parts(*inputs(spark)))
+    reports = report.repo_reports(*inputs(spark))
     got = {r.repo: json.loads(r.report) for r in report.as_json(reports).collect()}
     a, b = got["o/a"], got["o/b"]
     assert a["stats"] == {"commits_count": 7, "prs_count": 2, "functions_count": 2, "classes_count": 1, "files_count": 3}
@@ -47,7 +47,7 @@ def test_reports(spark):
 
 def test_report_without_checkout(spark):
     repos, *rest = inputs(spark)
-    reports = report.repo_reports(report.report_parts(repos, *rest))
+    reports = report.repo_reports(repos, *rest)
     got = {r.repo: r for r in report.degraded(reports, repos.filter("repo = 'o/b'")).collect()}
     a = got["o/a"]
     assert a.symbols == [] and a.file_stats == [] and len(a.commits) == 7 and len(a.prs) == 2
@@ -62,3 +62,36 @@ def test_fallback_and_templates(spark):
     assert [r[0] for r in df.select(context.or_fallback(F.col("c"))).collect()] == [context.NO_CONTEXT, context.NO_CONTEXT, "text"]
     prompt = df.filter("c = 'text'").select(context.service_prompt(F.lit("o/r"), F.col("c"), F.lit("why?"))).first()[0]
     assert prompt.index("o/r") < prompt.index("text") < prompt.index("why?")
+
+
+def test_one_pass_over_every_input(spark, tmp_path):
+    """Commits, pull requests and repositories are read once; one ranking and one aggregate serve all lists."""
+    names = ("repos", "commits", "prs", "files", "symbols")
+    stored = []
+    for name, df in zip(names, inputs(spark), strict=True):
+        df.write.parquet(str(tmp_path / name))
+        stored.append(spark.read.parquet(str(tmp_path / name)))
+    reports = report.repo_reports(*stored)
+    plan = reports._jdf.queryExecution().executedPlan().toString()
+    scans = [line.split("[", 1)[1].split("]")[0] for line in plan.split("\n") if "FileScan" in line]
+    assert {c: sum(c in scan for scan in scans) for c in ("description", "committed_at", "created_at", "start_line")} == {
+        "description": 1, "committed_at": 1, "created_at": 1, "start_line": 1}
+    assert plan.count("Exchange hashpartitioning") <= 5
+    contexts = report.repo_contexts(reports)._jdf.queryExecution().executedPlan().toString()
+    assert contexts.count("Exchange") == plan.count("Exchange")
+
+
+def test_context_limits_and_unknown_files(spark):
+    repos, commits, prs, files, symbols = inputs(spark)
+    many = spark.sql("""select 'o/a' as repo, 10 + id div 12 as file_id, 'h' as commit_sha, if(id % 2 = 0, 'function', 'class') as kind, concat('n', id) as name,
+        cast(id as int) as start_line, cast(id as int) as end_line from range(240)""")
+    paths = spark.sql("select 'o/a' as repo, 10 + id as file_id, concat('p', 100 + id) as current_path from range(20)")
+    lost = spark.createDataFrame([("o/b", 99, "h", "function", "lost", 1, 2)], symbols.schema)
+    reports = report.repo_reports(repos, commits, prs, paths, many.unionByName(lost))
+    got = {r.repo: r for r in reports.collect()}
+    assert len(got["o/a"].symbols) == 200 and got["o/a"].stats.functions_count == 120 and got["o/a"].stats.files_count == 20
+    assert (got["o/b"].symbols, got["o/b"].file_stats, got["o/b"].stats.functions_count, got["o/b"].stats.files_count) == ([], [], 1, 0)
+    text = {r.repo: r.context for r in report.repo_contexts(reports).collect()}["o/a"]
+    # 100 symbols lie in nine files, twelve each, and the last holds four of them.
+    assert [line for line in text.split("\n") if line.startswith("p1")] == [f"p{100 + n}:" for n in range(9)]
+    assert "  Functions: n96, n98\n  Classes: n97, n99" in text and "n100" not in text

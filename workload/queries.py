@@ -823,13 +823,13 @@ def prompts_stored(spark, sf):
     return retrieval.indexed_prompts(retrieval.open_index(spark, folder, DIM), items, questions(spark, sf), embedder, DIM)
 
 
-def parts(spark, sf) -> report.Parts:
-    return report.report_parts(*(view(spark, sf, v) for v in ("v_repos", "v_commits", "v_prs", "v_files", "v_symbols")))
+def reports_of(spark, sf) -> DataFrame:
+    return report.repo_reports(*(view(spark, sf, v) for v in ("v_repos", "v_commits", "v_prs", "v_files", "v_symbols")))
 
 
 @query
 def repo_context(spark, sf):
-    contexts = report.repo_contexts(parts(spark, sf))
+    contexts = report.repo_contexts(reports_of(spark, sf))
     asked = F.lit("Which files matter most?")
     return contexts.select("repo", "context", context.service_prompt(F.col("repo"), F.col("context"), asked).alias("prompt"))
 
@@ -869,14 +869,14 @@ def _leaves(reports: DataFrame) -> DataFrame:
 
 @query
 def repo_report(spark, sf):
-    reports = report.repo_reports(parts(spark, sf))
+    reports = reports_of(spark, sf)
     texts = report.as_json(reports)
     return _leaves(texts.select(F.from_json("report", reports.schema).alias("r")).select("r.*"))
 
 
 @query
 def repo_report_degraded(spark, sf):
-    reports = report.repo_reports(parts(spark, sf))
+    reports = reports_of(spark, sf)
     checked_out = view(spark, sf, "v_repos").filter("description <> ''")
     return _leaves(report.degraded(reports, checked_out))
 
