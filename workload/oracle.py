@@ -329,6 +329,33 @@ ORACLE["js_functions"] = JS + """
     select repo, path, 'javascript' as language, name, start_line as line_no from js where type = 'function'"""
 ORACLE["js_classes"] = JS + " select repo, path, type, name, start_line as line_no from js where type = 'class'"
 ORACLE["js_block_end"] = JS + " select repo, path, type, name, start_line, end_line from js"
+ORACLE["js_forms"] = f"""
+    with m as (
+        select l_orderkey, {REPO_OF} as repo, l_partkey % 14 as form, l_returnflag || l_linestatus as state,
+               cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_returnflag || l_linestatus) as int) as rn
+        from lineitem),
+    c as (
+        select *, sum(case when form = 13 then 0 when state = 'RO' then 1 when state = 'AF' then -1 else 0 end) over (partition by l_orderkey order by rn) as depth,
+               3 * count(*) over (partition by l_orderkey) as n_lines from m),
+    lower as (
+        select i.l_orderkey, i.rn, min(3 * j.rn) as closes from c i join c j on j.l_orderkey = i.l_orderkey and j.rn > i.rn and j.depth < i.depth
+        where i.state = 'RO' and i.form <> 13 group by all),
+    b as (
+        select c.*, case when form = 13 then null when state = 'AF' then 3 * rn - 1 when state = 'RO' then coalesce(closes, n_lines) else 3 * rn end as block_end
+        from c left join lower using (l_orderkey, rn)),
+    e as (
+        select *, coalesce(block_end, first_value(block_end ignore nulls) over (partition by l_orderkey order by rn rows between 1 following and unbounded following),
+                           n_lines) as end_at from b),
+    named as (
+        select *, case when form in (0, 1, 2, 3, 4, 13) then 'f_' || rn when form = 12 then 'g_' || rn end as f_name,
+               case form when 6 then 'C_' when 7 then 'I_' when 8 then 'T_' when 9 then 'E_' when 10 then 'type_' when 12 then 'C_' end || rn as c_name,
+               case form when 7 then 'interface' when 8 then 'type' when 9 then 'enum' when 10 then 'type' else 'class' end as label,
+               'src/order_' || l_orderkey || case l_orderkey % 3 when 0 then '.js' when 1 then '.ts' else '.jsx' end as path,
+               case l_orderkey % 3 when 1 then 'typescript' else 'javascript' end as language from e)
+    select repo, path, language, 'function' as type, f_name as name, 3 * rn - 2 as start_line, cast(end_at as int) as end_line, 'function_declaration' as node_type
+    from named where f_name is not null
+    union all
+    select repo, path, language, label, c_name, 3 * rn - 2, cast(end_at as int), 'class_declaration' from named where c_name is not null"""
 ORACLE["code_snippet"] = JS + JS_CODE + " select path, name, start_line, end_line, code from js join js_code using (path, name)"
 ORACLE["py_entities"] = NUMBERED + PY + PY_CODE + """
     select repo, path, type, name, start_line, end_line, code from py join py_code using (path, name)"""

@@ -18,7 +18,7 @@ from codestrata.schemas import COMMIT_DOCUMENT, ENTITIES, PR_DOCUMENT
 from codestrata.session import stage, work_dir
 from codestrata.sources import arrays, landed, tables, tree
 from codestrata.streaming import ingest
-from workload.views import table, v_code, view
+from workload.views import table, v_code, v_scripts, view
 
 DIM = 256
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -618,6 +618,12 @@ def js_block_end(spark, sf):
     return javascript.script_entities(v_code(spark, sf, "js")).select("repo", "path", "type", "name", "start_line", "end_line")
 
 
+@query
+def js_forms(spark, sf):
+    """Every definition pattern and label, in files with blocks left open, closed too often, or absent."""
+    return javascript.script_entities(v_scripts(spark, sf)).select("repo", "path", "language", "type", "name", "start_line", "end_line", "node_type")
+
+
 @query
 def code_snippet(spark, sf):
     files = stage(v_code(spark, sf, "js"), "code")

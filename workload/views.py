@@ -117,3 +117,36 @@ def v_code(spark: SparkSession, sf: str, language: str, decorated: bool = False)
         F.concat(F.lit("src/order_"), key, F.lit(f".{language}")).alias("path"),
         content.alias("content"),
     )
+
+
+#: First lines of the members of `v_scripts`, `#` being the member's number: every definition pattern and
+#: label, a rejected name, a comment, a line that gives both, and an arrow without a block.
+SCRIPT_FORMS = (
+    "function f_#(x) {", "  f_#: function (x) {", "const f_# = function (x) {", "const f_# = (x) => {", "  f_#(x) => {", "  if (x) => {", "class C_# {",
+    "interface I_# {", "type T_# = {", "enum E_# {", "class type_# {", "// function f_#(x) {", "class C_# extends g_#(x) => {", "const f_# = (x) => x;",
+)
+
+
+def v_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    """One script per order, a member of three lines for each of its lines: (repo, path, content).
+
+    A returned line of an open order is never closed, an accepted one of a finished order once too often.
+    """
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("state"))
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    forms = F.array(*map(F.lit, SCRIPT_FORMS))
+
+    def member(line, i):
+        form, state = (line["l_partkey"] % len(SCRIPT_FORMS)).cast("int"), line["state"]
+        closed = form != len(SCRIPT_FORMS) - 1
+        inner = F.when(closed & (state == "AF"), F.lit("}")).otherwise(F.lit(""))
+        last = F.when(closed & (state != "RO"), F.lit("}")).otherwise(F.lit(";"))
+        return F.concat(F.replace(F.get(forms, form), F.lit("#"), (i + 1).cast("string")), F.lit("\n  x();"), inner, F.lit("\n"), last)
+
+    key = F.col("l_orderkey").cast("string")
+    suffix = F.when(F.col("l_orderkey") % 3 == 0, "js").when(F.col("l_orderkey") % 3 == 1, "ts").otherwise("jsx")
+    return lines.select(
+        F.concat(F.lit("repo"), (F.col("l_orderkey") % 10).cast("string")).alias("repo"),
+        F.concat(F.lit("src/order_"), key, F.lit("."), suffix).alias("path"),
+        F.array_join(F.transform("lines", member), "\n").alias("content"),
+    )
