@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -22,7 +23,8 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        # Known to be empty when planned, so reading it runs no job.
+        return spark.range(0).select(*(F.lit(None).cast(field.dataType).alias(field.name) for field in schema))
 
 
 class Manifest:
@@ -48,7 +50,9 @@ class Manifest:
 
     def add(self, run: str, replaces: list[str] = (), label: str | None = None, rows: int | None = None, bits: int | None = None) -> None:
         row = Row(*_LISTED.fieldNames())(run, self.next_number(), label, list(replaces), rows, bits)
-        self.spark.createDataFrame([row], _LISTED).coalesce(1).write.mode("append").parquet(self.path)
+        # A literal row needs no Python worker, which would cost more than the batch it lists.
+        listed = F.from_json(F.lit(json.dumps(row.asDict())), _LISTED)
+        self.spark.range(1, numPartitions=1).select(listed.alias("row")).select("row.*").write.mode("append").parquet(self.path)
         self.listed.append(row)
 
 

@@ -33,10 +33,11 @@ def _run_of(spark: SparkSession, checkpoint: str) -> str:
     """The name of the run that a checkpoint belongs to, kept with it: a fresh checkpoint is a new run."""
     schema = T.StructType([T.StructField("run", T.StringType())])
     known = read_or_empty(spark, f"{checkpoint}/run", schema).first()
-    if known is None:
-        spark.createDataFrame([(uuid.uuid4().hex,)], schema).coalesce(1).write.parquet(f"{checkpoint}/run")
-        known = read_or_empty(spark, f"{checkpoint}/run", schema).first()
-    return known.run
+    if known is not None:
+        return known.run
+    run = uuid.uuid4().hex
+    spark.range(1, numPartitions=1).select(F.lit(run).alias("run")).write.parquet(f"{checkpoint}/run")
+    return run
 
 
 def _low_bits(number: Column, bits: int) -> Column:

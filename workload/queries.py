@@ -896,12 +896,11 @@ def stream_ingest(spark, sf):
     schema, folder, parts, files = events.schema, work_dir(spark, "stream"), 2, 8
     at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
     cuts = events.select(at.alias("at")).approxQuantile("at", [k / parts for k in range(1, parts)], 0.01)
-    # Rows without a time arrive last, as in SQL.
-    number = F.when(at.isNull(), parts).otherwise(reduce(lambda n, cut: n + (at >= cut).cast("int"), cuts, F.lit(0)))
-    landing = stage(events.withColumn("landing", number), "landing", "landing")
+    # Rows without a time come with the last arrival, where dated ones go before them, as in SQL.
+    number = F.when(at.isNull(), parts - 1).otherwise(reduce(lambda n, cut: n + (at >= cut).cast("int"), cuts, F.lit(0)))
     # A user's events of one arrival lie in one file, so it makes no difference which of its files are read first.
-    for arrival in sorted(r.landing for r in landing.select("landing").distinct().collect()):
-        landing.where(F.col("landing") == arrival).drop("landing").repartition(files, "user_id").write.mode("append").parquet(f"{folder}/in")
+    for arrival in range(parts):
+        events.where(number == arrival).repartition(files, "user_id").write.mode("append").parquet(f"{folder}/in")
     stream = ingest.stream_files(spark, f"{folder}/in", schema, files_per_batch=files)
     ingest.ingest(stream, f"{folder}/table", f"{folder}/checkpoint", ["user_id"], ["ts", "event_id"]).awaitTermination()
     stored = ingest.read_ingested(spark, f"{folder}/table", schema)
