@@ -98,7 +98,7 @@ ORACLE["pr_json_source"] = cte("v_prs") + f"""
 
 ORACLE["tolerant_load"] = cte("v_commits") + """
     select 'document' as kind, commit_sha as name from v_commits
-    union all select 'quarantine', cast(item_id as varchar) from benchmark"""
+    union all select distinct 'quarantine', cast(item_id % 16 as varchar) from benchmark"""
 
 ORACLE["lineage_round_trip"] = cte("v_commits", "v_files") + """
     select repo, 'commit' as kind, commit_sha as name from v_commits
