@@ -28,6 +28,7 @@ from codestrata.session import stage, work_dir
 MAGIC = b"FREQIDS1"
 _PIECE = 6 << 20
 _CACHE = 400_000
+_TOGETHER = 1_000
 #: Byte lengths of the four ranks that a control byte describes, and the bits that a rank of each length has.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
@@ -77,9 +78,39 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id, self.known = Tokenizer.from_file(path), end_id, {}
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         tokens = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = "(?i)" + "|".join(re.escape(t) for t in tokens) if tokens else ""
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self):
+        """The known words, the number of ids of each, and all their ids in turn; an unnamed end id leads."""
+        self.words, self.size, self.flat = pa.array([], pa.large_string()), np.ones(1, np.int64), np.array([self.end_id], np.uint32)
+
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and the number of ids of each, word by word."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum())), size
+
+    def _encode_letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters only, many in one text: each has an id that ends a word, its last."""
+        texts = [" ".join(words.slice(a, _TOGETHER).to_pylist()) for a in range(0, len(words), _TOGETHER)]
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *found])
+        last = np.flatnonzero(self.ends_word[ids])
+        # A letter whose lower case is no letter alone would end a word more.
+        return (ids, np.diff(last, prepend=-1)) if len(last) == len(words) else self._encode(words)
+
+    def _learn(self, words: pa.Array):
+        letters = pc.utf8_is_alpha(words)
+        for new, encode in ((words.filter(letters), self._encode_letters), (words.filter(pc.invert(letters)), self._encode)):
+            ids, size = encode(new)
+            self.words = pa.concat_arrays([self.words, new])
+            self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with each text's end id, and the number of ids of each text."""
@@ -89,22 +120,16 @@ class Encoder:
         words = pc.ascii_split_whitespace(pc.cast(texts, pa.large_string()))
         starts = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        new = [w for w in distinct if w not in self.known]
-        for w, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(found.ids, np.uint32).tobytes()
-        ids = [self.known[w] for w in distinct]
-        ids.append(np.uint32(self.end_id).tobytes())
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        codes = np.insert(codes.astype(np.int64), starts[1:] - starts[0], len(ids) - 1)
-        taken = size[codes]
-        first = np.cumsum(size) - size
-        out = np.repeat(first[codes] - (np.cumsum(taken) - taken), taken) + np.arange(int(taken.sum()))
-        ends = np.cumsum(taken)[starts[1:] - starts[0] + np.arange(len(texts))] if len(texts) else np.zeros(0, np.int64)
-        return flat[out], np.diff(ends, prepend=0)
+        if len(self.words) > _CACHE:
+            self._forget()
+        self._learn(coded.dictionary.filter(pc.is_null(pc.index_in(coded.dictionary, value_set=self.words))))
+        known = pc.index_in(coded.dictionary, value_set=self.words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        codes = np.insert(known[coded.indices.to_numpy()], starts[1:] - starts[0], 0)
+        taken, first = self.size[codes], np.cumsum(self.size) - self.size
+        ends = np.cumsum(taken)
+        out = np.repeat(first[codes] - (ends - taken), taken) + np.arange(int(taken.sum()))
+        ends = ends[starts[1:] - starts[0] + np.arange(len(texts))] if len(texts) else np.zeros(0, np.int64)
+        return self.flat[out], np.diff(ends, prepend=0)
 
 
 def _pieces(batch: pa.RecordBatch, text: int):

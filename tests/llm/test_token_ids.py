@@ -78,3 +78,24 @@ def test_special_tokens_keep_their_case():
     ids, size = ENCODER(pa.array(texts))
     want = [TOKENIZER.encode(t, add_special_tokens=False).ids + [1] for t in texts]
     assert size.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_words_encoded_together():
+    """Many words in one call, with letters that compose or have other letters as lower case, on a full and a fresh cache."""
+    rng = np.random.default_rng(3)
+    letters = list("abcxyzßéüñΣςΩжЖ한국語あ") + ["ﬁ", "ǰ", "ŉ"]
+    words = ["".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(3500)]
+    for extra in ([], ["İstanbul", "aİ"]):
+        encoder = token_ids.Encoder(PATH, 1)
+        texts = [" ".join(words[a : a + 250]) for a in range(0, len(words), 250)] + extra + ["", None]
+        for given_texts in (texts, texts[::-1]):
+            ids, size = encoder(pa.array(given_texts, pa.string()))
+            want = [TOKENIZER.encode(t or "", add_special_tokens=False).ids + [1] for t in given_texts]
+            assert size.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_known_words_are_forgotten(monkeypatch):
+    monkeypatch.setattr(token_ids, "_CACHE", 3)
+    encoder = token_ids.Encoder(PATH, 1)
+    for text in ("one two three four", "five one", "two, six don't"):
+        assert encoder(pa.array([text]))[0].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids + [1]
