@@ -113,7 +113,7 @@ def build_index(vectors: DataFrame, dim: int) -> DataFrame:
     )
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2", broadcast_bytes: int = 64 * 1024 * 1024, chunk_rows: int = 50_000) -> DataFrame:
+def knn(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2", broadcast_bytes: int = 64 * 1024 * 1024, chunk_bytes: int = 64 * 1024 * 1024) -> DataFrame:
     """The exact `k` nearest corpus rows of every query in every collection.
 
     `corpus` has collection, item_id, embedding; `queries` has query_id, embedding. Distances are
@@ -122,8 +122,10 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2", b
 
     Query vectors that fit `broadcast_bytes` are sent to every task and the corpus is read in place:
     block products per Arrow batch, k rows per query leave a task, one ranking follows. More queries
-    than that are split into blocks that meet equal chunks of the corpus in a co-grouped shuffle, so
-    no task ever holds more than one block and one chunk. The queries, and a corpus that is counted, are
+    than that are split into blocks that meet chunks of the corpus of about `chunk_bytes` in a
+    co-grouped shuffle, so no task ever holds more than one block and one chunk, however wide the
+    vectors are. The corpus goes over the network once a block and the queries once a chunk; larger
+    sizes of both make that less. The queries, and a corpus that is counted, are
     staged: an embedder behind them runs once. Vectors of several widths and rows without an id are errors.
     """
     given = F.col("embedding").isNotNull()
@@ -140,7 +142,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2", b
     if total <= broadcast_bytes:
         hits = _knn_broadcast(corpus, queries, k, metric)
     else:
-        hits = _knn_blocks(stage(corpus, "corpus"), queries, k, metric, math.ceil(total / broadcast_bytes), chunk_rows)
+        hits = _knn_blocks(stage(corpus, "corpus"), queries, k, metric, math.ceil(total / broadcast_bytes), chunk_bytes)
     return top_n(hits, ["collection", "query_id"], [F.asc("distance"), F.asc("item_id")], k)
 
 
@@ -166,8 +168,14 @@ def _knn_broadcast(corpus: DataFrame, queries: DataFrame, k: int, metric: str) -
     return corpus.mapInArrow(search, _HITS)
 
 
-def _knn_blocks(corpus: DataFrame, queries: DataFrame, k: int, metric: str, blocks: int, chunk_rows: int) -> DataFrame:
-    chunks = max(1, math.ceil(corpus.count() / chunk_rows))
+def _held_bytes(corpus: DataFrame) -> int:
+    """What the corpus takes in a task's memory: vectors of doubles, with their names."""
+    names = F.octet_length("item_id") + F.coalesce(F.octet_length("collection"), F.lit(0))
+    return corpus.agg(F.sum(8 * F.size("embedding").cast("bigint") + names + 16)).first()[0] or 0
+
+
+def _knn_blocks(corpus: DataFrame, queries: DataFrame, k: int, metric: str, blocks: int, chunk_bytes: int) -> DataFrame:
+    chunks = max(1, math.ceil(_held_bytes(corpus) / chunk_bytes))
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = corpus.withColumn("chunk", spread("item_id", chunks)).withColumn("block", every(blocks))

@@ -45,13 +45,24 @@ def data(spark):
 
 
 @pytest.mark.parametrize("metric", ["l2", "unit"])
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 200, "chunk_rows": 40}], ids=["broadcast", "blocks"])
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 200, "chunk_bytes": 2800}], ids=["broadcast", "blocks"])
 def test_both_ways_equal_brute_force(data, metric, options):
     corpus, queries, c, q = data
     got = {(r.collection, r.query_id, r["rank"]): (r.item_id, r.distance) for r in vectors.knn(c, q, 4, metric, **options).collect()}
     assert got == exact(corpus, queries, 4, metric)
 
 
+def test_chunks_follow_bytes_not_rows(spark, data):
+    """The same rows of ten times the width take about ten times the chunks; no rows take none."""
+    wide = spark.createDataFrame([("c", str(i), [1.0] * 400) for i in range(100)], "collection string, item_id string, embedding array<float>")
+    narrow = wide.withColumn("embedding", F.slice("embedding", 1, 40))
+    assert 9 < vectors._held_bytes(wide) / vectors._held_bytes(narrow) < 10
+    assert vectors._held_bytes(narrow.where("false")) == 0
+    asked = spark.createDataFrame([(f"q{i}", [1.0] * 400) for i in range(3)], "query_id string, embedding array<float>")
+    hits = vectors.knn(wide, asked, 2, broadcast_bytes=3300, chunk_bytes=1000).collect()  # chunks smaller than a row
+    assert {(r.query_id, r["rank"], r.item_id) for r in hits} == {(f"q{i}", k, str(k - 1)) for i in range(3) for k in (1, 2)}
+
+
 def test_fewer_items_than_k_are_not_padded(data):
     _, _, c, q = data
     hits = vectors.knn(c.filter("collection = 'c'"), q, 5)
