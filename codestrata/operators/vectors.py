@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 from hashlib import md5
 
@@ -24,8 +25,37 @@ _HITS = "collection string, query_id string, item_id string, distance double"
 _HITS_ARROW = pa.schema([
     ("collection", pa.string()), ("query_id", pa.string()), ("item_id", pa.string()), ("distance", pa.float64()),
 ])
-_CELLS = 8_000_000
+_CELLS = 1_000_000
 _HELD = 1_000_000
+# What a task splits into words at once; its words take many times as much.
+_TEXT_BYTES = 4 * 1024 * 1024
+# Never part of a word, in whatever version of Unicode.
+_BETWEEN_WORDS = re.compile("[\0-/:-@\\[-`{-\x7f\u2000-\u200a\u2010-\u2029\u3000-\u3002\uff01\uff0c\uff1a\uff1b\uff1f]")
+
+
+def text_slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most `most` bytes, as [start, stop); a longer text is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield start, stop
+        start = stop
+
+
+def text_pieces(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """The texts as they are, or, of a single one longer than `most` characters, pieces that are cut between words."""
+    text = texts[0].as_py() if len(texts) == 1 else None
+    if text is None or len(text) <= most:
+        yield texts
+        return
+    start = 0
+    while start < len(text):
+        gap = _BETWEEN_WORDS.search(text, start + most)
+        stop = gap.start() if gap else len(text)
+        yield pa.array([text[start:stop]])
+        start = stop
 
 
 def hashing_embedder(dim: int = 256) -> Callable[[Column], Column]:
@@ -41,7 +71,7 @@ def hashing_embedder(dim: int = 256) -> Callable[[Column], Column]:
 
         def cells(words: list[str]) -> np.ndarray:
             """Each word's bucket, twice, and one more for a positive sign."""
-            if len(known) > 500_000:
+            if len(known) > 300_000:
                 known.clear()
             for word in words:
                 if word not in known:
@@ -49,17 +79,23 @@ def hashing_embedder(dim: int = 256) -> Callable[[Column], Column]:
                     known[word] = 2 * (int(digest[:8], 16) % dim) + (digest[8] < "8")
             return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-        for batch in texts:
-            spaced = pc.replace_substring_regex(pc.cast(pc.fill_null(batch, ""), pa.large_string()), r"[^\p{L}\p{N}]+", " ")
+        def counted(part: pa.Array) -> np.ndarray:
+            spaced = pc.replace_substring_regex(pc.cast(pc.fill_null(part, ""), pa.large_string()), r"[^\p{L}\p{N}]+", " ")
             split = pc.split_pattern(pc.ascii_trim(spaced, " "), " ")
-            rows = np.repeat(np.arange(len(batch)), np.diff(split.offsets.to_numpy()))
+            rows = np.repeat(np.arange(len(part)), np.diff(split.offsets.to_numpy()))
             words = split.flatten().dictionary_encode()
             signed = np.append(cells(words.dictionary.to_pylist()), 0)[words.indices.to_numpy()]
             blank = pc.equal(words, "").to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool)  # a text without words
             signs = np.where(blank, 0, 2 * (signed % 2) - 1)
-            counts = np.bincount(rows * dim + signed // 2, weights=signs, minlength=len(batch) * dim)
+            return np.bincount(rows * dim + signed // 2, weights=signs, minlength=len(part) * dim)
+
+        for batch in texts:
+            counts = np.zeros((len(batch), dim), np.float32)
+            for start, stop in text_slices(batch, _TEXT_BYTES):
+                pieces = text_pieces(batch.slice(start, stop - start), _TEXT_BYTES)
+                counts[start:stop] = sum(map(counted, pieces)).reshape(-1, dim)
             offsets = np.arange(0, len(batch) * dim + 1, dim, dtype=np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.astype(np.float32)))
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.ravel()))
 
     once = embed_words.asNondeterministic()
     return lambda text: once(F.lower(text))

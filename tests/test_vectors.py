@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,20 @@ def test_mixed_widths_and_missing_ids_are_errors(spark):
         for size in (1 << 20, 0):
             with pytest.raises(Exception, match="width|no item_id"):
                 vectors.knn(corpus, asked, 2, broadcast_bytes=size or 1).collect()
+
+
+def test_embedder_splits_its_work_by_bytes(spark):
+    words = [f"w{i % 37}é" for i in range(3000)]
+    texts = [None, "", " ... ", " ".join(words), "one two", "ab" * 500, ", ".join(words[:50])] * 3
+    runs = list(vectors.text_slices(pa.array(texts), 2000))
+    assert [i for a, b in runs for i in range(a, b)] == list(range(len(texts)))
+    assert all(b == a + 1 or sum(len((t or "").encode()) for t in texts[a:b]) <= 2000 for a, b in runs) and len(runs) > 3
+    pieces = list(vectors.text_pieces(pa.array([texts[3]]), 500))
+    assert len(pieces) > 10 and "".join(p[0].as_py() for p in pieces) == texts[3]
+    assert [w for p in pieces for w in p[0].as_py().split()] == words and max(len(p[0].as_py()) for p in pieces) < 600
+    # A long text's vector is that of its words, wherever it is cut.
+    long = " ".join(words * 900)
+    assert len(long) > 2 * vectors._TEXT_BYTES
+    df = spark.createDataFrame([(0, long), (1, " ".join(words))], "id int, text string").repartition(1)
+    got = dict(df.select("id", vectors.hashing_embedder(16)(F.col("text"))).collect())
+    assert got[0] == [900 * x for x in got[1]] and any(got[1])
