@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from workload import queries
 from workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +33,20 @@ def test_tolerant_load_sets_every_text_aside(spark, tables):
     sf = tables(benchmark={"item_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
     found = QUERIES["tolerant_load"](spark, sf).filter("kind = 'quarantine'").collect()
     assert sorted(r.name or "" for r in found) == sorted("" if i is None else str(i) for i in ids)
+
+
+def test_tree_scan_keeps_a_part_of_the_files_checked_out(spark, monkeypatch):
+    whole = sorted(map(tuple, QUERIES["tree_scan"](spark, SF).collect()))
+    seen, check_out = [], queries.check_out
+
+    def watched(sources, folder):
+        check_out(sources, folder)
+        seen.append((folder, sum(len(files) for _, _, files in os.walk(folder))))
+        assert sum(os.path.exists(f) for f, _ in seen) == 1
+
+    monkeypatch.setattr(queries, "CHECKED_OUT", 400)
+    monkeypatch.setattr(queries, "check_out", watched)
+    parts = sorted(map(tuple, QUERIES["tree_scan"](spark, SF).collect()))
+    assert parts == whole and len(whole) > 1000
+    assert len(seen) > 2 and max(n for _, n in seen) < len(whole) / 2 and sum(n for _, n in seen) == len(whole)
+    assert not any(os.path.exists(folder) for folder, _ in seen)
