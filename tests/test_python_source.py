@@ -104,3 +104,13 @@ def test_index_of_repositories(spark):
     assert built.symbols.join(built.files, ["repo", "file_id"]).count() == 3
     every = index.index_repositories(tree, commits, store_empty_files=True)
     assert every.files.count() == 5
+
+
+def test_only_blocks_are_walked():
+    import ast
+
+    text = "\n".join(["x = [i for i in range(9)]"] * 50 + ["try:", "    import a", "except E:", "    def f(): pass", "else:", "    class C:", "        y = 1", "        async def g(s): return 2",
+        "match x:", "    case 1:", "        def h(): pass", "with a:", "    for i in b:", "        while c:", "            def k(): pass", "        else:", "            def m(): pass"])
+    walked = python_source._statements(ast.parse(text))
+    assert {n.name for n in walked if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))} == {"f", "C", "g", "h", "k", "m"}
+    assert not any(isinstance(n, (ast.Assign, ast.Return, ast.Pass, ast.Import)) for n in walked) and len(walked) < 20
