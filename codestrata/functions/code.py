@@ -78,7 +78,9 @@ def _first_name(line: Column, patterns: tuple[tuple[str, str], ...], rejected: t
     for pattern, needed in patterns:
         arrow = pattern.endswith(_TO_ARROW)
         name = _arrow_name(line, _java(pattern.removesuffix(_TO_ARROW))) if arrow else F.regexp_extract(line, _java(pattern), 1)
-        tried.append(F.when(line.contains(needed), F.when(~name.isin("", *rejected), name)))
+        # A filter of one name, unlike a condition on it, matches the pattern once.
+        allowed = F.filter(F.array(name), lambda n: ~n.isin("", *rejected))
+        tried.append(F.when(line.contains(needed), F.get(allowed, F.lit(0))))
     return F.coalesce(*tried)
 
 

@@ -15,11 +15,12 @@ HASHED_FILE = ["file_hash", *_FILE]
 def explode_lines(files: DataFrame, *keep: str) -> DataFrame:
     """One row per line, numbered from 1, with the file's line count. Stays in the scan's stage.
 
-    The count is projected below the explode, so a line's row does not carry its file's content.
+    A file is split once; the count is projected below the explode, so a line's row does not carry its file's content.
     """
-    counted = files.select(*_FILE, *keep, "content", F.size(F.split("content", "\n")).alias("n_lines"))
+    split = files.select(*_FILE, *keep, F.split("content", "\n").alias("lines"))
+    counted = split.select(*_FILE, *keep, "lines", F.size("lines").alias("n_lines"))
     return counted.select(
-        *_FILE, *keep, "n_lines", F.posexplode(F.split("content", "\n")).alias("line_at", "line")
+        *_FILE, *keep, "n_lines", F.posexplode("lines").alias("line_at", "line")
     ).select(*_FILE, *keep, "n_lines", (F.col("line_at") + 1).alias("line_no"), "line")
 
 
