@@ -143,3 +143,25 @@ def test_rows_without_an_arrival_come_last(spark, order):
     assert got == {1: "early", 2: "only"}
     again = upsert.insert_or_ignore(df.limit(0), df, ["k"], ["at", "m"])
     assert {r.k: r.m for r in again.collect()} == got
+
+
+@pytest.mark.parametrize("run", ["index_repositories", "index_into"])
+def test_files_are_dealt_before_they_are_parsed(spark, monkeypatch, tmp_path, run):
+    """A stored tree in one split is parsed by as many tasks as a shuffle has, each with its share."""
+    parser, shares = {"index_repositories": "python_entities", "index_into": "parse_python"}[run], []
+    parse = getattr(index, parser)
+
+    def counted(files, *args, **options):
+        shares.extend(files.filter("path like '%.py'").rdd.glom().map(len).collect())
+        return parse(files, *args, **options)
+
+    monkeypatch.setattr(index, parser, counted)
+    rows = [("r", f"f{n}.{kind}", f"def f{n}():\n    pass\n") for kind in ("js", "py") for n in range(400)]
+    tree = spark.createDataFrame(rows, TREE).coalesce(1)
+    if run == "index_repositories":
+        found = index.index_repositories(tree, commits_of(spark, ("r", "c"))).symbols
+    else:
+        index.index_into(str(tmp_path / "dealt"), tree, commits_of(spark, ("r", "c")))
+        found = index.read_index(spark, str(tmp_path / "dealt")).symbols
+    assert found.count() == 400
+    assert len(shares) == 4 and min(shares) > 60
