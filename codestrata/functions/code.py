@@ -46,7 +46,8 @@ def _java(pattern: str) -> str:
 
 def is_code_line(line: Column) -> Column:
     """Not blank and not the first line of a comment."""
-    return line.rlike(f"\\A{SPACE}*(?!//|/\\*){NON_SPACE}")
+    # Blanks and a first character of ASCII other than a slash decide most lines without the long class of spaces.
+    return line.rlike(f"\\A[ \\t]*+(?:[!-.0-~]|{SPACE}*(?!//|/\\*){NON_SPACE})")
 
 
 def may_define(line: Column) -> Column:
@@ -58,10 +59,14 @@ def may_define(line: Column) -> Column:
     return test
 
 
+#: Bytes of a line up to which an arrow function's whole pattern is searched from every start.
+_SHORT_LINE = 256
+
+
 def _arrow_name(line: Column, head: str) -> Column:
     """Name of the leftmost `head`, up to its opening parenthesis, whose next closing one comes before an arrow.
 
-    A line is cut at its closing parentheses and each piece searched once, so a line of many openings costs
+    A long line is cut at its closing parentheses and each piece searched once, so a line of many openings costs
     linear time; the match cannot reach over a piece's end.
     """
     def first(pieces):
@@ -69,7 +74,8 @@ def _arrow_name(line: Column, head: str) -> Column:
             F.get(pieces, i + 1).rlike(f"\\A{SPACE}*+=>"), F.regexp_extract(piece, head, 1)))
         return F.get(F.filter(names, lambda name: name != ""), F.lit(0))
 
-    return F.transform(F.array(F.split(line, r"\)")), first)[0]
+    whole = F.regexp_extract(line, head + rf"[^)]*+\){SPACE}*+=>", 1)
+    return F.when(F.octet_length(line) <= _SHORT_LINE, whole).otherwise(F.transform(F.array(F.split(line, r"\)")), first)[0])
 
 
 def _first_name(line: Column, patterns: tuple[tuple[str, str], ...], rejected: tuple[str, ...] = ()) -> Column:
@@ -78,8 +84,8 @@ def _first_name(line: Column, patterns: tuple[tuple[str, str], ...], rejected: t
     for pattern, needed in patterns:
         arrow = pattern.endswith(_TO_ARROW)
         name = _arrow_name(line, _java(pattern.removesuffix(_TO_ARROW))) if arrow else F.regexp_extract(line, _java(pattern), 1)
-        # A filter of one name, unlike a condition on it, matches the pattern once.
-        allowed = F.filter(F.array(name), lambda n: ~n.isin("", *rejected))
+        # Taking names out of an array of one, unlike a condition on it, matches the pattern once.
+        allowed = F.array_except(F.array(name), F.array(*map(F.lit, ("", *rejected))))
         tried.append(F.when(line.contains(needed), F.get(allowed, F.lit(0))))
     return F.coalesce(*tried)
 

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from codestrata.functions import code
-from codestrata.operators import javascript
+from codestrata.functions.text import NON_SPACE, SPACE
+from codestrata.operators import entities, javascript
 from codestrata.operators.entities import extract_entities
 
 
@@ -193,3 +194,20 @@ def test_many_openings_cost_linear_time(spark):
     began = time.time()
     got = [r.n for r in df.select("i", code.function_name(F.col("line")).alias("n")).orderBy("i").collect()]
     assert got == [None, None, "a", "b", None, "y"] and time.time() - began < 15
+
+
+def test_short_and_long_lines_give_the_same_names(spark):
+    """Up to 256 bytes the whole pattern is searched, beyond that by pieces; neither goes through an interpreted filter of names."""
+    rng = random.Random(11)
+    parts = ["f", "if", "x1", "é", " ", "= (", "(", ")", ") =>", "a, b", "function", ":", "{", "\t", "//", "/*", "\u2003"]
+    lines = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    df = spark.createDataFrame([(line,) for line in lines], "line string")
+    long = F.concat("line", F.lit(" " + "-" * 300))
+    both = df.select("line", code.function_name(F.col("line")).alias("short"), code.function_name(long).alias("long"))
+    assert both.filter("short is not null").count() > 100
+    assert both.filter("not (short <=> long)").count() == 0
+    plan = df.select(code.function_name(F.col("line")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(array(" not in plan
+    opens = f"\\A{SPACE}*(?!//|/\\*){NON_SPACE}"
+    spaced = df.select(F.concat(F.lit(" \t\u2003"), "line").alias("line")).union(df)
+    assert spaced.filter(code.is_code_line(F.col("line")) != F.col("line").rlike(opens)).count() == 0
