@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.records import snippet
-from codestrata.operators.javascript import HASHED_FILE, file_hash, script_entities, scripts
+from codestrata.operators.javascript import HASHED_FILE, hashed, script_entities, scripts
 from codestrata.operators.python_source import python_entities
 from codestrata.schemas import ENTITIES
+from codestrata.session import dealt
 
 _FILE = ["repo", "path"]
 
@@ -30,7 +31,7 @@ def with_code(spans: DataFrame, files: DataFrame) -> DataFrame:
 
     per_file = spans.groupBy(*HASHED_FILE).agg(F.collect_list(F.struct(*fields)).alias("spans"))
     return (
-        files.select(file_hash(), *_FILE, "content")
+        hashed(files).select(*HASHED_FILE, "content")
         .join(per_file, HASHED_FILE)
         .select(*_FILE, "spans", F.explode(F.array(F.split("content", "\n"))).alias("lines"))
         .select(*_FILE, F.inline(F.transform("spans", with_snippet)))
@@ -41,10 +42,12 @@ def extract_entities(files: DataFrame) -> DataFrame:
     """Functions, classes, interfaces, types and enums of all supported files.
 
     Python files, script lines and script contents are three passes, so `files` should be a stored
-    or staged table rather than a tree still to be read.
+    or staged table rather than a tree still to be read. Files are dealt over the tasks before they are parsed; a script's
+    lines, spans and content then meet without another shuffle.
     """
     readable = files.filter("valid_utf8") if "valid_utf8" in files.columns else files
-    python = python_entities(readable).withColumn("language", F.lit("python"))
-    script = with_code(script_entities(readable), scripts(readable))
+    python = python_entities(dealt(readable, *_FILE)).withColumn("language", F.lit("python"))
+    placed = dealt(hashed(scripts(readable)).select(*HASHED_FILE, "content"), *HASHED_FILE)
+    script = with_code(script_entities(placed), placed)
     both = python.unionByName(script).withColumn("class_context", F.lit(None).cast("string"))
     return both.select(*ENTITIES.fieldNames())

@@ -45,8 +45,8 @@ def marked_lines(files: DataFrame) -> DataFrame:
     )
     has_brace = line.contains("{") | line.contains("}")
     braces = F.when(has_brace, F.regexp_replace(line, "[^{}]+", "")).otherwise(F.lit(""))
-    marked = explode_lines(scripts(files)).select(
-        *_FILE,
+    marked = explode_lines(hashed(scripts(files)), "file_hash").select(
+        *HASHED_FILE,
         "line_no",
         F.when(code.may_define(line) & code.is_code_line(line), found).alias("definition"),
         braces.alias("braces"),
@@ -71,6 +71,11 @@ def file_hash() -> Column:
     return F.xxhash64(*_FILE).alias("file_hash")
 
 
+def hashed(files: DataFrame) -> DataFrame:
+    """The files with their `file_hash`, taken once a file."""
+    return files if "file_hash" in files.columns else files.withColumn("file_hash", file_hash())
+
+
 def block_spans(marked: DataFrame) -> DataFrame:
     """`start_line` and `end_line` of every definition in `marked_lines`.
 
@@ -88,8 +93,7 @@ def block_spans(marked: DataFrame) -> DataFrame:
     position = F.col("position")
     brace = F.when(position > 0, F.substring(braces, position, F.lit(1)))
     events = marked.withColumn("position", F.explode(positions)).select(
-        file_hash(),
-        *_FILE,
+        *HASHED_FILE,
         (F.shiftleft(F.col("line_no").cast("bigint"), 32) + position).alias("seq"),
         F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0).alias("step"),
         F.when(position == 0, F.col("definition")).alias("definition"),

@@ -196,6 +196,17 @@ def test_many_openings_cost_linear_time(spark):
     assert got == [None, None, "a", "b", None, "y"] and time.time() - began < 15
 
 
+def test_files_are_dealt_once_before_they_are_parsed(spark, monkeypatch):
+    """A stored table in one split is dealt over the tasks; a script's lines, spans and content need no other shuffle."""
+    parse, parts = entities.python_entities, []
+    monkeypatch.setattr(entities, "python_entities", lambda files: parts.append(files.rdd.getNumPartitions()) or parse(files))
+    rows = [("r", f"f{n}.{kind}", "const f = (x) => {\n  x();\n}" if kind == "js" else "def f():\n    pass") for kind in ("js", "py") for n in range(50)]
+    found = extract_entities(spark.createDataFrame(rows, "repo string, path string, content string").coalesce(1))
+    exchanges = re.findall(r"Exchange hashpartitioning\(.*", found._jdf.queryExecution().executedPlan().toString())
+    assert parts == [4] and len(exchanges) == 3 and all("REPARTITION_BY_NUM" in e for e in exchanges)
+    assert found.count() == 100
+
+
 def test_short_and_long_lines_give_the_same_names(spark):
     """Up to 256 bytes the whole pattern is searched, beyond that by pieces; neither goes through an interpreted filter of names."""
     rng = random.Random(11)
