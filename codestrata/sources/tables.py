@@ -74,8 +74,12 @@ def read_lineage(spark: SparkSession, root: str, name: str) -> DataFrame:
     return rows
 
 
-def write_entities(entities: DataFrame, path: str) -> None:
-    entities.write.mode("overwrite").json(path)
+def write_entities(entities: DataFrame, path: str, file_rows: int = 500_000) -> None:
+    """JSON lines, compressed: every span repeats the names of its columns and the code of the spans inside it.
+
+    A compressed file is read by one task, so a file holds `file_rows` rows at most.
+    """
+    entities.write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", file_rows).json(path)
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:

@@ -163,6 +163,16 @@ def test_entity_sink(spark, tmp_path):
     assert [tuple(r) for r in spark.read.schema(schemas.ENTITIES).json(str(tmp_path / "out")).collect()] == [tuple(r) for r in entities.collect()]
 
 
+def test_stored_entities_are_compressed_in_files_of_bounded_rows(spark, tmp_path):
+    code = "class A:\n" + "    def m(self):\n        return 'é'\n" * 20
+    entities = spark.createDataFrame([("r", "class", f"A{n}", "python", f"{n}.py", None, "", code, n, n + 40, "class_definition") for n in range(1000)], schemas.ENTITIES)
+    tables.write_entities(entities.coalesce(1), str(tmp_path / "out"), file_rows=300)
+    files = sorted((tmp_path / "out").glob("part-*"))
+    assert len(files) == 4 and sum(f.stat().st_size for f in files) < 1000 * len(code) / 10
+    stored = spark.read.schema(schemas.ENTITIES).json(str(tmp_path / "out"))
+    assert sorted(map(tuple, stored.collect()), key=repr) == sorted(map(tuple, entities.collect()), key=repr)
+
+
 def test_index_is_built_when_absent(spark, tmp_path):
     paths = str(tmp_path / "index"), str(tmp_path / "vectors")
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
