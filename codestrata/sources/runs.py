@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codestrata.session import shuffles_dropped
+
 _LISTED = T.StructType([
     T.StructField("run", T.StringType()), T.StructField("number", T.LongType()), T.StructField("label", T.StringType()),
     T.StructField("replaces", T.ArrayType(T.StringType())), T.StructField("rows", T.LongType()), T.StructField("bits", T.IntegerType()),
@@ -76,16 +78,21 @@ class RunTables:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*folders)
 
-    def append(self, replaces: list[str] = (), **rows: DataFrame) -> str:
-        """Add the rows of one run; tables that are not given get none."""
+    def read_run(self, name: str, run: str) -> DataFrame:
+        """The rows that one run wrote."""
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{name}/{run}")
+
+    def append(self, replaces: list[str] = (), together: tuple[str, ...] = (), **rows: DataFrame) -> str:
+        """Add the rows of one run; tables that are not given get none. In `together` the rows of a key lie so already."""
         manifest, run = self.manifest(), uuid.uuid4().hex
         for name, schema in self.schemas.items():
             given = rows.get(name)
             out = self.spark.createDataFrame([], schema) if given is None else given.select(*schema.fieldNames())
             if given is not None:
                 # A key's rows lie together, so a reader of one key skips the other row groups, and a hot key is split over tasks.
-                out = out.hint("rebalance", self.key).sortWithinPartitions(self.key)
-            out.write.parquet(f"{self.root}/{name}/{run}")
+                out = (out if name in together else out.hint("rebalance", self.key)).sortWithinPartitions(self.key)
+            with shuffles_dropped(self.spark):
+                out.write.option("compression", "zstd").parquet(f"{self.root}/{name}/{run}")
         manifest.add(run, replaces)
         return run
 

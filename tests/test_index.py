@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from codestrata import schemas
+from codestrata import schemas, session
 from codestrata.operators import ranking, upsert
 from codestrata.plans import index
+from codestrata.session import stage
 from codestrata.sources import tables
 
 A, B, C = "def a():\n    pass\nclass K:\n    def m(self): pass\n", "def b():\n    pass\n", "def broken(:\n"
@@ -165,3 +169,49 @@ def test_files_are_dealt_before_they_are_parsed(spark, monkeypatch, tmp_path, ru
         found = index.read_index(spark, str(tmp_path / "dealt")).symbols
     assert found.count() == 400
     assert len(shares) == 4 and min(shares) > 60
+
+
+def test_what_a_run_staged_goes_with_it(spark, indexing):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) / "codestrata"
+    before = {f for f in shared.rglob("*") if f.is_file()}
+    rows = [("r", f"x{n}.py", f"{A}# {n}") for n in range(50)] + [("r", "empty.py", ""), ("q", "bad.py", C)]
+    run = index.index_into(indexing.root, tree_of(spark, rows), commits_of(spark, ("r", "r1")))
+    assert {f for f in shared.rglob("*") if f.is_file()} == before
+    # What it tells can still be read, files without a symbol among it.
+    assert run.parsed.count() == 52 and run.parsed.filter("size(symbols) = 0").count() == 2 and run.parsed.filter("error is not null").count() == 1
+    assert sorted(map(tuple, run.repos.collect())) == [("q", "unknown"), ("r", "r1")]
+    assert len(indexing.listed()) == 150
+
+
+def test_staged_results_leave_no_shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f for folder in manager.localDirs() for f in Path(folder.getPath()).rglob("shuffle_*.data")}
+
+    before = files()
+    counted = stage(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "counted")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and counted.count() == 100
+    assert spark.conf.get(session.SHUFFLE_CLEANUP_SETTING, None) in (None, "false")
+
+
+def test_many_unseen_files_are_dealt_once(spark, indexing, monkeypatch):
+    """Beyond a broadcast, one shuffle of the contents serves the join and the parse, which have even shares."""
+    shares, parse = [], index.parse_python
+
+    def counted(files, *args, **options):
+        shares.extend(files.rdd.glom().map(len).collect())
+        return parse(files, *args, **options)
+
+    rows = [("r", f"f{n}.py", f"def f{n}():\n    pass\n") for n in range(400)] + [("r", "twice.py", A), ("r", "twice.py", A)]
+    heads = {"r": "c"}
+    with monkeypatch.context() as patched:
+        patched.setattr(index, "broadcast_if_small", lambda df: df)
+        patched.setattr(index, "parse_python", counted)
+        indexing(rows, heads)
+    assert len(shares) == 4 and min(shares) > 60 and sum(shares) == 402
+    want = [("r", "c", f"f{n}.py", "function", f"f{n}", 1, 2) for n in range(400)]
+    assert indexing.listed() == sorted(want + symbols("r", "c", "twice.py", *"aKm"))
